@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, token_file, warc
+from . import jaccard_join, packing, quality_rules, token_file, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), jaccard_join.JoinSpec(n=3, percent=90))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -32,5 +36,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(folder, index)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op7_quality_rules, op9_warc, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_jaccard_join, op7_quality_rules, op9_warc, op10_token_file)}
 ORACLE_SQL: dict[str, str] = {}
