@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, quality_rules, token_file, warc
+from . import jaccard_join, language_id, lm_scoring, packing, quality_rules, token_counts, token_file, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), jaccard_join.JoinSpec(n=3, percent=90))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), folds=5)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(table(spark, sf_dir, "pages"))
     back = warc.read_archives(spark, folder, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
@@ -36,5 +48,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(folder, index)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_jaccard_join, op7_quality_rules, op9_warc, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_jaccard_join, op5_language_id, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_warc, op10_token_file)}
 ORACLE_SQL: dict[str, str] = {}
