@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import materialize, small_side
 from .textscan import mix, ngrams, scan, slices
 
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -273,7 +273,7 @@ def jaccard_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "do
     several = heads.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(heads.join(several, "region").select("region", F.col("head").alias("doc_id"), "n"), "members")
 
-    with_text = lambda m: m.join(rows.where("doc_id is not null"), "doc_id")
+    with_text = lambda m: rows.where("doc_id is not null").join(small_side(m), "doc_id")
     links = join_regions(with_text(members.where(F.col("n") <= spec.max_region)).select("region", "doc_id", "text"), spec)
     big, level = members.where(F.col("n") > spec.max_region), 0
     if not big.isEmpty():
@@ -291,3 +291,18 @@ def jaccard_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "do
             now = materialize(over.where(~stuck).select("region", "doc_id", "text"), "big-regions")
     labels = components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
     return sizes.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each connected group, that of the least id; rows that repeat an id and text count as one.
+
+    Rows with a null id stay.
+    """
+    labels = materialize(jaccard_join(docs, spec, id_col, text_col).where("doc_id is not null"), "components")
+    gone = materialize(labels.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
+    left = docs.join(small_side(gone), id_col, "left_anti")
+    repeated = materialize(labels.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated-ids")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return left.join(repeated, id_col, "left_anti").unionByName(once)

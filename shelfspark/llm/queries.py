@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, lm_scoring, packing, quality_rules, token_counts, token_file, warc
+from . import decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality_rules, token_counts, token_file, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -48,5 +56,5 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(folder, index)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_jaccard_join, op5_language_id, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_warc, op10_token_file)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_best_fit_packing, op4_jaccard_join, op5_language_id, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_warc, op10_token_file)}
 ORACLE_SQL: dict[str, str] = {}

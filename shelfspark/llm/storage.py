@@ -11,6 +11,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that a join may broadcast; more are shuffled.
+ROWS_TO_BROADCAST = 500_000
 
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
@@ -33,3 +37,8 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     path = shared_dir(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, limit: int = ROWS_TO_BROADCAST) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
