@@ -7,11 +7,16 @@ The join uses both:
    size bands are its regions, and a document in the window of the next smaller
    band is copied there (sizes of linked documents differ by the threshold at
    most).
-2. In a band, linked sets differ in at most D shingles. D + 1 hash cells divide
-   all shingles, so two linked documents agree on one cell at least; documents
+2. In a band, linked sets differ in at most D shingles. M > D hash cells divide
+   all shingles, so two linked documents agree on M - D cells at least; documents
    that agree on a cell of their band meet in one region (connected by stars,
-   never by pairs). Unrelated documents are near distance 1 from every pivot
-   document, where no window prunes; this step keeps them apart exactly.
+   never by pairs). A document may leave out its cells of up to w shingles if they
+   are fewer than M - D: some agreeing cell is larger, and both keep it. Frequent
+   shingles (found in a sample; which they are changes the work, not the result)
+   are set aside first, as that can't add differences; documents with little
+   else meet by their whole sets too. Unrelated documents are near distance 1
+   from every pivot document, where no window prunes; this step keeps them apart
+   exactly.
 3. A region larger than ``max_region`` is divided by pivot documents: each
    member goes to its nearest pivot's Voronoi region and, by the triangle
    inequality, into each other one within twice the radius of that distance.
@@ -54,6 +59,9 @@ class JoinSpec:
     n: int = 5
     percent: int = 80
     max_region: int = 2000
+    sample_every: int = 16  # one document in so many, by hash, tells which shingles are frequent
+    frequent: int = 4  # documents of the sample that hold a frequent shingle, at least
+    max_frequent: int = 1 << 18  # of the frequent, the most frequent; bounds the broadcast
 
     @property
     def radius(self) -> float:
@@ -80,28 +88,41 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 @cache
 def bands(percent: int) -> list[int]:
-    """Least sizes of the bands, each about three thresholds wide."""
+    """Least sizes of the bands, each two thresholds wide."""
     lows = [1]
     while lows[-1] < 1 << 40:
-        lows.append(max(lows[-1] + 1, -(-lows[-1] * 10**6 // percent**3)))
+        lows.append(max(lows[-1] + 1, -(-lows[-1] * 10**4 // percent**2)))
     return lows
 
 
-def region_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The regions of a set: one key for each hash cell, in its band and in the bands whose window it is in."""
-    lows, out = bands(percent), []
-    size = len(s)
+def cell_keys(size: int, s: np.ndarray, percent: int, kind: int) -> tuple[np.ndarray, bool]:
+    """Keys of the cells of ``s`` in each band of a document of ``size`` shingles; whether its empty cells could go everywhere."""
+    lows, out, sparse = bands(percent), [], True
     own = int(np.searchsorted(lows, size, "right")) - 1
     lowest = int(np.searchsorted(lows, -(-size * percent // 100), "right")) - 1
-    total = np.zeros(size + 1, np.uint64)
+    total = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s + _C2), out=total[1:])
     for band in range(lowest, own + 1):
-        cells = (lows[band + 1] - 1) * (100 - percent) // percent + 1
+        most = (lows[band + 1] - 1) * (100 - percent) // percent  # differences of two linked sets, the smaller in this band
+        spare = most // 2
+        cells = most + 1 + spare
         count = np.bincount((((s >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64), minlength=cells)
         end = np.cumsum(count)
         j = np.arange(cells, dtype=np.uint64)
-        out.append(mix(total[end] - total[end - count] + mix(j * _C1 + np.uint64(band + 1)) + count.astype(np.uint64)))
-    return np.concatenate(out)
+        keys = mix(total[end] - total[end - count] + mix(j * _C1 + np.uint64(2 * band + kind)) + count.astype(np.uint64))
+        small = int(np.searchsorted(np.cumsum(np.bincount(count)), spare, "right")) - 1  # cells of up to so many shingles may go
+        sparse &= small >= 0
+        out.append(keys[count > small])
+    return np.concatenate(out), sparse
+
+
+def region_keys(s: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The regions of a set; two linked sets share one at least."""
+    rest = s
+    if frequent is not None and len(frequent):
+        rest = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+    keys, sparse = cell_keys(len(s), rest, percent, 0)
+    return keys if sparse else np.concatenate([keys, cell_keys(len(s), s, percent, 1)[0]])
 
 
 class Region:
@@ -161,8 +182,22 @@ class Region:
                 return
 
 
+def frequent_shingles(docs: DataFrame, spec: JoinSpec) -> np.ndarray:
+    """Sorted shingles that many documents of the sample hold, ``max_frequent`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.record_batch({"s": pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(part.column("text"), spec.n)]).view(np.int64))})
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(spec.sample_every)) == 0)
+    counts = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= spec.frequent)
+    return np.sort(np.array([r[0] for r in counts.orderBy(F.col("count").desc(), "s").limit(spec.max_frequent).collect()], np.int64).view(np.uint64))
+
+
 def measured(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, text): set sizes with 128-bit set hashes, and the regions of each document."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, spec))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +215,7 @@ def measured(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
                     if len(s) and i is not None:
                         # copies in the same slice ride with the first: the set's hash is a region of its own
                         whole = mix(np.array([np.sum(mix(s ^ _C1))], np.uint64) + np.uint64(len(s)))
-                        k = whole if int(whole[0]) in seen else np.concatenate([whole, region_keys(s, spec.percent)])
+                        k = whole if int(whole[0]) in seen else np.concatenate([whole, region_keys(s, spec.percent, frequent.value)])
                         seen[int(whole[0])] = True
                         out.append(k)
                         owner.append(np.full(len(k), i, np.int64))

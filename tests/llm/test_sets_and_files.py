@@ -35,7 +35,7 @@ def test_jaccard_groups_match_brute_force(request, which, n, percent, max_region
     sets = [(r.doc_id, shingles(r.text, n)) for r in rows]
     links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y)]
     of = groups(links, {a for a, _ in sets if a is not None})
-    got = jaccard_join.jaccard_join(docs, jaccard_join.JoinSpec(n, percent, max_region)).collect()
+    got = jaccard_join.jaccard_join(docs, jaccard_join.JoinSpec(n, percent, max_region, sample_every=2, frequent=2)).collect()
     key = lambda t: tuple(-1 if v is None else v for v in t)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(((a, len(x), of.get(a)) for a, x in sets), key=key)
 
@@ -54,7 +54,7 @@ def test_large_regions_are_divided_by_pivots(spark):
     of = groups(links, range(90))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for max_region in (4, 12, 1000):
-        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs, jaccard_join.JoinSpec(2, 90, max_region)).collect()}
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs, jaccard_join.JoinSpec(2, 90, max_region, sample_every=1, frequent=3)).collect()}
         assert got == of
 
 
@@ -67,7 +67,9 @@ def test_linked_sets_share_a_region():
             y = np.unique(np.concatenate([rng.choice(x, max(1, int(len(x) * rng.uniform(percent / 100, 1))), replace=False), rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(x) // 10))).astype(np.uint64)]))
             both = len(np.intersect1d(x, y))
             if 100 * both >= percent * (len(x) + len(y) - both):
-                assert len(np.intersect1d(jaccard_join.region_keys(x, percent), jaccard_join.region_keys(y, percent)))
+                for share in (0, 0.1, 0.7, 0.95, 1):
+                    often = np.sort(rng.choice(x, int(share * len(x)), replace=False))
+                    assert len(np.intersect1d(jaccard_join.region_keys(x, percent, often), jaccard_join.region_keys(y, percent, often)))
 
 
 def test_words_match_the_pattern():
