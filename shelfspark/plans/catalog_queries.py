@@ -391,7 +391,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.parse_epoch_ms(text).alias("ms"))
 
 
-@query("f09_epoch_ms", "SELECT event_id, epoch_ms(ts) AS ms FROM events")
+@query("f09_epoch_ms", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.epoch_ms(F.col("ts")).alias("ms"))
 

@@ -117,13 +117,13 @@ def _(spark, sf_dir):
     return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"), F.round(F.max("x").cast("double"), 5).alias("top"))
 
 
-@query("v04_vec_mean_max_rows", "SELECT a.vec_id, i AS pos, round((CAST(a.embedding[i + 1] AS DOUBLE) + CAST(b.embedding[i + 1] AS DOUBLE)) / 2, 5) AS mean, round(greatest(CAST(a.embedding[i + 1] AS DOUBLE), CAST(b.embedding[i + 1] AS DOUBLE)), 5) AS top FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(64) r(i)")
+@query("v04_vec_mean_max_rows", "SELECT a.vec_id, i AS pos, (CAST(a.embedding[i + 1] AS DOUBLE) + CAST(b.embedding[i + 1] AS DOUBLE)) / 2 AS mean, greatest(CAST(a.embedding[i + 1] AS DOUBLE), CAST(b.embedding[i + 1] AS DOUBLE)) AS top FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(64) r(i)")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     vs = F.array("embedding", "b", F.lit(None).cast("array<float>"))
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
     out = both.select("vec_id", F.posexplode(F.arrays_zip(vectors.vec_mean(vs).alias("m"), vectors.vec_max(vs).alias("t"))).alias("pos", "z"))
-    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("z.m", 5).alias("mean"), F.round("z.t", 5).alias("top"))
+    return out.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("z.m").alias("mean"), F.col("z.t").alias("top"))
 
 
 _NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
