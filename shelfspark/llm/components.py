@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import keep, materialize, scratch
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -24,17 +24,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nulls, loops and repeated edges are ignored; an empty table gives an empty one.
     """
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
-    now = materialize(pairs, "edges")
-    stamp = _stamp(now)
-    while stamp[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
-        last, stamp = stamp, _stamp(now)
-        if stamp == last:
-            break
-    members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch(edges.sparkSession):
+        now, last = materialize(pairs, "edges"), None
+        stamp = _stamp(now)
+        while stamp != last and stamp[0]:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+            now, last = materialize(small, "edges"), stamp
+            stamp = _stamp(now)
+        members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return keep(members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")

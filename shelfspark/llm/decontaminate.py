@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, small_side
+from .storage import keep, materialize, scratch, small_side
 from .textscan import ngrams, scan, slices
 
 
@@ -120,7 +120,12 @@ def hits_of(docs: DataFrame, seeds: DataFrame, spec: LeakSpec) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, spec: LeakSpec = LeakSpec(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word): the best alignment of each leaked item in each document."""
+    """(doc_id, item_id, score, start_word, end_word): the best alignment of each leaked item in each document, as a written table."""
+    with scratch(docs.sparkSession):
+        return keep(_found(docs, items, spec, id_col, text_col, item_id_col, item_text_col), "leaks")
+
+
+def _found(docs: DataFrame, items: DataFrame, spec: LeakSpec, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = items.where(F.col(item_id_col).isNotNull()).select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).dropDuplicates()
     seeds = materialize(seeds_of(own, spec.n), "seeds")

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize, small_side
+from .storage import keep, materialize, scratch, small_side
 from .textscan import mix, ngrams, scan, slices
 
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -292,7 +292,12 @@ def join_regions(rows: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row; see the module."""
+    """(doc_id, n_shingles, component_id) for each row, as a written table; see the module."""
+    with scratch(docs.sparkSession):
+        return keep(_joined(docs, spec, id_col, text_col), "components")
+
+
+def _joined(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sizes, keys = measured(rows, spec)
     sizes = materialize(sizes, "set-sizes")
@@ -333,7 +338,7 @@ def drop_near_copies(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
 
     Rows with a null id stay.
     """
-    labels = materialize(jaccard_join(docs, spec, id_col, text_col).where("doc_id is not null"), "components")
+    labels = jaccard_join(docs, spec, id_col, text_col).where("doc_id is not null")
     gone = materialize(labels.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
     left = docs.join(small_side(gone), id_col, "left_anti")
     repeated = materialize(labels.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated-ids")

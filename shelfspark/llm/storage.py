@@ -7,8 +7,10 @@ only the tasks it was running.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +34,44 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = shared_dir(df.sparkSession, kind)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at the end; write what is to stay with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop(spark, path)
+
+
+def keep(df: DataFrame, kind: str) -> DataFrame:
+    """``materialize`` outside the innermost scratch scope."""
+    held = _scopes.pop() if _scopes else None
+    try:
+        return materialize(df, kind)
+    finally:
+        if held is not None:
+            _scopes.append(held)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_side(df: DataFrame, limit: int = ROWS_TO_BROADCAST) -> DataFrame:
     """``df``, a written table of narrow rows, marked for broadcast if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

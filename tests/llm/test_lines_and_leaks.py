@@ -21,7 +21,7 @@ def distance(a, b):
 
 
 def norm(line):
-    return re.sub(r"[^\w]+|_+", " ", line.lower()).strip()
+    return re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", line.lower()).strip()
 
 
 def groups(pairs, nodes):
@@ -63,7 +63,7 @@ def expected_lines(spark, docs, spec):
             if norm(line):
                 where.setdefault(norm(line), []).append((d, k))
     texts = sorted(where)
-    frame = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, line_no int, norm string")
+    frame = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, line_no int, line string")
     sim = {r.doc_id: r.simhash & (1 << 64) - 1 for r in line_dedup.sketched(frame).collect()}
     pairs = []
     for i, a in enumerate(texts):
@@ -80,8 +80,9 @@ def expected_lines(spark, docs, spec):
     return out, len(pairs)
 
 
-@pytest.mark.parametrize("max_bits", [3, 2])
-def test_duplicate_lines_match_brute_force(spark, max_bits):
+@pytest.mark.parametrize("max_bits,few", [(3, 16), (2, 16), (3, 1)])
+def test_duplicate_lines_match_brute_force(spark, monkeypatch, max_bits, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
     docs, spec = line_docs(), line_dedup.LineSpec(max_bits=max_bits, min_similarity=0.8)
     docs += [(500, None), (501, ""), (502, "\n\n--\n"), (None, docs[3][1]), (503, "x " * 70000)]
     want, links = expected_lines(spark, [d for d in docs if d[0] != 503], spec)
