@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality_rules, token_counts, token_file, warc
+from . import decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, oracles, packing, quality_rules, token_counts, token_file, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,4 +57,4 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_best_fit_packing, op4_jaccard_join, op5_language_id, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_warc, op10_token_file)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_jaccard_join": oracles.OP4, "op7_quality_rules": oracles.OP7, "op9_warc": oracles.OP9}
