@@ -349,7 +349,7 @@ def _(spark, sf_dir):
 # --- scalar functions
 
 
-@query("f01_format_size", "SELECT l_orderkey, l_linenumber, n, CASE WHEN n <= 0 THEN '0 B' WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS size_text FROM (SELECT l_orderkey, l_linenumber, CAST(l_orderkey * (l_linenumber - 1) * 977 + l_partkey * 3 AS BIGINT) AS n FROM lineitem)")
+@query("f01_format_size", "SELECT l_orderkey, l_linenumber, n, CASE WHEN n <= 0 THEN '0 B' WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) ELSE printf('%.2f GB', floor(n * 100 / 1073741824.0 + 0.5) / 100) END AS size_text FROM (SELECT l_orderkey, l_linenumber, CAST(l_orderkey * (l_linenumber - 1) * 977 + l_partkey * 3 AS BIGINT) AS n FROM lineitem)")
 def _(spark, sf_dir):
     n = (F.col("l_orderkey") * (F.col("l_linenumber") - 1) * 977 + F.col("l_partkey") * 3).cast("long")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n")).withColumn("size_text", scalars.format_size(F.col("n")))

@@ -184,7 +184,7 @@ def _(spark, sf_dir):
     return e.select("doc_id", F.posexplode("embedding").alias("pos", "x")).where("x > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
-@query("a09_compare_vectors", "SELECT a.vec_id, round(CAST(list_max(list_transform(range(1, 65), lambda i: abs(a.embedding[i] - b.embedding[i]))) AS DOUBLE), 5) AS max_error, round(sqrt(list_avg(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - b.embedding[i], 2)))), 5) AS rmse FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("a09_compare_vectors", "SELECT a.vec_id, round(CAST(list_max(list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))) AS DOUBLE), 5) AS max_error, round(sqrt(list_avg(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - b.embedding[i], 2)))), 5) AS rmse FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
