@@ -185,7 +185,7 @@ class KneserNey:
 def blocks(batches: Iterator[pa.RecordBatch], keys_of, bits: int) -> Iterator[pa.RecordBatch]:
     """One row per range for each slice of text: its keys and counts, packed."""
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", min(32, 4 << max(0, bits - 10)) << 20):  # more ranges, larger slices: blocks stay worth packing
             keys, counts = tally(keys_of(scan(part.column("text"), True)))
             cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             rows = [(p, pack_block(keys[a:b], counts[a:b])) for p, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)) if b > a]
@@ -269,12 +269,19 @@ def count_follows(rows: DataFrame, uri: str) -> DataFrame:
     return rows.select("part", "block").repartition("part").sortWithinPartitions("part").mapInArrow(store, "part int, c0 long, c1 long, c2 long, c3 long, c4 long")
 
 
-def train_model(train: DataFrame, bits: int = 7, uri: str | None = None) -> KneserNey:
+def range_bits(n_bytes: int) -> int:
+    """Bits for about 32 MB of text to a hash range, from 7 to 17."""
+    return max(7, min(17, (n_bytes >> 25).bit_length()))
+
+
+def train_model(train: DataFrame, bits: int | None = None, uri: str | None = None) -> KneserNey:
     """Count the rows' texts (column ``text``) and store the arrays below ``uri``.
 
-    ``bits`` sets 2**bits hash ranges; a task holds one range at a time, so it
-    should grow with the corpus (one range for some ten million distinct bigrams).
+    ``bits`` sets 2**bits hash ranges; a task holds one range at a time, so by
+    default it grows with the input.
     """
+    if bits is None:
+        bits = range_bits(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     uri = uri or shared_dir(train.sparkSession, "kneser-ney")
     words = count_words(train, f"{uri}/words", bits).collect()  # a row a range
     bigrams = materialize(count_bigrams(train, uri, bits), "follows")
@@ -305,7 +312,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame, folds: int = 10, bits: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 10, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows that are not held out, score all, and add perplexity."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = train_model(rows.where(~held_out("doc_id", folds)).select("text"), bits)

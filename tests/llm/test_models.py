@@ -71,6 +71,11 @@ def test_lm_of_an_empty_table(no_docs):
     assert lm_scoring.lm_scores(no_docs, bits=2).count() == 0
 
 
+def test_ranges_grow_with_the_input(made_docs):
+    assert [lm_scoring.range_bits(n) for n in (0, 1 << 30, 1 << 36, 1 << 50)] == [7, 7, 12, 17]
+    assert lm_scoring.train_model(made_docs.select("text")).words.bits == 7
+
+
 def test_blocks_round_trip():
     import numpy as np
 
