@@ -143,9 +143,9 @@ _FUSED = (
 )
 
 
-@query("v06_fuse_embeddings", f"{FILESV}, {_FUSED} SELECT file_id, pos, round(x, 4) AS x FROM fused WHERE file_id % 10 = 3")
+@query("v06_fuse_embeddings", f"{FILESV}, {_FUSED} SELECT file_id, pos, round(x, 4) AS x FROM fused")
 def _(spark, sf_dir):
-    f = vectors.fuse_embeddings(files_with_vectors(spark, sf_dir, *_VS).where("ext = 'mp4'"))
+    f = vectors.fuse_embeddings(files_with_vectors(spark, sf_dir, *_VS))
     return f.select("file_id", F.posexplode("search_emb").alias("pos", "x")).select("file_id", F.col("pos").cast("long").alias("pos"), F.round("x", 4).alias("x"))
 
 
@@ -175,12 +175,12 @@ def _(spark, sf_dir):
     return vectors.top_class(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
 
 
-_HASHED = "hashed AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE lang = 'en'))"
+_HASHED = "hashed AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents))"
 
 
 @query("v11_embed_column", f"WITH {_HASHED}, n AS (SELECT doc_id, pos, count(*) AS n FROM hashed GROUP BY doc_id, pos) SELECT doc_id, pos, round(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY doc_id) AS DOUBLE)), 5) AS x FROM n")
 def _(spark, sf_dir):
-    e = vectors.embed_column(table(spark, sf_dir, "documents").where("lang = 'en'"), "text", dim=DIM)
+    e = vectors.embed_column(table(spark, sf_dir, "documents"), "text", dim=DIM)
     return e.select("doc_id", F.posexplode("embedding").alias("pos", "x")).where("x > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
@@ -353,21 +353,21 @@ _ASCII = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+)"
 _SQL_ASCII = _ASCII.replace("'", "''")
 
 
-@query("t01_normalize", "SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'")
+@query("t01_normalize", "SELECT doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.normalize_text(F.col("text")).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("t"))
 
 
-_TOKENS = f"toks AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\s+', ' ', 'g')), '{_SQL_ASCII}', 1) AS tokens FROM documents WHERE lang = 'en')"
+_TOKENS = f"toks AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\s+', ' ', 'g')), '{_SQL_ASCII}', 1) AS tokens FROM documents)"
 
 
-def english_tokens(spark, sf_dir):
-    return text.pretokenize(table(spark, sf_dir, "documents").where("lang = 'en'"), "text", pattern=_ASCII).select("doc_id", "tokens")
+def ascii_tokens(spark, sf_dir):
+    return text.pretokenize(table(spark, sf_dir, "documents"), "text", pattern=_ASCII).select("doc_id", "tokens")
 
 
 @query("t02_pretokenize", f"WITH {_TOKENS} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n, md5(array_to_string(tokens, ' ')) AS digest FROM toks")
 def _(spark, sf_dir):
-    return english_tokens(spark, sf_dir).select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
+    return ascii_tokens(spark, sf_dir).select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
 @query("t02_pretokenize_unicode")
@@ -381,7 +381,7 @@ _IDS = f"{_VOCAB}, known AS (SELECT f.doc_id, v.id, row_number() OVER (PARTITION
 
 @query("t03_encode_tokens", f"WITH {_TOKENS}, {_IDS}, cut AS (SELECT d.doc_id, COALESCE(string_agg(id, ',' ORDER BY r) FILTER (WHERE r <= 62), '') AS s, count(id) FILTER (WHERE r <= 62) AS n FROM toks d LEFT JOIN known k USING (doc_id) GROUP BY d.doc_id) SELECT doc_id, '1000' || CASE WHEN n > 0 THEN ',' ELSE '' END || s || ',1001' || repeat(',0', CAST(62 - n AS INT)) AS ids FROM cut")
 def _(spark, sf_dir):
-    tokens = english_tokens(spark, sf_dir)
+    tokens = ascii_tokens(spark, sf_dir)
     vocab = text.corpus_vocab(tokens, "tokens", 500)
     ids = text.encode_tokens(tokens, "doc_id", "tokens", F.broadcast(vocab), 1000, 1001, 64)  # 500 rows
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
@@ -390,13 +390,13 @@ def _(spark, sf_dir):
 @query("t04_encode_subwords")
 def _(spark, sf_dir):
     merges = [("t", "h"), ("th", "e</w>"), ("i", "n"), ("in", "g</w>"), ("e", "r"), ("a", "n"), ("an", "d</w>"), ("o", "n"), ("e", "s"), ("n", "t")]
-    out = text.encode_subwords(english_tokens(spark, sf_dir), "doc_id", "tokens", merges)
+    out = text.encode_subwords(ascii_tokens(spark, sf_dir), "doc_id", "tokens", merges)
     return out.select("doc_id", F.size("pieces").cast("long").alias("n"), F.md5(F.array_join("pieces", " ").cast("binary")).alias("digest"))
 
 
 @query("t05_decode_tokens", f"WITH {_TOKENS}, {_IDS} SELECT d.doc_id, COALESCE(string_agg(v.token, ' ' ORDER BY k.r), '') AS text FROM toks d LEFT JOIN known k ON k.doc_id = d.doc_id AND k.r <= 62 LEFT JOIN vocab v ON v.id = k.id AND v.id < 400 GROUP BY d.doc_id")
 def _(spark, sf_dir):
-    tokens = english_tokens(spark, sf_dir)
+    tokens = ascii_tokens(spark, sf_dir)
     vocab = F.broadcast(text.corpus_vocab(tokens, "tokens", 500))
     ids = text.encode_tokens(tokens, "doc_id", "tokens", vocab, 1000, 1001, 64, pad=-1)
     return text.decode_tokens(ids, "doc_id", "ids", vocab, end_id=400)
