@@ -101,6 +101,21 @@ def test_duplicate_lines_match_brute_force(spark, monkeypatch, max_bits, few):
     assert cleaned[500] is None and cleaned[501] == "" and cleaned[502] == "\n\n--\n" and cleaned[None] == docs[3][1]
 
 
+def test_edits_of_line_pairs(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(400):
+        a = [rng.choice(["ab", "abc", "b", "cab", "ba"]) for _ in range(rng.randint(1, 7))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.choice(["ab", "abc", "b"])] * rng.randint(0, 2)
+        b = b or ["ab"]
+        rows.append((" ".join(a), " ".join(b), rng.randint(0, 8)))
+    got = spark.createDataFrame(rows, "t_a string, t_b string, most int").select("*", F.expr(line_dedup.edits_within("most")).alias("ok")).collect()
+    assert all(r.ok == (distance(r.t_a, r.t_b) <= r.most) for r in got)
+
+
 def test_lines_of_an_empty_table(no_docs):
     assert line_dedup.duplicate_lines(no_docs).count() == 0 and line_dedup.dedup_lines(no_docs).count() == 0
 
