@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keep, materialize, scratch, small_side
-from .textscan import ngrams, scan, slices
+from .textscan import ngrams, scan, slices, small_batches
 
 
 @dataclass(frozen=True)
@@ -121,6 +121,7 @@ def hits_of(docs: DataFrame, seeds: DataFrame, spec: LeakSpec) -> DataFrame:
 
 def find_leaks(docs: DataFrame, items: DataFrame, spec: LeakSpec = LeakSpec(), id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each leaked item in each document, as a written table."""
+    small_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         return keep(_found(docs, items, spec, id_col, text_col, item_id_col, item_text_col), "leaks")
 

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import keep, materialize, scratch, small_side
-from .textscan import mix, ngrams, scan, slices
+from .textscan import mix, ngrams, scan, slices, small_batches
 
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -293,6 +293,7 @@ def join_regions(rows: DataFrame, spec: JoinSpec) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row, as a written table; see the module."""
+    small_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         return keep(_joined(docs, spec, id_col, text_col), "components")
 

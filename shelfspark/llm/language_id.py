@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import slices
+from .textscan import slices, small_batches
 
 N_GRAM = 3
 BUCKETS = 1 << 15
@@ -83,6 +83,7 @@ def codewords(n: int) -> np.ndarray:
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang, bucket, n) over all rows of (lang, text), combined within each task before the shuffle."""
+    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -125,6 +126,7 @@ def fit(docs: DataFrame) -> LanguageModel:
 
 def predict(docs: DataFrame, model: LanguageModel, min_lead: float = 0.05, keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred, score (0 to 1) and ambiguous to rows with ``text``; ``keep`` names the columns to carry."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     fields = [docs.schema[c] for c in keep]
     source = docs if "text" in keep else docs.select(*keep, "text")

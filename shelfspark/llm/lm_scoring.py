@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .language_id import held_out
 from .storage import materialize, shared_dir
-from .textscan import Words, mix, scan, slices
+from .textscan import Words, scan, slices, small_batches
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -314,6 +314,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
 
 def lm_scores(docs: DataFrame, folds: int = 10, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows that are not held out, score all, and add perplexity."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = train_model(rows.where(~held_out("doc_id", folds)).select("text"), bits)
     return score(rows, model).select(

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+HASH_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -38,7 +39,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 2 * SLICE_BYTES:
+        if n <= 2 * HASH_BYTES:
             _powers[base] = have
     return have[:n]
 
@@ -66,7 +67,7 @@ class Words:
         """64-bit hash of each word's bytes, in windows of bounded size."""
         out, i, n = np.empty(len(self), dtype=np.uint64), 0, len(self)
         while i < n:
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SLICE_BYTES, "right")))
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + HASH_BYTES, "right")))
             lo, hi = int(self.starts[i]), int(self.ends[j - 1])
             part = np.empty(hi - lo + 1, dtype=np.uint64)
             part[0] = 0
@@ -110,6 +111,14 @@ def ngrams(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return mix(h[first]), first
 
 
+def small_batches(spark, rows: int = 2000) -> None:
+    """Let Arrow batches hold at most so many rows; whole texts make wide rows, and JVM and worker hold a batch each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text in each part stays near ``limit`` bytes; a longer text is alone."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

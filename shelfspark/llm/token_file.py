@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, shared_dir
-from .textscan import scan, slices
+from .textscan import scan, slices, small_batches
 from .tokenization import tokenizer
 
 ROWS_PER_BATCH = 512
@@ -108,6 +108,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, len
     bytes wide where the vocabulary allows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = uri or shared_dir(spark, "token-files")
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 

@@ -15,7 +15,7 @@ import numpy as np
 
 from .textscan import Words
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 _open: dict[str, "WordTokenizer"] = {}
 
 
