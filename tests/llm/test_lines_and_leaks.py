@@ -101,6 +101,18 @@ def test_duplicate_lines_match_brute_force(spark, monkeypatch, max_bits, few):
     assert cleaned[500] is None and cleaned[501] == "" and cleaned[502] == "\n\n--\n" and cleaned[None] == docs[3][1]
 
 
+def test_simhash_is_the_majority_of_word_hashes(spark):
+    rng = random.Random(17)
+    lines = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (1, 2, 3, 10, 301)] + ["z " * 70000, "a " * 9000 + "b " * 6999]
+    frame = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)], "doc_id long, line_no int, line string")
+    words = sorted({w for t in lines for w in t.split()})
+    h = {r.w: r.h & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    got = {r.doc_id: r.simhash & (1 << 64) - 1 for r in line_dedup.sketched(frame).collect()}
+    for i, t in enumerate(lines):
+        w = t.split()
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h[x] >> b & 1 for x in w) > len(w))
+
+
 def test_edits_of_line_pairs(spark):
     rng = random.Random(13)
     rows = []
