@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -25,16 +24,16 @@ def duck():
     return con
 
 
-def rows(df: pd.DataFrame) -> list[tuple]:
-    cells = df[sorted(df.columns)].astype(object)
-    clean = lambda x: None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else round(float(x), 6) + 0.0 if isinstance(x, float) else x
-    return sorted((tuple(map(clean, r)) for r in cells.itertuples(index=False)), key=lambda r: tuple((x is None, str(x)) for x in r))
+def rows(names: list[str], found: list[tuple]) -> list[tuple]:
+    order = sorted(range(len(names)), key=names.__getitem__)
+    clean = lambda x: round(x, 6) + 0.0 if isinstance(x, float) else x
+    return sorted((tuple(clean(r[i]) for i in order) for r in found), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF_DIR)
-    got = df.toPandas()
+    got = df.collect()
     sql = plans.ORACLE_SQL.get(name)
     if sql is None:
         assert len(got)
@@ -42,7 +41,7 @@ def test_query(spark, duck, name):
     want = duck.sql(sql)
     types = dict(zip(want.columns, map(str, want.types), strict=True))
     assert {c: SPARK_TYPES.get(t, t) for c, t in df.dtypes} == types
-    assert rows(got) == rows(want.df())
+    assert rows(df.columns, [tuple(r) for r in got]) == rows(list(want.columns), want.fetchall())
 
 
 def test_entry_gives_rows(spark):
