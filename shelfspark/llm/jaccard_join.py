@@ -132,7 +132,10 @@ class Region:
         self.spec, self.size = spec, np.array([len(s) for s in sets])
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
         self.sets = np.split(flat, np.cumsum(self.size)[:-1])
-        self.universe = int(flat.max()) + 1 if len(flat) else 0
+        # who holds each shingle: an overlap costs what its pivot's shingles are shared, not the region
+        self.holders = np.repeat(np.arange(len(sets)), self.size)[np.argsort(flat, kind="stable")]
+        self.holds = np.bincount(flat, minlength=1)
+        self.first = np.cumsum(self.holds) - self.holds
         self.parent = list(range(len(sets)))
 
     def root(self, i: int) -> int:
@@ -145,41 +148,42 @@ class Region:
         a, b = self.root(i), self.root(j)
         self.parent[max(a, b)] = min(a, b)
 
-    def overlaps(self, p: int, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        mark = np.zeros(self.universe, np.int32)
-        mark[self.sets[p]] = 1
-        return np.add.reduceat(mark[flat], starts)
+    def overlaps(self, p: int) -> np.ndarray:
+        n = self.holds[self.sets[p]]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(self.first[self.sets[p]], n)
+        return np.bincount(self.holders[at], minlength=len(self.size))
 
-    def resolve(self, p: int, members: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def resolve(self, p: int, members: np.ndarray) -> np.ndarray:
         """Link the pivot with all members in its radius; returns the distances."""
-        both = self.overlaps(p, flat, starts)
+        both = self.overlaps(p)[members]
         union = self.size[p] + self.size[members] - both
         for m in members[100 * both >= self.spec.percent * union]:
             self.link(p, m)
         return 1 - both / union
 
+    def apart(self, members: np.ndarray) -> bool:
+        first = self.root(members[0])
+        return any(self.root(i) != first for i in members)
+
     def join(self, members: np.ndarray) -> None:
         """Resolve all pairs of members: pivots, Voronoi regions with windows, and again."""
-        if len(members) < 2 or len({self.root(i) for i in members}) == 1:
-            return
-        flat = np.concatenate([self.sets[i] for i in members])
-        starts = np.cumsum(self.size[members]) - self.size[members]
         left = members
-        while len(left) > 1 and len({self.root(i) for i in left}) > 1:
+        while len(left) > 1 and self.apart(left):
             p = left[0]
-            near_p = self.resolve(p, members, flat, starts)
-            left = left[1:]
+            near_p = self.resolve(p, left)
             if len(left) < 32:
+                left = left[1:]
                 continue
-            q = members[int(np.argmax(np.where(np.isin(members, left), near_p, -1)))]
-            near_q = self.resolve(q, members, flat, starts)
-            left = left[left != q]
-            window, alive = 2 * self.spec.radius + 1e-9, np.isin(members, left)
-            first, second = (members[alive & (x <= y + window)] for x, y in ((near_p, near_q), (near_q, near_p)))
-            if max(len(first), len(second)) < 0.7 * len(members):
+            q = left[int(np.argmax(near_p))]
+            near_q = self.resolve(q, left)
+            window, rest = 2 * self.spec.radius + 1e-9, (left != p) & (left != q)
+            first, second = (left[rest & (x <= y + window)] for x, y in ((near_p, near_q), (near_q, near_p)))
+            if max(len(first), len(second)) < 0.7 * len(left):
                 self.join(first)
                 self.join(second)
                 return
+            left = left[rest]
 
 
 def frequent_shingles(docs: DataFrame, spec: JoinSpec) -> np.ndarray:
