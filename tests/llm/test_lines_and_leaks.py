@@ -113,6 +113,51 @@ def test_simhash_is_the_majority_of_word_hashes(spark):
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h[x] >> b & 1 for x in w) > len(w))
 
 
+def near_lines(rng, vocab, n):
+    """Line pairs: words replaced, or characters changed, taken out and put in, up to the edit limit."""
+    out = []
+    for k in range(n):
+        a = " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 12) if k % 2 else rng.randint(10, 60)))
+        b = list(a)
+        if k % 4 == 0:
+            w = a.split(" ")
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+            b = list(" ".join(w))
+        else:
+            for _ in range(rng.randint(1, max(1, len(a) // (10 if k % 2 else 20)))):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randint(0, 1)] = [rng.choice("hijk")] * rng.randint(0, 1)
+        out += [a, "".join(b)]
+    return out
+
+
+def test_lines_at_the_edit_limit_are_found_whatever_their_simhash(spark):
+    rng = random.Random(23)
+    vocab = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) for _ in range(600)]
+    docs = [(i, t) for i, t in enumerate(near_lines(rng, vocab, 40)) if norm(t)]
+    want, links = expected_lines(spark, docs, line_dedup.LineSpec(max_bits=64))  # edit similarity alone
+    got = {tuple(r) for r in line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and links > 20
+
+
+def test_segment_keys_bring_every_short_pair_together(spark):
+    rng = random.Random(29)
+    rows = []
+    for k in range(600):
+        a = [rng.choice("abcdefghij ") for _ in range(rng.randint(1, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.choice("abcdefghij")] * rng.randint(0, 1)
+        a, b = norm("".join(a)), norm("".join(b))
+        most = max(len(a), len(b))
+        if a and b and most <= 60 and distance(a, b) <= int(0.1 * most + 1e-9):
+            rows.append((a, b))
+    keys = lambda t: line_dedup.segment_keys(t, f"char_length({t})", line_dedup.LineSpec())
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.arrays_overlap(keys("a"), keys("b")).alias("met")).collect()
+    assert len(rows) > 100 and all(r.met for r in got), [r for r in got if not r.met][:3]
+
+
 def test_edits_of_line_pairs(spark):
     rng = random.Random(13)
     rows = []
