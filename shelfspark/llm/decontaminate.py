@@ -1,10 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items are seeds. A seed is rare if the documents that
-hold it are at most ``rarity`` times as many as those of its item's median seed;
-the rest (runs of function words) say nothing. This is relative to the item, so an
-item that leaked into very many documents keeps its seeds. Each place in a
-document where a rare seed matches is a window to align with the item: matches
+Word n-grams of the test items are seeds. However frequent a seed is, each place in
+a document where it matches is a window to align with the item (how often a seed
+occurs doesn't tell whether the passage around it leaked into many copies): matches
 count 2, mismatches and gaps -1, and the score is the share of the best possible.
 
 Seeds are compared in the tasks that scan the text if they number at most
@@ -35,7 +33,6 @@ from .textscan import ngrams, scan, slices, small_batches
 class LeakSpec:
     n: int = 3
     min_score: float = 0.5
-    rarity: int = 20
     bucket: int = 32  # windows start at multiples of this many words
     pad: int = 12
     max_local_seeds: int = 2_000_000
@@ -132,11 +129,7 @@ def _found(docs: DataFrame, items: DataFrame, spec: LeakSpec, id_col: str, text_
     seeds = materialize(seeds_of(own, spec.n), "seeds")
     hits = materialize(hits_of(rows, seeds, spec), "seed-hits")
 
-    found_in = hits.groupBy("seed").agg(F.count("*").alias("df"))
-    in_items = seeds.select("item_id", "seed").distinct().join(found_in, "seed")
-    usual = in_items.groupBy("item_id").agg(F.expr("percentile_disc(0.5) within group (order by df)").alias("usual"))
-    rare = in_items.join(usual, "item_id").where(F.col("df") <= spec.rarity * F.col("usual")).select("item_id", "seed")
-    places = seeds.select("item_id", "seed", "item_pos").join(rare, ["item_id", "seed"])
+    places = seeds.select("item_id", "seed", "item_pos")
     windows = hits.join(places, "seed").select("doc_id", "item_id", F.floor((F.col("pos") - F.col("item_pos")) / spec.bucket).alias("bucket")).distinct()
     item_words = seeds.groupBy("item_id").agg(F.first("words").alias("words"))
     # a row per document: its text travels once, and only where there is something to align

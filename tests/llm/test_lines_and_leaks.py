@@ -228,6 +228,17 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, local):
     assert left == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_edited_copies_are_found_beside_a_verbatim_one(spark):
+    rng = random.Random(31)
+    item = [f"w{i}" for i in range(40)]
+    edited = [f"other{i}" if i % 5 == 4 else w for i, w in enumerate(item)]
+    around = lambda w: " ".join([f"x{rng.randrange(9999)}" for _ in range(20)] + w + [f"y{rng.randrange(9999)}" for _ in range(20)])
+    docs = [(i, around(edited)) for i in range(25)] + [(25, around(item)), (26, around([]))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(got) == set(range(26)) and got[25] == 1.0
+
+
 def test_leaks_of_empty_tables(spark, no_docs):
     bench = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     assert decontaminate.find_leaks(no_docs, bench).count() == 0
