@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import keep, materialize, scratch
+from .storage import ROWS_TO_BROADCAST, discard, keep, materialize, scratch
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -28,12 +28,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now, last = materialize(pairs, "edges"), None
         stamp = _stamp(now)
         while stamp != last and stamp[0]:
+            # a node with many neighbours: its least one is found map-side, and if the rows allow it, is sent to them rather than they to it
+            few = F.broadcast if 2 * stamp[0] <= ROWS_TO_BROADCAST else lambda df: df
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = both.where("v > u").join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = materialize(large, "edges")
             least = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-            now, last = materialize(small, "edges"), stamp
+            small = large.join(few(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+            small = materialize(small, "edges")
+            for done in (now, large):
+                discard(done)
+            now, last = small, stamp
             stamp = _stamp(now)
         members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         return keep(members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")

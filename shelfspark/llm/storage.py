@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -34,37 +35,51 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Scratch scopes of the thread, the innermost last."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = []
+
+
+_own = _Scopes()
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = shared_dir(df.sparkSession, kind)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _own.stack:
+        _own.stack[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Drop a table from ``materialize`` before its scope ends; nothing may read it any more."""
+    drop(df.sparkSession, df._written_to)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are written inside go at the end; write what is to stay with ``keep``."""
-    _scopes.append([])
+    _own.stack.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _own.stack.pop():
             drop(spark, path)
 
 
 def keep(df: DataFrame, kind: str) -> DataFrame:
     """``materialize`` outside the innermost scratch scope."""
-    held = _scopes.pop() if _scopes else None
+    held = _own.stack.pop() if _own.stack else None
     try:
         return materialize(df, kind)
     finally:
         if held is not None:
-            _scopes.append(held)
+            _own.stack.append(held)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -75,3 +90,11 @@ def drop(spark: SparkSession, path: str) -> None:
 def small_side(df: DataFrame, limit: int = ROWS_TO_BROADCAST) -> DataFrame:
     """``df``, a written table of narrow rows, marked for broadcast if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
