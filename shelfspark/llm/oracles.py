@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE, SYMBOLS, TERMINAL
+from .quality_rules import BARS, BOILERPLATE, SYMBOLS, TERMINAL
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -26,10 +26,10 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w FROM d),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, CAST(sum(CASE WHEN nxt IS NULL THEN 8 ELSE least(8, nxt - i) END) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
-l AS (SELECT doc_id, l, regexp_extract_all(l, '{WORD}') AS w, right(rtrim(l), 1) IN ({_quoted}) AS ended, length(translate(l, {BLANKS}, '')) AS chars FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+l AS (SELECT doc_id, l, regexp_extract_all(l, '{WORD}') AS w, right(rtrim(l, {BLANKS} || chr(160)), 1) IN ({_quoted}) AS ended, length(translate(l, {BLANKS}, '')) AS chars FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
 worded AS (SELECT *, length(l) AS n FROM l WHERE chars > 0),
-judged AS (SELECT doc_id, l, chars, (n - length(translate(l, '{SYMBOLS}', ''))) * 100 > n * 10 OR n - length(translate(l, '|»›', '')) >= 3 OR (NOT ended AND n < 200 AND regexp_matches(l, '{BOILERPLATE}'))
-  OR (len(w) < 3 AND NOT ended) OR (len(w) >= 10 AND len(list_distinct(w)) * 4 < len(w)) AS fails FROM worded),
+judged AS (SELECT doc_id, l, chars, (n - length(translate(l, '{SYMBOLS}', ''))) * 100 > n * 10 OR n - length(translate(l, '{BARS}', '')) >= 3 OR (NOT ended AND n < 200 AND regexp_matches(l, '{BOILERPLATE}'))
+  OR (len(w) < 3 AND NOT ended) OR (NOT ended AND len(w) >= 3 AND len(list_filter(w, lambda x: lower(left(x, 1)) = left(x, 1))) = 0) OR (len(w) >= 10 AND len(list_distinct(w)) * 4 < len(w)) AS fails FROM worded),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, COALESCE(CAST(sum(chars) FILTER (WHERE NOT fails) AS BIGINT), 0) AS clean_chars FROM judged GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, {BLANKS}, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
   COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(cov.n, 0) AS n_repeat_words, COALESCE(clean_chars, 0) AS clean_chars FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)),

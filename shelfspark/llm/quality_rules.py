@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+NO_BREAK = "\u00a0"
 SYMBOLS = "#*$%&|<>"
+#: Characters between the items of a menu or path.
+BARS = "|»›·•"
 #: Characters that may end a sentence, also inside closing quotes or brackets.
 TERMINAL = list(".!?…:;\"'”’»)]。！？")
 #: Phrases of page furniture rather than prose.
 BOILERPLATE = (
-    r"(?i)\b(cookie policy|privacy policy|terms of (use|service)|all rights reserved|copyright|©|javascript is (disabled|required)"
+    r"(?i)©|\b(cookie policy|privacy policy|terms of (use|service)|all rights reserved|copyright|javascript is (disabled|required)"
     r"|enable javascript|subscribe to our newsletter|sign up for|click here|log ?in to|lorem ipsum|powered by)"
 )
 
@@ -38,6 +41,7 @@ class Rules:
     max_loss_percent: int = 50
     max_symbol_percent: int = 10
     min_line_words: int = 3
+    min_title_words: int = 3  # a line without an end, of so many words with capitals, is a row of titles or labels
     repeat_line_words: int = 10
     repeat_line_share: int = 4  # a line of at least repeat_line_words words needs a distinct word for each so many
 
@@ -79,14 +83,16 @@ def repeated_words(words: Column, window: int) -> Column:
 
 def line_fails(line: Column, rules: Rules) -> Column:
     """True for navigation, symbol noise, repetition, boilerplate, and fragments without an end."""
-    ended = F.right(F.rtrim(line), F.lit(1)).isin(TERMINAL)
+    ended = F.right(F.rtrim(line, F.lit(BLANKS + NO_BREAK)), F.lit(1)).isin(TERMINAL)
     symbols = count_symbols(line) * 100 > F.char_length(line) * rules.max_symbol_percent
-    bars = F.char_length(line) - F.char_length(F.translate(line, "|»›", "")) >= 3
+    bars = F.char_length(line) - F.char_length(F.translate(line, BARS, "")) >= 3
 
     def by_words(w: Column) -> Column:
         short = (F.size(w) < rules.min_line_words) & ~ended
+        initial = lambda x: F.left(x, F.lit(1))
+        titles = ~ended & (F.size(w) >= rules.min_title_words) & F.forall(w, lambda x: F.lower(initial(x)) != initial(x))
         repeats = (F.size(w) >= rules.repeat_line_words) & (F.size(F.array_distinct(w)) * rules.repeat_line_share < F.size(w))
-        return short | repeats
+        return short | titles | repeats
 
     return symbols | bars | (~ended & (F.char_length(line) < 200) & line.rlike(BOILERPLATE)) | let(words_of(line), by_words)
 

@@ -2,7 +2,10 @@
 
 ``spark.read.format("warc").schema(...).load(folder)`` plans partitions from the
 archive files, pushes record-type and header predicates into the reader, parses
-headers first and inflates a payload only if a requested column needs it.
+headers first and inflates a payload only if a requested column needs it. Archives
+of other writers are read too: gzip members without skip lengths (inflated, but not
+kept, where nothing of them is wanted), archives that aren't compressed, and records
+of all types; ``payload`` is the block, without HTTP headers if it has them.
 ``df.write.format("warc").save(folder)`` writes one archive per task, each record
 a gzip member whose ``sl`` extra field tells its length (WARC annex D), so a
 reader can pass over it without inflating it.
@@ -14,7 +17,8 @@ given to the reader selects them.
 Defined results: null payload and null URI count as empty; records with equal
 payloads are told apart by id, the largest being the response (rows that repeat
 this id are all responses); null ids sort lowest and are written as ``null``;
-other columns are ignored; an empty table writes no archive and reads as empty.
+other columns are ignored; an empty table writes no archive and reads as empty; a
+revisit that doesn't tell the length or digest of its payload has null there.
 """
 
 from __future__ import annotations
@@ -145,6 +149,103 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{path}/{m.name}")
 
 
+class Stream:
+    """A seekable source with bytes that can be put back."""
+
+    def __init__(self, source):
+        self.source, self.back = source, b""
+
+    def read(self, n: int) -> bytes:
+        out, self.back = self.back[:n], self.back[n:]
+        return out + self.source.read(n - len(out)) if len(out) < n else out
+
+    def unread(self, data: bytes) -> None:
+        self.back = data + self.back
+
+    def skip(self, n: int) -> None:
+        held = min(n, len(self.back))
+        self.back = self.back[held:]
+        if n > held:
+            self.source.seek(n - held, 1)
+
+
+class Record:
+    """A record as it lies in an archive that isn't compressed."""
+
+    def __init__(self, stream: Stream):
+        self.stream, self.held, self.left = stream, b"", 0
+
+    def more(self, limit: int) -> bytes:
+        """Some more bytes, at most ``limit``; none at the end."""
+        return self.stream.read(limit)
+
+    def block(self, begun: bytes, size: int) -> None:
+        """Tell the size of the block, of which ``begun`` has been read."""
+        self.held, self.left = begun[:size], size - len(begun[:size])
+        self.stream.unread(begun[size:])
+
+    def rest(self) -> bytes:
+        """The whole block."""
+        parts = [self.held]
+        while self.left and (data := self.more(min(self.left, 1 << 20))):
+            parts.append(data)
+            self.left -= len(data)
+        return b"".join(parts)
+
+    def close(self) -> None:
+        self.stream.skip(self.left)
+
+
+class Member(Record):
+    """A record that is a gzip member; with a skip length, what is not wanted is passed over."""
+
+    def __init__(self, stream: Stream, size: int | None):
+        super().__init__(stream)
+        self.size, self.z, self.waiting = size, zlib.decompressobj(31), b""
+
+    def more(self, limit: int) -> bytes:
+        while not self.z.eof:
+            data = self.waiting
+            if not data:
+                data = self.stream.read(_HEAD if self.size is None else min(_HEAD, self.size))
+                if not data:
+                    raise ValueError("a gzip member ends early")
+                if self.size is not None:
+                    self.size -= len(data)
+            out = self.z.decompress(data, limit)  # no more than that, however far the data would inflate
+            self.waiting = self.z.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    def block(self, begun: bytes, size: int) -> None:
+        self.held, self.left = begun[:size], size - len(begun[:size])
+
+    def close(self) -> None:
+        if self.size is not None:
+            self.stream.skip(self.size)
+        else:
+            while self.more(1 << 16):
+                pass
+            self.stream.unread(self.z.unused_data)
+
+
+def next_record(stream: Stream) -> Record | None:
+    """The record that begins at the stream's place, after blank lines."""
+    while True:
+        head = stream.read(24)
+        stream.unread(head)
+        if not head:
+            return None
+        if head[:2] == b"\x1f\x8b":
+            return Member(stream, struct.unpack_from("<I", head, 16)[0] if head[3] & 4 and head[12:14] == b"sl" else None)
+        if head.startswith(b"WARC/"):
+            return Record(stream)
+        if head[:1] not in b"\r\n":
+            raise ValueError("neither a WARC record nor a gzip member")
+        stream.read(1)
+
+
 #: Columns that headers alone answer, and how.
 HEADER_OF = {"record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To"}
 
@@ -166,11 +267,17 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[ArchivePartition]:
+        """Archives are dealt out by size; one archive is never divided."""
         fs, path = pafs.FileSystem.from_uri(self.uri)
-        with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
-            names = json.loads(f.read())
+        if fs.get_file_info(path).is_file:
+            return [ArchivePartition([self.uri])]
+        if fs.get_file_info(f"{path}/{MANIFEST}").is_file:
+            with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
+                infos = fs.get_file_info([f"{path}/{n}" for n in json.loads(f.read())])
+        else:  # a folder that this source has not written
+            infos = [i for i in fs.get_file_info(pafs.FileSelector(path)) if i.is_file and i.base_name.endswith((".warc", ".warc.gz"))]
         parts, held, size = [], [], 0
-        for info in fs.get_file_info([f"{path}/{n}" for n in names]):
+        for info in sorted(infos, key=lambda i: i.base_name):
             if held and size + info.size > self.split_bytes:
                 parts, held, size = [*parts, ArchivePartition(held)], [], 0
             held, size = [*held, f"{self.uri.rstrip('/')}/{info.base_name}"], size + info.size
@@ -181,35 +288,30 @@ class WarcReader(DataSourceReader):
         return out | {c: out[c].strip("<>").removeprefix(URN) if out[c] else None for c in ("record_id", "refers_to")}
 
     def records(self, source) -> Iterator[dict]:
-        need = "payload" in self.columns or bool({"payload_digest", "payload_bytes"} & set(self.columns))
-        while head := source.read(24):
-            if head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"sl":
-                raise ValueError("not a gzip member with a skip length")
-            skip = struct.unpack_from("<I", head, 16)[0]
-            first = source.read(min(_HEAD, skip - 24))
-            z = zlib.decompressobj(-15)
-            data = z.decompress(first)
-            rest = skip - 24 - len(first)
-            while (parsed := parse_head(data)) is None and rest:
-                more = source.read(min(_HEAD, rest))
-                rest -= len(more)
-                data += z.decompress(more)
+        need = bool({"payload", "payload_digest", "payload_bytes"} & set(self.columns))
+        stream = Stream(source)
+        while (body := next_record(stream)) is not None:
+            data = b""
+            while (parsed := parse_head(data)) is None:
+                more = body.more(_HEAD)
+                if not more:
+                    raise ValueError("a WARC record ends within its headers")
+                data += more
             fields, at = parsed
+            body.block(data[at:], int(fields.get("Content-Length", 0)))
             row = self.values(fields)
             if any(row[c] not in v for c, v in self.wanted.items()):
-                source.seek(rest, 1) if rest else None
+                body.close()
                 continue
-            payload = None
             if need and row["record_type"] != "revisit":
-                data += z.decompress(source.read(rest)) if rest else b""
-                block = memoryview(data)[at : at + int(fields["Content-Length"])]
-                payload = bytes(block[bytes(block[: 1 << 16]).index(b"\r\n\r\n") + 4 :])
-            elif rest:
-                source.seek(rest, 1)
-            if payload is None:  # a revisit tells digest and length of the payload that it leaves out
-                row |= {"payload": None, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(fields["X-Payload-Length"])}
-            else:
+                payload = body.rest()
+                if fields.get("Content-Type", "").startswith("application/http"):
+                    payload = payload.partition(b"\r\n\r\n")[2]
                 row |= {"payload": payload, "payload_digest": b32(hashlib.sha1(payload).digest()), "payload_bytes": len(payload)}
+            else:  # a revisit tells digest and length of the payload that it leaves out
+                size = fields.get("X-Payload-Length")
+                row |= {"payload": None, "payload_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, "payload_bytes": int(size) if size else None}
+            body.close()
             yield row | {"headers": fields}
 
     def read(self, partition: ArchivePartition) -> Iterator[tuple]:
