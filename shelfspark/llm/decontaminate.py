@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import keep, materialize, scratch, small_side
-from .textscan import ngrams, scan, slices, small_batches
+from .textscan import ngrams, released, scan, slices, small_batches
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def seeds_of(items: DataFrame, n: int) -> DataFrame:
     """(item_id, seed, item_pos, words) of (item_id, text); words are the item's word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 words = scan(part.column("text"), True)
                 h = words.hashes()
@@ -102,7 +102,7 @@ def hits_of(docs: DataFrame, seeds: DataFrame, spec: LeakSpec) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = wanted.value
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 words = scan(part.column("text"), True)
                 grams, first = ngrams(words, words.hashes(), spec.n)
@@ -138,7 +138,7 @@ def _found(docs: DataFrame, items: DataFrame, spec: LeakSpec, id_col: str, text_
     todo = rows.join(small_side(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id").select("doc_id", "text", "todo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text", 1 << 20):
                 words = scan(part.column("text"), True)
                 h = words.hashes()

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import keep, materialize, scratch, small_side
-from .textscan import mix, ngrams, scan, slices, small_batches
+from .textscan import mix, ngrams, released, scan, slices, small_batches
 
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -190,7 +190,7 @@ def frequent_shingles(docs: DataFrame, spec: JoinSpec) -> np.ndarray:
     """Sorted shingles that many documents of the sample hold, ``max_frequent`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 yield pa.record_batch({"s": pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(part.column("text"), spec.n)]).view(np.int64))})
 
@@ -204,7 +204,7 @@ def measured(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, spec))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), spec.n)
                 sums = [(int(np.sum(mix(s ^ _C1))) & (1 << 64) - 1, int(np.sum(mix(s + _C1))) & (1 << 64) - 1) for s in sets]
@@ -212,7 +212,7 @@ def measured(docs: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array(h1), "h2": pa.array(h2)})
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 ids, out, owner, seen = part.column("doc_id").to_pylist(), [], [], {}
                 for i, s in zip(ids, shingle_sets(part.column("text"), spec.n), strict=True):
@@ -242,7 +242,7 @@ def split_region(big: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
+        for batch in released(batches):
             sets, ids, regions, pivot_texts = shingle_sets(batch.column("text"), spec.n), batch.column("doc_id").to_pylist(), batch.column("region").to_pylist(), batch.column("pivots_")
             row, to = [], []
             for i, (s, region) in enumerate(zip(sets, regions, strict=True)):
@@ -280,7 +280,7 @@ def join_regions(rows: DataFrame, spec: JoinSpec) -> DataFrame:
             return edges
 
         held_r, held_i, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 held_r = np.concatenate([held_r, part.column("region").to_numpy()])
                 held_i = np.concatenate([held_i, part.column("doc_id").to_numpy()])

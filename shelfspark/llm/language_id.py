@@ -25,10 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import slices, small_batches
+from .storage import materialize
+from .textscan import released, slices, small_batches
 
 N_GRAM = 3
 BUCKETS = 1 << 15
+MAX_LANGUAGES = 200
 _SLICE = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32  # ASCII other than letters reads as one blank
@@ -85,26 +87,36 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang, bucket, n) over all rows of (lang, text), combined within each task before the shuffle."""
     small_batches(docs.sparkSession)
 
+    def counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, n in total.items():
+            found = np.flatnonzero(n)
+            yield pa.record_batch({"lang": pa.array([name] * len(found), pa.string()), "bucket": pa.array(found, pa.int32()), "n": pa.array(n[found], pa.int64())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text", _SLICE):
                 buckets, at = features(part.column("text"))
                 lang = part.column("lang").dictionary_encode()
                 owner = np.repeat(lang.indices.to_numpy(), np.diff(at))
                 for k, name in enumerate(lang.dictionary.to_pylist()):
                     total[name] = total.get(name, 0) + np.bincount(buckets[owner == k], minlength=BUCKETS)
-        for name, n in total.items():
-            found = np.flatnonzero(n)
-            yield pa.record_batch({"lang": pa.array([name] * len(found), pa.string()), "bucket": pa.array(found, pa.int32()), "n": pa.array(n[found], pa.int64())})
+                if len(total) > 32:  # many languages: pass on what is counted so far
+                    yield from counted(total)
+                    total = {}
+        yield from counted(total)
 
-    counted = docs.mapInArrow(count, "lang string, bucket int, n long")
-    return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> LanguageModel:
-    """Fit on all rows of (lang, text); only the table of counts, languages x BUCKETS at most, reaches the driver."""
-    counts = count_ngrams(docs).toPandas()
+def fit(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Fit on all rows of (lang, text); the table of counts, max_languages x BUCKETS at most, reaches the driver.
+
+    If the column holds more values, those with the most n-grams are learned, of equal ones the least.
+    """
+    counts = materialize(count_ngrams(docs), "language-counts")
+    largest = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(max_languages)
+    counts = counts.join(F.broadcast(largest.select("lang")), "lang", "left_semi").toPandas()
     languages = sorted(counts["lang"].unique())
     p = np.full((len(languages), BUCKETS), 0.5)
     for k, lang in enumerate(languages):
@@ -124,8 +136,11 @@ def fit(docs: DataFrame) -> LanguageModel:
     return LanguageModel(languages, codes, weights, trust / trust.sum(axis=1, keepdims=True) if languages else trust)
 
 
-def predict(docs: DataFrame, model: LanguageModel, min_lead: float = 0.05, keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred, score (0 to 1) and ambiguous to rows with ``text``; ``keep`` names the columns to carry."""
+def predict(docs: DataFrame, model: LanguageModel, min_lead: float = 0.05, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Add the language, its score (0 to 1) and whether it is ambiguous to rows with ``text``.
+
+    ``keep`` names the columns to carry, ``names`` the new ones, which must differ from them.
+    """
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     fields = [docs.schema[c] for c in keep]
@@ -134,7 +149,7 @@ def predict(docs: DataFrame, model: LanguageModel, min_lead: float = 0.05, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text", _SLICE):
                 text = part.column("text")
                 letters = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
@@ -155,12 +170,12 @@ def predict(docs: DataFrame, model: LanguageModel, min_lead: float = 0.05, keep:
                     lead = score - (top[:, 1] if top.shape[1] > 1 else 0)
                 else:
                     letters, best, score, lead = np.zeros(n, bool), np.zeros(n, int), np.zeros(n), np.zeros(n)
-                names = np.array([*m.languages, "und"], object)
-                out = {c: part.column(c) for c in keep}
-                out |= {"lang_pred": pa.array(np.where(letters, names[best], "und"), pa.string()), "score": pa.array(np.where(letters, score, 0.0), pa.float64()), "ambiguous": pa.array(letters & (lead < min_lead))}
+                languages = np.array([*m.languages, "und"], object)
+                found = pa.array(np.where(letters, languages[best], "und"), pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(letters & (lead < min_lead))
+                out = {c: part.column(c) for c in keep} | dict(zip(names, found, strict=True))
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, ambiguous boolean"])
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"])
     return source.mapInArrow(run, kinds)
 
 

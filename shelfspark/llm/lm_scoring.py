@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .language_id import held_out
 from .storage import materialize, shared_dir
-from .textscan import Words, scan, slices, small_batches
+from .textscan import Words, released, scan, slices, small_batches
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -184,7 +184,7 @@ class KneserNey:
 
 def blocks(batches: Iterator[pa.RecordBatch], keys_of, bits: int) -> Iterator[pa.RecordBatch]:
     """One row per range for each slice of text: its keys and counts, packed."""
-    for batch in batches:
+    for batch in released(batches):
         for part in slices(batch, "text", min(32, 4 << max(0, bits - 10)) << 20):  # more ranges, larger slices: blocks stay worth packing
             keys, counts = tally(keys_of(scan(part.column("text"), True)))
             cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
@@ -199,7 +199,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
     def fold() -> tuple[np.ndarray, np.ndarray]:
         return tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
 
-    for batch in batches:
+    for batch in released(batches):
         for p, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
             if p != part and held:
                 yield part, *fold()
@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for rows of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 words = scan(part.column("text"), True)
                 known, base, own = model.score(words)

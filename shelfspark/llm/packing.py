@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .textscan import scan, slices, small_batches
+from .textscan import released, scan, slices, small_batches
 from .tokenization import tokenizer
 
 SALT = 32
@@ -39,8 +39,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        for batch in batches:
-            for part in slices(batch, "text"):
+        for batch in released(batches):
+            for part in slices(batch, "text", 1 << 20):
                 flat, at = tok.encode(scan(part.column("text"), False))
                 flat = np.insert(flat, at[1:], end_id).astype("<u4")
                 at = at + np.arange(len(at))

@@ -7,13 +7,15 @@ nothing here looks at more than one batch at a time.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 HASH_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -111,12 +113,21 @@ def ngrams(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return mix(h[first]), first
 
 
-def small_batches(spark, rows: int = 2000) -> None:
-    """Let Arrow batches hold at most so many rows; whole texts make wide rows, and JVM and worker hold a batch each."""
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the worker, which lives on for other stages, gives back the memory that it no longer uses."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark, rows: int = 2000, size: str = "8m") -> None:
+    """Let Arrow batches hold at most so many rows and bytes; whole texts make wide rows, and JVM and worker hold a batch each."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ character that is no piece is unknown, at the least score of the vocabulary minu
 
 A word is ``[^\\x20\\x09-\\x0D]+`` after the blank mark. Pieces with a blank mark
 past their first character can't be met within a word, so words are independent;
-each worker keeps the results of words it has met, up to ``memo_words``.
+each worker keeps the results of words it has met, up to ``memo_bytes``.
 
 Defined results: null and empty texts have 0 tokens and score 0; repeated rows are
 counted one by one; other columns are ignored; an empty table gives an empty one.
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import scan, slices, small_batches
+from .textscan import released, scan, slices, small_batches
+from .tokenization import Memo
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -41,7 +42,7 @@ def vocabulary(path: str) -> dict[str, float]:
 
 
 class UnigramCounter:
-    def __init__(self, vocab: dict[str, float], memo_words: int = 2_000_000):
+    def __init__(self, vocab: dict[str, float], memo_bytes: int = 24 << 20):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -49,11 +50,7 @@ class UnigramCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(vocab.values()) - UNKNOWN_PENALTY
-        self.memo_words = memo_words
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.counts, self.scores = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        self.memo = Memo(memo_bytes, count=np.int32, score=np.float64)
 
     def word(self, word: str) -> tuple[int, float]:
         """Piece count and score of the best path through the blank mark and the word."""
@@ -91,21 +88,11 @@ class UnigramCounter:
     def count(self, words) -> tuple[np.ndarray, np.ndarray]:
         """Piece count and score of each word of a batch."""
         hashes, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, hashes)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
-        if not known.all():
-            if len(self.keys) + len(hashes) > self.memo_words:
-                self.clear()
-                known[:] = False
-            new = np.flatnonzero(~known)
+        new = self.memo.missing(hashes)
+        if len(new):
             found = [self.word(words.text(i).decode("utf-8", "replace")) for i in first[new]]
-            keys = np.concatenate([self.keys, hashes[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.counts = np.concatenate([self.counts, np.array([c for c, _ in found], np.int64)])[order]
-            self.scores = np.concatenate([self.scores, np.array([s for _, s in found])])[order]
-            at = np.searchsorted(self.keys, hashes)
-        return self.counts[at][inverse], self.scores[at][inverse]
+            self.memo.add(hashes[new], count=np.array([c for c, _ in found], np.int32), score=np.array([x for _, x in found]))
+        return self.memo.get(hashes, "count")[inverse].astype(np.int64), self.memo.get(hashes, "score")[inverse]
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,8 +104,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         if model_path not in _open:
             _open[model_path] = UnigramCounter(vocabulary(model_path))
         counter = _open[model_path]
-        for batch in batches:
-            for part in slices(batch, "text"):
+        for batch in released(batches):
+            for part in slices(batch, "text", 1 << 20):
                 words = scan(part.column("text"), False)
                 counts, scores = counter.count(words)
                 total = np.concatenate([[0], np.cumsum(counts)])[words.offsets]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize, shared_dir
-from .textscan import scan, slices, small_batches
+from .textscan import released, scan, slices, small_batches
 from .tokenization import tokenizer
 
 ROWS_PER_BATCH = 512
@@ -115,8 +115,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, len
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tok, out, total = tokenizer(tokenizer_path), None, 0
-        for batch in batches:
-            for piece in slices(batch, "text"):
+        for batch in released(batches):
+            for piece in slices(batch, "text", 1 << 20):
                 if out is None:
                     fs, path = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(path, recursive=True)
@@ -140,7 +140,7 @@ def read_token_files(folder: str, index: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, name = None, None
-        for batch in batches:
+        for batch in released(batches):
             ids, crc = [], []
             for file, first, n in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "n_tokens")), strict=True):
                 if file != name:

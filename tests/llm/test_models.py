@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import language_id, lm_scoring, token_counts
 
@@ -149,3 +150,14 @@ def test_token_counts_of_edge_rows(edge_docs, no_docs):
     by = {r.doc_id: r for r in got}
     assert by[0].n_tokens == by[1].n_tokens == by[2].n_tokens == 0 and by[11].n_words == 30000
     assert token_counts.token_counts(no_docs, path).count() == 0
+
+
+def test_languages_beside_clashing_columns_and_beyond_the_limit(spark):
+    rows = [(i, " ".join(["aab", "bba", "abab"] * 9) if i % 2 else " ".join(["xyz", "zzy", "yx"] * 9), "one" if i % 2 else "two") for i in range(20)] + [(99, "qq", "junk")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit(1))
+    model = language_id.fit(docs, max_languages=2)
+    assert model.languages == ["one", "two"]
+    got = language_id.predict(docs, model, names=("p", "q", "r")).collect()
+    assert all(r.p == r.lang and r.score == "s" for r in got if r.lang != "junk")
+    many = spark.createDataFrame([(f"l{i}", f"w{i} " * 5) for i in range(80)], "lang string, text string").coalesce(1)
+    assert language_id.count_ngrams(many).select("lang").distinct().count() == 80

@@ -196,3 +196,78 @@ def test_warc_round_trip(spark):
         assert [r.record_id for r in few.collect()] == ["0"]
         assert warc.read_archives(spark, folder, "headers map<string,string>").where("headers['WARC-Type'] = 'response'").count() == 9 - len(revisits)
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0)), "record_id string").count() == 0
+
+
+FOREIGN = [
+    ("warcinfo", None, "application/warc-fields", b"software: x\r\nformat: WARC File Format 1.0\r\n"),
+    ("request", "urn:a", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+    ("response", "urn:b", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b"<p>\r\n\r\nbody</p>" * 30000),
+    ("metadata", "urn:c", "text/plain", b""),
+    ("revisit", "urn:d", "application/http; msgtype=response", b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+    ("resource", "urn:e", "text/html", b"plain\r\n\r\nblock"),
+]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_other_writers(spark, tmp_path, packed):
+    import gzip
+
+    out = b""
+    for kind, rid, mime, block in FOREIGN:
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\n" + (f"WARC-Record-ID: <{rid}>\r\n" if rid else "") + f"Content-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n"
+        record = head.encode() + block + b"\r\n\r\n"
+        out += gzip.compress(record) if packed else record
+    (tmp_path / ("x.warc.gz" if packed else "x.warc")).write_bytes(out)
+    (tmp_path / "notes.txt").write_text("not an archive")
+    got = warc.read_archives(spark, f"file://{tmp_path}", "record_type string, record_id string, payload binary, payload_bytes long").collect()
+    want = [(k, r, None if k == "revisit" else b.partition(b"\r\n\r\n")[2] if m.startswith("application/http") else b) for k, r, m, b in FOREIGN]
+    assert [(r.record_type, r.record_id, None if r.payload is None else bytes(r.payload)) for r in got] == want
+    assert [r.payload_bytes for r in got] == [None if p is None else len(p) for _, _, p in want]
+    assert [r.record_id for r in warc.read_archives(spark, f"file://{tmp_path}", "record_id string, record_type string").where("record_type = 'resource'").collect()] == ["urn:e"]
+
+
+def test_headers_are_read_without_inflating_payloads():
+    import io
+
+    body = warc.member(warc.record({"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 3_000_000), 1)
+    seen = []
+
+    class Counting(warc.Member):
+        def more(self, limit):
+            seen.append(len(out := super().more(limit)))
+            return out
+
+    stream = warc.Stream(io.BytesIO(body * 2))
+    for _ in range(2):
+        plain = warc.next_record(stream)
+        member = Counting(stream, plain.size)
+        data = member.more(4096)
+        fields, at = warc.parse_head(data)
+        member.block(data[at:], int(fields["Content-Length"]))
+        member.close()
+    assert warc.next_record(stream) is None and sum(seen) <= 2 * 4096
+
+
+VERDICTS = [
+    ("This is a sentence that ends.", True), ("This is a sentence that ends.\r", True), ("It ends before a no-break space. ", True), ("Yes indeed.\r", True), ("Yes indeed.\t ", True), ("two words", False),
+    ("© 2024 Acme and its owners", False), ("foo© 2024 by the owners of it", False), ("© 2024 Acme, said the page at its end.", True), ("Home | News | About | Contact", False), ("Start · Shop · Hilfe · Kontakt", False),
+    ("Latest News Top Stories Weather Sport", False), ("Latest news and top stories about the weather", True), ("No end here but some lower case words", True), ("# # # $ $ %", False), ("la la la la la la la la la la la la", False),
+    ("please click here for more of it", False), ("He told me to click here, and I did.", True),
+]
+
+
+def test_line_verdicts(spark):
+    frame = spark.createDataFrame([(t,) for t, _ in VERDICTS], "line string")
+    got = [not r.fails for r in frame.select(quality_rules.line_fails(F.col("line"), quality_rules.Rules()).alias("fails")).collect()]
+    assert got == [w for _, w in VERDICTS]
+
+
+def test_word_memo_stays_within_its_bytes():
+    from shelfspark.llm.tokenization import WordTokenizer
+
+    tok = WordTokenizer(PATH, memo_bytes=4000)
+    for k in range(6):
+        texts = [" ".join(f"w{k * 40 + i}x" for i in range(60)), "w1x w2x", None]
+        flat, at = tok.encode(textscan.scan(pa.array(texts), False))
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == library_ids(texts)
+        assert len(tok.memo.keys) * 20 <= 4000
