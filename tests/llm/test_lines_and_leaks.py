@@ -179,7 +179,7 @@ def test_segment_keys_bring_every_short_pair_together(spark):
         most = max(len(a), len(b))
         if a and b and most <= 60 and distance(a, b) <= int(0.1 * most + 1e-9):
             rows.append((a, b))
-    keys = lambda t: line_dedup.segment_keys(t, f"char_length({t})", line_dedup.LineSpec())
+    keys = lambda t: line_dedup.segment_keys(t, f"char_length({t})", line_dedup.LineSpec(short=60))
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.arrays_overlap(keys("a"), keys("b")).alias("met")).collect()
     assert len(rows) > 100 and all(r.met for r in got), [r for r in got if not r.met][:3]
 
