@@ -69,6 +69,11 @@ def fused(*vectors: Column) -> Column:
     return bound[0]
 
 
+def text_override(text_emb: Column, clip_emb: Column) -> Column:
+    """The text vector where a file has one, else the image vector."""
+    return F.coalesce(text_emb, clip_emb)
+
+
 def fuse_embeddings(files: DataFrame, out: str = "search_emb") -> DataFrame:
     """Fuse image, metadata, OCR and transcript vectors; audio lies in another space."""
     return files.withColumn(out, fused(*(F.col(c) for c in ("clip_emb", "metadata_emb", "ocr_emb", "transcript_emb"))))
@@ -85,8 +90,9 @@ def argmax(v: Column) -> Column:
 
 
 def top_class(df: DataFrame, key: str, cls: str, score: str) -> DataFrame:
-    """Best class of each key; of equal scores the least class."""
-    return df.groupBy(key).agg(F.max_by(cls, F.struct(F.col(score), -F.col(cls))).alias(cls), F.max(score).alias(score))
+    """Best class of each key; of equal scores the least class, whatever its type. Null scores take no part."""
+    least = F.min(F.struct((-F.col(score)).alias("s"), F.col(cls).alias("c")))
+    return df.where(F.col(score).isNotNull()).groupBy(key).agg(least.alias("b_")).select(key, F.col("b_.c").alias(cls), (-F.col("b_.s")).alias(score))
 
 
 def array_stats(v: Column) -> Column:
@@ -111,21 +117,48 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 
 
 def embed_column(df: DataFrame, col: str, embedder: Callable[[Iterator[pd.Series]], Iterator[list]] | None = None, dim: int = 64, out: str = "embedding") -> DataFrame:
-    """Text column to vector; with a plug-in, each Python worker sets it up once and a failing row gives null."""
+    """Text column to vector; null stays null.
+
+    A plug-in takes an iterator of batches and yields a vector for each row, in order. It is set up
+    once for a task's batches; only where it fails on a batch is it set up anew, and that batch is
+    given to it row by row, so that the failing row gives null. A vector of another length gives null.
+    """
     if embedder is None:
         return df.withColumn(out, F.when(F.col(col).isNotNull(), hash_embedding(F.col(col), dim)))
 
+    def given(waiting: list[pd.Series]) -> Iterator[pd.Series]:
+        while waiting:
+            yield waiting.pop()
+
+    def checked(v) -> np.ndarray | None:
+        v = np.asarray(v, dtype=np.float32).ravel()
+        return v if len(v) == dim else None
+
+    def alone(value) -> np.ndarray | None:
+        try:
+            return checked(next(iter(embedder(iter([pd.Series([value])])))))
+        except Exception:  # noqa: BLE001  a bad row must not end the job
+            return None
+
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        waiting: list[pd.Series] = []
+
+        answers = None
         for batch in batches:
-            rows = []
-            for value in batch:
+            have = batch.dropna()
+            rows: list[np.ndarray | None] = [None] * len(batch)
+            if len(have):
+                waiting[:] = [have]
                 try:
-                    v = np.asarray(next(iter(embedder(iter([pd.Series([value])])))), dtype=np.float32).ravel()
-                    rows.append(v if len(v) == dim else None)
-                except Exception:  # noqa: BLE001  a bad row must not end the job
-                    rows.append(None)
-            yield pd.Series(rows)
+                    if answers is None:
+                        answers = iter(embedder(given(waiting)))
+                    got = [checked(next(answers)) for _ in have]
+                except Exception:  # noqa: BLE001
+                    answers, got = None, [alone(v) for v in have]
+                for i, v in zip(np.flatnonzero(batch.notna()), got, strict=True):
+                    rows[i] = v
+            yield pd.Series(rows, dtype=object)
 
     return df.withColumn(out, run(F.col(col)))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from datetime import UTC, date, datetime, time, timedelta
+from datetime import date, datetime, time, timedelta
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEDIA = ("image", "video", "audio")
@@ -24,6 +25,7 @@ def is_gif() -> Column:
 
 
 def has_ext(ext: str) -> Column:
+    # fixed value: the pattern of an extension
     if not re.fullmatch(r"[A-Za-z0-9]{2,4}", ext):
         raise ValueError(f"not an extension: {ext!r}")
     return F.col("ext") == ext.lower()
@@ -31,6 +33,7 @@ def has_ext(ext: str) -> Column:
 
 def in_folder(path: str) -> Column:
     """Below the folder, ignoring case; ``_`` stands for any character."""
+    # fixed value: the pattern of a folder path
     if not re.fullmatch(r"[A-Za-z0-9_\- ]+(/[A-Za-z0-9_\- ]+){0,4}", path):
         raise ValueError(f"not a folder path: {path!r}")
     return F.col("rel_path").ilike(path + "/%")
@@ -43,16 +46,23 @@ def cmp(field: str, op: str, value) -> Column:
         raise ValueError(f"not a number: {value!r}") from None
 
 
+def session_zone() -> ZoneInfo:
+    """Time zone of the active session; UTC without one."""
+    spark = SparkSession.getActiveSession()
+    return ZoneInfo(spark.conf.get("spark.sql.session.timeZone") if spark else "UTC")
+
+
 def date_ms(value: str | int, now: datetime | None = None) -> int:
-    """today, yesterday, epoch seconds or milliseconds, or an ISO date, as epoch milliseconds (UTC)."""
-    day: date = (now or datetime.now(UTC)).date()
+    """today, yesterday, epoch seconds or milliseconds, or an ISO date, as epoch milliseconds; days begin at midnight of the session's time zone."""
+    zone = session_zone()
+    day: date = (now or datetime.now(zone)).astimezone(zone).date()
     if value in ("today", "yesterday"):
-        return int(datetime.combine(day - timedelta(days=value == "yesterday"), time(), UTC).timestamp() * 1000)
+        return int(datetime.combine(day - timedelta(days=value == "yesterday"), time(), zone).timestamp() * 1000)
     if re.fullmatch(r"-?\d+", str(value)):
         n = int(value)
         return n * 1000 if abs(n) < 10**12 else n
     at = datetime.fromisoformat(str(value))
-    return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp() * 1000)
+    return int((at if at.tzinfo else at.replace(tzinfo=zone)).timestamp() * 1000)
 
 
 def date_cmp(op: str, value, now: datetime | None = None) -> Column:

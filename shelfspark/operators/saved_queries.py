@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Token classes of a query string in matching order, with their patterns.
@@ -25,16 +25,23 @@ TOKENS = [
     ("invalid", r"@[^\s]*"),
 ]
 ANY = "(?i)(" + "|".join(p for _, p in TOKENS) + ")"
+# Fixed value: a folder tag that is well formed.
 FOLDER = r"(?i)^@folder:[a-zA-Z0-9_\- ]+(?:/[a-zA-Z0-9_\- ]+){0,4}$"
 
 
-def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
+def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str], text: list[str], max_compiled: int = 2000) -> DataFrame:
     """(query_id, file_id): files that satisfy every clause of a stored filter.
 
+    Up to ``max_compiled`` literals become expressions that one pass over the files
+    evaluates; more are joined with the files' cells.
+
     ``clauses`` (query_id, clause_id, column, op, value, negated) is in conjunctive
     normal form: literals with the same clause_id are alternatives. Null makes a
     literal neither true nor false, negated or not.
     """
+    stated = clauses.limit(max_compiled + 1).collect()
+    if len(stated) <= max_compiled:
+        return _compiled(files, stated, {*numeric}, {*text})
     stack = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("num"), F.lit(None).cast("string").alias("txt")) for c in numeric]
     stack += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("num"), F.col(c).alias("txt")) for c in text]
     cells = files.select("file_id", F.explode(F.array(*stack)).alias("c_")).select("file_id", "c_.*")
@@ -42,18 +49,56 @@ def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str
     tests = {">": F.col("num") > want, ">=": F.col("num") >= want, "<": F.col("num") < want, "<=": F.col("num") <= want, "like": F.expr("txt ILIKE value")}
     equal = F.coalesce(F.col("num") == want, F.col("txt") == F.col("value"))
     truth = reduce(lambda c, k: c.when(F.col("op") == k[0], k[1]), tests.items(), F.when(F.col("op") == "=", equal))
-    hits = cells.join(F.broadcast(clauses), "column").where(F.when(F.col("negated"), ~truth).otherwise(truth))
+    hits = cells.join(clauses, "column").where(F.when(F.col("negated"), ~truth).otherwise(truth))
     total = clauses.groupBy("query_id").agg(F.count_distinct("clause_id").alias("n_"))
     got = hits.groupBy("query_id", "file_id").agg(F.count_distinct("clause_id").alias("m_"))
-    return got.join(F.broadcast(total), "query_id").where("m_ = n_").select("query_id", "file_id")
+    return got.join(total, "query_id").where("m_ = n_").select("query_id", "file_id")
+
+
+def _compiled(files: DataFrame, clauses: list, numeric: set[str], text: set[str]) -> DataFrame:
+    """One Column a filter; a file's filters come out of one array."""
+
+    def literal(r) -> Column:
+        unknown = F.lit(None).cast("boolean")
+        if r["column"] in numeric:
+            try:
+                value = float(r["value"])
+            except (TypeError, ValueError):
+                return unknown
+            tests = {">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__, "<=": Column.__le__, "=": Column.__eq__}
+            truth = tests[r["op"]](F.col(r["column"]).cast("double"), value) if r["op"] in tests else unknown
+        elif r["column"] in text and r["value"] is not None:
+            truth = F.col(r["column"]) == r["value"] if r["op"] == "=" else F.col(r["column"]).ilike(r["value"]) if r["op"] == "like" else unknown
+        else:
+            return unknown
+        return F.coalesce(~truth if r["negated"] else truth, F.lit(False))
 
+    filters: dict[int, dict[int, Column]] = {}
+    for r in clauses:
+        own = filters.setdefault(r["query_id"], {})
+        own[r["clause_id"]] = own[r["clause_id"]] | literal(r) if r["clause_id"] in own else literal(r)
+    hits = [F.when(reduce(Column.__and__, own.values()), F.lit(q).cast("long")) for q, own in filters.items()]
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<long>")
+    return files.select(F.explode(found).alias("query_id"), "file_id")
 
-def lex_query_log(df: DataFrame, col: str) -> DataFrame:
-    """(query_id, pos, token, class) for every tag and operator of each query string."""
+
+def lex_query_log(df: DataFrame, col: str, custom: list[str] = ()) -> DataFrame:
+    """(query_id, pos, token, class) for every tag and operator of each query string, and the ``text`` between them.
+
+    ``custom`` holds the known custom tags, in lower case without ``@``; a token that
+    would be invalid is ``custom`` if its word is one of them.
+    """
     kind = reduce(lambda c, k: c.when(F.col("token").rlike(f"(?i)^(?:{k[1]})$"), k[0]), TOKENS[1:], F.when(F.col("token").rlike(r"^\\@$"), "escaped"))
     folder = F.when((kind == "folder") & ~F.col("token").rlike(FOLDER), "invalid").otherwise(kind)
-    tokens = df.select("query_id", F.posexplode(F.regexp_extract_all(F.col(col), F.lit(ANY), 1)).alias("pos", "token"))
-    return tokens.select("query_id", F.col("pos").cast("long").alias("pos"), "token", folder.alias("class"))
+    known = F.substring(F.lower("token"), 2, 1 << 30).isin(list(custom)) if custom else F.lit(False)
+    named = F.when((folder == "invalid") & known, "custom").otherwise(folder)
+    # the texts between tokens alternate with the tokens, one more of them
+    gaps = F.transform(F.split(F.regexp_replace(F.col(col), ANY, "\x01"), "\x01"), lambda x: F.struct(F.trim(x).alias("token"), F.lit(True).alias("plain")))
+    tags = F.transform(F.regexp_extract_all(F.col(col), F.lit(ANY), 1), lambda x: F.struct(x.alias("token"), F.lit(False).alias("plain")))
+    both = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), tags.alias("t")), lambda z: F.array(z["g"], z["t"])))
+    parts = F.filter(both, lambda x: x.isNotNull() & (x["token"] != ""))
+    tokens = df.select("query_id", F.posexplode(parts).alias("pos", "x_")).select("query_id", F.col("pos").cast("long").alias("pos"), "x_.*")
+    return tokens.select("query_id", "pos", "token", F.when(F.col("plain"), "text").otherwise(named).alias("class"))
 
 
 def query_log_features(df: DataFrame, col: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from . import predicates, tags
 
+MAX_SIZES = 200  # lengths of prefixes
 # Badge of each space.
 BADGES = {"default": "", "imagecontent": "img", "ocr": "txt", "transcript": "cc", "audiocontent": "aud"}
 
@@ -24,11 +25,14 @@ def _cosines(qvec: list[float]):
 
     @F.pandas_udf("double")
     def run(col: pd.Series) -> pd.Series:
-        if not len(col):
-            return pd.Series([], dtype=float)
-        m = np.stack(col.to_numpy()).astype(np.float64)
+        out = pd.Series(np.full(len(col), np.nan), index=col.index)
+        have = col.dropna()
+        if not len(have):
+            return out
+        m = np.stack(have.to_numpy()).astype(np.float64)
         own = np.sqrt((m * m).sum(axis=1)) * norm
-        return pd.Series(np.divide(m @ q, own, out=np.zeros(len(m)), where=own > 0))
+        out[have.index] = np.divide(m @ q, own, out=np.zeros(len(m)), where=own > 0)
+        return out
 
     return run
 
@@ -39,12 +43,9 @@ def semantic_scores(files: DataFrame, qvec: list[float], space: str = "default",
     col = F.col(vectors.choose_space(space))
     failed = F.coalesce(F.col("status") == "embed_failed", F.lit(False))
     rows = files.where(F.col("media_type").isin(media)).select("rel_path", failed.alias("f_"), vectors.of_dim(col, len(qvec)).alias("v_"))
-    if arrow:
-        good = rows.where("not f_ and v_ is not null").select("rel_path", _cosines(qvec)("v_").alias("score"))
-    else:
-        q = F.array(*(F.lit(float(x)) for x in qvec))
-        good = rows.where("not f_ and v_ is not null").select("rel_path", vectors.cosine(F.col("v_"), q).alias("score"))
-    return good.unionByName(rows.where("f_").select("rel_path", F.lit(-1.0).alias("score")))
+    rows = rows.where("f_ or v_ is not null").withColumn("v_", F.when(~F.col("f_"), F.col("v_")))
+    likeness = _cosines(qvec)("v_") if arrow else vectors.cosine(F.col("v_"), F.array(*(F.lit(float(x)) for x in qvec)))
+    return rows.select("rel_path", F.when(F.col("f_"), -1.0).otherwise(likeness).alias("score"))
 
 
 def audio_scores(files: DataFrame, qvec: list[float]) -> DataFrame:
@@ -72,7 +73,8 @@ def lcs_ratio(query: str):
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one).astype(float)
+        distinct = {t: one(t) for t in texts.dropna().unique()}
+        return texts.map(distinct).astype(float)
 
     return run
 
@@ -81,8 +83,7 @@ def fuzzy_text_scores(files: DataFrame, query: str, text_col: str = "ocr_text")
     """(rel_path, score): likeness of the text and the query; -1 for failed files and empty texts."""
     rows = predicates_base(files).select("rel_path", F.lower(F.col(text_col)).alias("t_"), F.coalesce(F.col("status") == "embed_failed", F.lit(False)).alias("f_"))
     usable = ~F.col("f_") & (F.coalesce(F.length("t_"), F.lit(0)) > 0) & F.lit(len(query) > 0)
-    good = rows.where(usable).select("rel_path", lcs_ratio(query.lower())("t_").alias("score"))
-    return good.unionByName(rows.where(~usable).select("rel_path", F.lit(-1.0).alias("score")))
+    return rows.select("rel_path", F.coalesce(lcs_ratio(query.lower())(F.when(usable, F.col("t_"))), F.lit(-1.0)).alias("score"))
 
 
 def predicates_base(files: DataFrame) -> DataFrame:
@@ -103,6 +104,16 @@ def rank(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.col("score").desc(), "rel_path")
 
 
+def placed(scored: DataFrame) -> DataFrame:
+    """``rank`` with a column ``place`` from 1: ranges of the order are sorted by many tasks, and each adds the rows of the ranges before it."""
+    parts = scored.repartitionByRange(F.col("score").desc(), F.col("rel_path")).sortWithinPartitions(F.col("score").desc(), "rel_path")
+    numbered = parts.withColumn("at_", F.monotonically_increasing_id()).withColumn("part_", F.shiftright("at_", 33))
+    sizes = numbered.groupBy("part_").agg(F.count("*").alias("n_"))  # a row a task
+    before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
+    place = (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")
+    return numbered.join(F.broadcast(before), "part_").withColumn("place", place).drop("at_", "part_", "before_")
+
+
 def search(files: DataFrame, pred: Column | None = None, qvec: list[float] | None = None, space: str = "default", lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Tag filter, scores over the whole space, normalising, bounds, intersection, ranking."""
     hits = predicates.filter_files(files, pred) if pred is not None else None
@@ -114,7 +125,7 @@ def search(files: DataFrame, pred: Column | None = None, qvec: list[float] | Non
     return rank(scored) if hits is None else tags.hybrid(hits, scored)
 
 
-def search_batch(files: DataFrame, queries: DataFrame, k: int, space: str = "default", max_queries: int = 100_000) -> DataFrame:
+def search_batch(files: DataFrame, queries: DataFrame, k: int, space: str = "default", max_queries: int = 100_000, max_bytes: int = 256 << 20) -> DataFrame:
     """(query_id, rank, rel_path, score): the k best files of each of a stated set of queries (query_id, qvec).
 
     A task scores its rows against all queries in blocks and keeps k rows and the ends of
@@ -124,17 +135,21 @@ def search_batch(files: DataFrame, queries: DataFrame, k: int, space: str = "def
     if len(stated) > max_queries:
         raise ValueError(f"more than {max_queries} queries; give them in parts")
     ids, matrix = [r["query_id"] for r in stated], np.array([r["qvec"] for r in stated], np.float64)
+    if matrix.nbytes > max_bytes:
+        raise ValueError(f"queries of more than {max_bytes} bytes; give them in parts")
     matrix = matrix / np.maximum(np.sqrt((matrix**2).sum(axis=1, keepdims=True)), 1e-300)
     media = ["audio", "video"] if space == "audiocontent" else list(predicates.MEDIA)
     rows = files.where(F.col("media_type").isin(media)).select("rel_path", F.coalesce(F.col("status") == "embed_failed", F.lit(False)).alias("failed"), vectors.of_dim(F.col(vectors.choose_space(space)), matrix.shape[1]).alias("v"))
     rows = rows.where("failed or v is not null")
+    width, spread = matrix.shape[1] if matrix.ndim == 2 else 0, files.sparkSession.sparkContext.broadcast(matrix)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = [([], np.zeros(0), np.inf, -np.inf) for _ in ids]
+        matrix = spread.value
+        top = [(np.zeros(0, object), np.zeros(0), np.inf, -np.inf) for _ in ids]
         for batch in batches:
             paths = np.array(batch.column("rel_path").to_pylist(), object)
             failed = batch.column("failed").to_numpy(zero_copy_only=False)
-            m = np.zeros((len(paths), matrix.shape[1]))
+            m = np.zeros((len(paths), width))
             valid = ~failed
             if valid.any():
                 m[valid] = np.stack(batch.column("v").filter(pa.array(valid)).to_numpy(zero_copy_only=False))
@@ -145,9 +160,14 @@ def search_batch(files: DataFrame, queries: DataFrame, k: int, space: str = "def
                 for j in range(scores.shape[1]):
                     have, value, lo, hi = top[q0 + j]
                     good = scores[:, j][scores[:, j] >= 0]
-                    p, s = np.concatenate([np.array(have, object), paths]), np.concatenate([value, scores[:, j]])
+                    own = scores[:, j]
+                    if len(own) > k:  # only what reaches the k-th best, ties included, is sorted
+                        own_at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
+                    else:
+                        own_at = np.arange(len(own))
+                    p, s = np.concatenate([have, paths[own_at]]), np.concatenate([value, own[own_at]])
                     order = np.lexsort((p, -s))[:k] if len(s) > k else np.arange(len(s))
-                    top[q0 + j] = (list(p[order]), s[order], min(lo, good.min(initial=np.inf)), max(hi, good.max(initial=-np.inf)))
+                    top[q0 + j] = (p[order], s[order], min(lo, good.min(initial=np.inf)), max(hi, good.max(initial=-np.inf)))
         out = [(i, p, float(s), float(lo), float(hi)) for i, (paths, values, lo, hi) in zip(ids, top, strict=True) for p, s in zip(paths, values, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=["query_id", "rel_path", "score", "lo", "hi"])
 
@@ -164,7 +184,13 @@ def score_badge(scored: DataFrame, space: str) -> DataFrame:
 
 def suggest(names: DataFrame, prefixes: DataFrame, k: int = 8) -> DataFrame:
     """(prefix, rank, tag): first k tags (tag, category) that begin with each prefix, by category and name."""
-    hit = F.lower("tag").startswith(F.lower("prefix"))
-    rows = names.join(F.broadcast(prefixes), hit)  # a stated, small set of prefixes
+    size = F.char_length(F.lower("prefix"))
+    sizes = [r[0] for r in prefixes.where("prefix is not null").select(size).distinct().limit(MAX_SIZES + 1).collect()]
+    if len(sizes) > MAX_SIZES:
+        raise ValueError(f"prefixes of more than {MAX_SIZES} lengths")
+    # tags and prefixes meet on the first characters, for each length that a prefix has
+    heads = names.select("*", F.explode(F.array(*(F.lit(n) for n in sizes)).cast("array<int>")).alias("size_")).where(F.char_length(F.lower("tag")) >= F.col("size_"))
+    heads = heads.withColumn("head_", F.left(F.lower("tag"), F.col("size_")))
+    rows = heads.join(prefixes.select("prefix", F.lower("prefix").alias("head_")), "head_").drop("size_", "head_")
     w = Window.partitionBy("prefix").orderBy("category", "tag")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("prefix", "rank", "tag")

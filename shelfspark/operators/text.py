@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import fit_length
 
+# Fixed value: the published pre-token pattern.
 PRETOKEN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 
 
@@ -23,14 +27,47 @@ def pretokenize(df: DataFrame, col: str, out: str = "tokens", pattern: str = PRE
     return df.withColumn(out, F.regexp_extract_all(normalize_text(F.col(col)), F.lit(pattern), 1))
 
 
-def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, start_id: int, end_id: int, length: int, pad: int = 0) -> DataFrame:
-    """(key, ids): ids of known tokens between start and end, cut so that the end stays, padded to ``length``."""
+def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, start_id: int, end_id: int, length: int, pad: int = 0, max_vocab: int = 500_000) -> DataFrame:
+    """(key, ids): ids of known tokens between start and end, cut so that the end stays, padded to ``length``.
+
+    A vocabulary of up to ``max_vocab`` tokens is looked up in the tasks, without a
+    shuffle; a larger one is joined with the tokens. Null tokens count as none.
+    """
+    stated = vocab.select("token", "id").limit(max_vocab + 1).toPandas()
+    if len(stated) <= max_vocab:
+        return _encode_locally(df, key, tokens, stated, start_id, end_id, length, pad)
     rows = df.select(key, F.posexplode_outer(tokens).alias("pos_", "token")).join(vocab.select("token", "id"), "token", "left")
     ids = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos_", F.col("id").cast("long").alias("id"))))), lambda x: x["id"]).alias("ids_"))
     whole = F.concat(F.array(F.lit(start_id).cast("long")), F.slice("ids_", 1, length - 2), F.array(F.lit(end_id).cast("long")))
     return ids.select(key, fit_length(whole, length, F.lit(pad).cast("long")).alias("ids"))
 
 
+def _encode_locally(df: DataFrame, key: str, tokens: str, vocab: pd.DataFrame, start_id: int, end_id: int, length: int, pad: int) -> DataFrame:
+    known = df.sparkSession.sparkContext.broadcast((pa.array(vocab["token"], pa.string()), vocab["id"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = known.value
+        for batch in batches:
+            lists = batch.column("tokens_")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(pc.list_flatten(lists), value_set=words)
+            found = at.is_valid().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(size)), size)[found]
+            n = np.bincount(owner, minlength=len(size))
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            kept = place < length - 2
+            out = np.full((len(size), length), pad, np.int64)
+            out[:, 0] = start_id
+            out[owner[kept], place[kept] + 1] = ids[at.drop_null().to_numpy()[kept]]
+            out[np.arange(len(size)), np.minimum(n, length - 2) + 1] = end_id
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * length), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("key_"), flat], names=["key_", "ids"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key_"), F.col(tokens).alias("tokens_"))
+    return rows.mapInArrow(run, f"key_ {kind}, ids array<bigint>").withColumnRenamed("key_", key)
+
+
 def encode_subwords(df: DataFrame, key: str, tokens: str, merges: list[tuple[str, str]], end: str = "</w>") -> DataFrame:
     """(key, pieces): byte-pair merges, lowest rank first; each distinct word is merged once and joined back."""
     ranks = {m: i for i, m in enumerate(merges)}

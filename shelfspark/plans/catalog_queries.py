@@ -36,9 +36,10 @@ def _(spark, sf_dir):
     return io.scan_corpus(spark, sf_dir).select("rel_path", "size_bytes", "mtime", "ctime")
 
 
-@query("s02_count_visible_files", f"{FILES} SELECT count(*) AS n FROM files WHERE NOT starts_with({_NAME}, '.')")
+@query("s02_count_visible_files", f"{FILES}, h AS (SELECT CASE WHEN file_id % 7 = 0 THEN regexp_replace(rel_path, '([^/]+)$', '.\\1') ELSE rel_path END AS rel_path FROM files) SELECT count(*) AS n FROM h WHERE NOT starts_with({_NAME}, '.')")
 def _(spark, sf_dir):
-    return catalog.count_visible_files(catalog.with_path_parts(files(spark, sf_dir)))
+    hidden = F.when(F.col("file_id") % 7 == 0, F.regexp_replace("rel_path", "([^/]+)$", ".$1")).otherwise(F.col("rel_path"))
+    return catalog.count_visible_files(catalog.with_path_parts(files(spark, sf_dir).withColumn("rel_path", hidden)))
 
 
 @query("s03_unprocessed", f"{FILES} SELECT file_id, rel_path FROM files WHERE rel_path NOT IN (SELECT rel_path FROM files WHERE file_id % 4 <> 0 AND media_type IN ('image', 'video', 'audio') AND status <> 'embed_failed')")
@@ -83,10 +84,9 @@ def _(spark, sf_dir):
     return back.select("vec_id", F.size("v").cast("long").alias("n"), F.round(vectors.vec_sum(F.transform("v", lambda x: x.cast("double"))), 4).alias("total"))
 
 
-@query("s10_custom_tags", "SELECT event_id, key AS slug, CAST(json_extract_string(props, '$.' || key) AS VARCHAR) AS description FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+@query("s10_custom_tags", "SELECT key AS slug, CAST(json_extract_string(props, '$.' || key) AS VARCHAR) AS description FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
 def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("slug", "description"))
+    return catalog.load_custom_tags(table(spark, sf_dir, "events"), "props")
 
 
 @query("s11_text_head", "SELECT doc_id, substr(text, 1, 1000) AS head FROM documents")
@@ -112,9 +112,10 @@ def _(spark, sf_dir):
     return catalog.indexable(files(spark, sf_dir)).select("file_id", "media_type")
 
 
-@query("c04_motion_flags", f"{FILES} SELECT file_id, CAST(CASE WHEN media_type = 'video' OR ext = 'gif' THEN 1 ELSE 0 END AS INT) AS has_motion, CAST(0 AS INT) AS has_audio FROM files")
+@query("c04_motion_flags", f"{FILES} SELECT file_id, CAST(CASE WHEN media_type = 'video' OR ext = 'gif' THEN 1 ELSE 0 END AS INT) AS has_motion, CAST(CASE WHEN file_id % 4 = 0 THEN 1 ELSE 0 END AS INT) AS has_audio FROM files")
 def _(spark, sf_dir):
-    return catalog.with_motion_flags(files(spark, sf_dir)).select("file_id", "has_motion", "has_audio")
+    heard = F.when(F.col("file_id") % 4 == 0, 1)  # unknown for the others
+    return catalog.with_motion_flags(files(spark, sf_dir).withColumn("has_audio", heard)).select("file_id", "has_motion", "has_audio")
 
 
 _FOLDERS = f"folders AS (SELECT DISTINCT p AS rel_path FROM {_PREFIXES} UNION SELECT '' AS rel_path)"
@@ -396,10 +397,10 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.epoch_ms(F.col("ts")).alias("ms"))
 
 
-@query("f10_arithmetic", "SELECT event_id, CAST(round(value) AS BIGINT) AS r, CAST(ceil(value) AS BIGINT) AS c, CAST(floor(value) AS BIGINT) AS f, greatest(least(value, 50.0), 5.0) AS k, round(log10(value + 1), 6) AS l, round(sqrt(value), 6) AS s, round(pow(value, 1.5), 4) AS p FROM events WHERE value >= 0")
+@query("f10_arithmetic", "SELECT event_id, CAST(round(value) AS BIGINT) AS r, CAST(ceil(value) AS BIGINT) AS c, CAST(floor(value) AS BIGINT) AS f, greatest(least(value, 50.0), 5.0) AS k, round(log10(abs(value) + 1), 6) AS l, round(sqrt(abs(value)), 6) AS s, round(pow(abs(value), 1.5), 4) AS p FROM events")
 def _(spark, sf_dir):
     v = F.col("value")
-    return table(spark, sf_dir, "events").where("value >= 0").select("event_id", F.round(v).cast("long").alias("r"), F.ceil(v).cast("long").alias("c"), F.floor(v).cast("long").alias("f"), scalars.clamp(v, 5.0, 50.0).alias("k"), F.round(F.log10(v + 1), 6).alias("l"), F.round(F.sqrt(v), 6).alias("s"), F.round(F.pow(v, F.lit(1.5)), 4).alias("p"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(v).cast("long").alias("r"), F.ceil(v).cast("long").alias("c"), F.floor(v).cast("long").alias("f"), scalars.clamp(v, 5.0, 50.0).alias("k"), F.round(F.log10(F.abs(v) + 1), 6).alias("l"), F.round(F.sqrt(F.abs(v)), 6).alias("s"), F.round(F.pow(F.abs(v), F.lit(1.5)), 4).alias("p"))
 
 
 @query("f11_json_get", "SELECT event_id, COALESCE(json_extract_string(props, '$.k'), '-') AS k, COALESCE(json_extract_string(props, '$.zz'), '-') AS zz FROM events")

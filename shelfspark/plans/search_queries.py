@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -69,23 +68,27 @@ def _(spark, sf_dir):
     return saved_queries.match_saved_searches(files(spark, sf_dir), clauses, ["size_bytes", "has_text", "duration_ms", "width", "fps"], ["media_type", "ext", "rel_path"])
 
 
-_SUFFIX = " @has:text & (@image | !@.gif ) @score>50.5 @date?2024 @size>=10mb \\\\@x @ocr @folder:a/b @folder:a//b @bogus"
-_LEXED = ["@has:text", "&", "(", "@image", "|", "!", "@.gif", ")", "@score>50.5", "@date?2024", "@size>=10mb", "\\@", "@ocr", "@folder:a/b", "@folder:a//b", "@bogus"]
-_CLASSES = ["modality", "and", "bracket", "filetype", "or", "not", "fileext", "bracket", "logical", "logical", "logical", "escaped", "mode", "folder", "invalid", "invalid"]
+_SUFFIX = " @has:text & (@image | !@.gif ) @score>50.5 @date?2024 @size>=10mb \\\\@x @ocr @folder:a/b @folder:a//b @bogus @Trip"
+_LEXED = ["@has:text", "&", "(", "@image", "|", "!", "@.gif", ")", "@score>50.5", "@date?2024", "@size>=10mb", "\\@", "x", "@ocr", "@folder:a/b", "@folder:a//b", "@bogus", "@Trip"]
+_CLASSES = ["modality", "and", "bracket", "filetype", "or", "not", "fileext", "bracket", "logical", "logical", "logical", "escaped", "text", "mode", "folder", "invalid", "invalid", "custom"]
 
 
 def query_log(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    plain = F.regexp_replace(F.substring("text", 1, 60), r"[@&|!()\\\n]", " ")
+    plain = F.regexp_replace("text", r"[@&|!()\\\n]", " ")
     return b.select(F.col("item_id").cast("long").alias("query_id"), F.concat(plain, F.lit(_SUFFIX.replace("\\\\", "\\"))).alias("q"))
 
 
-@query("p17_lex_query_log", "SELECT CAST(item_id AS BIGINT) AS query_id, CAST(i AS BIGINT) AS pos, token, class FROM benchmark, (VALUES " + ", ".join(f"({i}, '{t}', '{c}')" for i, (t, c) in enumerate(zip(_LEXED, _CLASSES, strict=True))) + ") AS v(i, token, class)")
+_P17 = "log AS (SELECT CAST(item_id AS BIGINT) AS query_id, trim(regexp_replace(text, '[@&|!()\\\\\n]', ' ', 'g')) AS t FROM benchmark), own AS (SELECT query_id, t, CASE WHEN t = '' THEN 0 ELSE 1 END AS shift FROM log)"
+_LEXED_ROWS = ", ".join(f"({i}, '{t}', '{c}')" for i, (t, c) in enumerate(zip(_LEXED, _CLASSES, strict=True)))
+
+
+@query("p17_lex_query_log", f"WITH {_P17} SELECT query_id, CAST(0 AS BIGINT) AS pos, t AS token, 'text' AS class FROM own WHERE t <> '' UNION ALL SELECT query_id, CAST(i + shift AS BIGINT), token, class FROM own, (VALUES {_LEXED_ROWS}) AS v(i, token, class)")
 def _(spark, sf_dir):
-    return saved_queries.lex_query_log(query_log(spark, sf_dir), "q")
+    return saved_queries.lex_query_log(query_log(spark, sf_dir), "q", ["trip"])
 
 
-@query("p18_query_log_features", "SELECT CAST(item_id AS BIGINT) AS query_id, trim(regexp_replace(substr(text, 1, 60), '[@&|!()\\\\\n]', ' ', 'g')) || ' x' AS free_text, 'ocr' AS space, '>' AS score_op, CAST(50.5 AS DOUBLE) AS score_value FROM benchmark")
+@query("p18_query_log_features", "SELECT CAST(item_id AS BIGINT) AS query_id, trim(regexp_replace(text, '[@&|!()\\\\\n]', ' ', 'g')) || ' x' AS free_text, 'ocr' AS space, '>' AS score_op, CAST(50.5 AS DOUBLE) AS score_value FROM benchmark")
 def _(spark, sf_dir):
     return saved_queries.query_log_features(query_log(spark, sf_dir), "q")
 
@@ -156,7 +159,7 @@ def _(spark, sf_dir):
 
 @query("v08_text_override", f"{FILESV} SELECT file_id, round(CAST(COALESCE(ocr_emb, clip_emb)[1] AS DOUBLE), 5) AS x FROM filesv")
 def _(spark, sf_dir):
-    return files_with_vectors(spark, sf_dir, "ocr_emb", "clip_emb").select("file_id", F.round(F.coalesce("ocr_emb", "clip_emb")[0].cast("double"), 5).alias("x"))
+    return files_with_vectors(spark, sf_dir, "ocr_emb", "clip_emb").select("file_id", F.round(vectors.text_override(F.col("ocr_emb"), F.col("clip_emb"))[0].cast("double"), 5).alias("x"))
 
 
 @query("v09_scale_channels", "SELECT vec_id, i AS pos, round((CAST(embedding[i + 1] AS DOUBLE) / 255.0 - CASE i % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 ELSE 0.3 END) / CASE i % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.25 ELSE 0.5 END, 6) AS x FROM embeddings, range(64) r(i)")
@@ -170,6 +173,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", vectors.argmax(F.col("embedding")).alias("best"))
 
 
+@query("v10_top_class_text", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type) AS r FROM events) WHERE r = 1")
+def _(spark, sf_dir):
+    return vectors.top_class(table(spark, sf_dir, "events"), "user_id", "event_type", "value")
+
+
 @query("v10_top_class", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
 def _(spark, sf_dir):
     return vectors.top_class(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
@@ -184,6 +192,19 @@ def _(spark, sf_dir):
     return e.select("doc_id", F.posexplode("embedding").alias("pos", "x")).where("x > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
+def letter_counts(batches):
+    """A plug-in: how often each of 26 letters occurs."""
+    for texts in batches:
+        for t in texts:
+            yield [t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"]
+
+
+@query("v11_embed_plug_in", "SELECT doc_id, i AS pos, CAST(length(lower(text)) - length(replace(lower(text), chr(97 + CAST(i AS INT)), '')) AS BIGINT) AS n FROM documents, range(26) r(i)")
+def _(spark, sf_dir):
+    e = vectors.embed_column(table(spark, sf_dir, "documents"), "text", letter_counts, 26)
+    return e.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("long").alias("n"))
+
+
 @query("a09_compare_vectors", "SELECT a.vec_id, round(CAST(list_max(list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))) AS DOUBLE), 5) AS max_error, round(sqrt(list_avg(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - b.embedding[i], 2)))), 5) AS rmse FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -229,17 +250,9 @@ def _(spark, sf_dir):
 
 
 _FUZZY = "the and entier"
-_LCS = (
-    FILES.replace("WITH ", "WITH RECURSIVE ", 1)
-    + f", t AS (SELECT rel_path, string_split('{_FUZZY}', '') AS q, string_split(lower(ocr_text), '') AS t FROM files WHERE {_MEDIA} AND status <> 'embed_failed' AND length(ocr_text) > 0), "
-    + f"dp(rel_path, j, prev) AS (SELECT rel_path, CAST(0 AS BIGINT), list_transform(range({len(_FUZZY) + 1}), lambda x: CAST(0 AS BIGINT)) FROM t UNION ALL "
-    + "SELECT d.rel_path, d.j + 1, list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(t.q) + 1), lambda i: [CASE WHEN t.q[i] = t.t[d.j + 1] THEN d.prev[i] + 1 ELSE d.prev[i + 1] END])), lambda a, b: list_append(a, greatest(b[1], a[len(a)]))) "
-    + "FROM dp d JOIN t USING (rel_path) WHERE d.j < len(t.t)) "
-    + f"SELECT rel_path, round(CAST(d.prev[len(d.prev)] AS DOUBLE) / least(len(t.q), len(t.t)), 5) AS score FROM dp d JOIN t USING (rel_path) WHERE d.j = len(t.t) UNION ALL SELECT rel_path, -1.0 FROM files WHERE {_MEDIA} AND (status = 'embed_failed' OR COALESCE(length(ocr_text), 0) = 0)"
-)
 
 
-@query("k03_fuzzy_text", _LCS)
+@query("k03_fuzzy_text")  # a table of characters in SQL is too slow for whole texts; tests/test_operators.py has a plain version
 def _(spark, sf_dir):
     return rounded(search.fuzzy_text_scores(files(spark, sf_dir), _FUZZY), 5)
 
@@ -251,8 +264,7 @@ def _(spark, sf_dir):
 
 @query("k05_rank", f"{FILESV}, {_Q7}, {_SCORED}, {_NORMED} SELECT rel_path, round(score, 3) AS score, row_number() OVER (ORDER BY round(score, 3) DESC, rel_path) AS place FROM normed")
 def _(spark, sf_dir):
-    ranked = search.rank(rounded(search.minmax_0_100(clip_scored(spark, sf_dir)), 3)).limit(2**31 - 1)
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "rel_path")).cast("long"))
+    return search.placed(rounded(search.minmax_0_100(clip_scored(spark, sf_dir)), 3))
 
 
 @query("k06_search", f"{FILESV}, {_Q7}, {_SCORED}, {_NORMED} SELECT rel_path, round(score, 3) AS score FROM normed WHERE score >= 50 AND rel_path IN (SELECT rel_path FROM files WHERE media_type = 'image' AND size_bytes > 500)")
@@ -262,7 +274,7 @@ def _(spark, sf_dir):
 
 
 _BATCH = (
-    "bq AS (SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id < 20), "
+    "bq AS (SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 20 = 0), "
     "bscored AS (SELECT query_id, rel_path, CASE WHEN status = 'embed_failed' THEN -1.0 ELSE " + _SIM.format("clip_emb") + f" END AS score FROM filesv, bq WHERE {_MEDIA} AND (clip_emb IS NOT NULL OR status = 'embed_failed')), "
     "bnormed AS (SELECT query_id, rel_path, score AS raw, min(score) FILTER (WHERE score >= 0) OVER (PARTITION BY query_id) AS lo, max(score) FILTER (WHERE score >= 0) OVER (PARTITION BY query_id) AS hi FROM bscored), "
     "branked AS (SELECT query_id, rel_path, CASE WHEN raw < 0 THEN raw WHEN hi = lo THEN 100.0 ELSE (raw - lo) / (hi - lo) * 100 END AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, rel_path) AS r FROM bnormed)"
@@ -318,12 +330,21 @@ def _(spark, sf_dir):
     return sequences.peak_envelope(e, "user_id", ["ts", "event_id"], "db").withColumn("peak", F.round("peak", 6))
 
 
-@query(
-    "q02_collapse_repeats",
-    f"WITH {_SEQ}, b AS (SELECT *, event_type = 'click' OR event_type = COALESCE(lag(event_type) OVER (PARTITION BY user_id ORDER BY i), 'click') AS dropped FROM s) SELECT user_id, COALESCE(string_agg(CASE WHEN NOT dropped THEN event_type END, '' ORDER BY i), '') AS decoded FROM b GROUP BY user_id",
+_COLLAPSED = (
+    f"WITH {_SEQ}, b AS (SELECT *, event_type = 'click' OR event_type = COALESCE(lag(event_type) OVER (PARTITION BY user_id ORDER BY i), 'click') AS dropped FROM s), c AS (SELECT *, sum(CASE WHEN dropped THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS kept FROM b), "
+    "e AS (SELECT *, row_number() OVER (PARTITION BY user_id, kept ORDER BY i) - CASE WHEN kept > 0 THEN 1 ELSE 0 END AS streak FROM c), f AS (SELECT *, min(CASE WHEN streak > {most} AND kept > 0 THEN i END) OVER (PARTITION BY user_id) AS stop FROM e) "
+    "SELECT user_id, COALESCE(string_agg(CASE WHEN NOT dropped AND (stop IS NULL OR i < stop) THEN event_type END, '' ORDER BY i), '') AS decoded FROM f GROUP BY user_id"
 )
+
+
+@query("q02_collapse_repeats", _COLLAPSED.format(most=30))
 def _(spark, sf_dir):
-    return sequences.collapse_repeats(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "click", max_streak=10**6)
+    return sequences.collapse_repeats(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "click")
+
+
+@query("q02_collapse_repeats_cut", _COLLAPSED.format(most=3))  # a limit that users of the table reach
+def _(spark, sf_dir):
+    return sequences.collapse_repeats(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "click", max_streak=3)
 
 
 @query(
@@ -383,7 +404,7 @@ _IDS = f"{_VOCAB}, known AS (SELECT f.doc_id, v.id, row_number() OVER (PARTITION
 def _(spark, sf_dir):
     tokens = ascii_tokens(spark, sf_dir)
     vocab = text.corpus_vocab(tokens, "tokens", 500)
-    ids = text.encode_tokens(tokens, "doc_id", "tokens", F.broadcast(vocab), 1000, 1001, 64)  # 500 rows
+    ids = text.encode_tokens(tokens, "doc_id", "tokens", vocab, 1000, 1001, 64)
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -397,7 +418,7 @@ def _(spark, sf_dir):
 @query("t05_decode_tokens", f"WITH {_TOKENS}, {_IDS} SELECT d.doc_id, COALESCE(string_agg(v.token, ' ' ORDER BY k.r), '') AS text FROM toks d LEFT JOIN known k ON k.doc_id = d.doc_id AND k.r <= 62 LEFT JOIN vocab v ON v.id = k.id AND v.id < 400 GROUP BY d.doc_id")
 def _(spark, sf_dir):
     tokens = ascii_tokens(spark, sf_dir)
-    vocab = F.broadcast(text.corpus_vocab(tokens, "tokens", 500))
+    vocab = text.corpus_vocab(tokens, "tokens", 500)
     ids = text.encode_tokens(tokens, "doc_id", "tokens", vocab, 1000, 1001, 64, pad=-1)
     return text.decode_tokens(ids, "doc_id", "ids", vocab, end_id=400)
 

@@ -214,7 +214,7 @@ def test_add_and_remove_tags(spark):
 def test_token_classes(spark):
     q = "cat @image & @has:text | !(@.gif) @.toolong \\@x @nope @folder: @score>50 @date?2024 @ocr"
     got = [(r.token, r["class"]) for r in saved_queries.lex_query_log(frame(spark, [(1, q)], "query_id long, q string"), "q").orderBy("pos").collect()]
-    assert got == [("@image", "filetype"), ("&", "and"), ("@has:text", "modality"), ("|", "or"), ("!", "not"), ("(", "bracket"), ("@.gif", "fileext"), (")", "bracket"), ("@.toolong", "invalid"), ("\\@", "escaped"), ("@nope", "invalid"), ("@folder:", "invalid"), ("@score>50", "logical"), ("@date?2024", "logical"), ("@ocr", "mode")]
+    assert got == [("cat", "text"), ("@image", "filetype"), ("&", "and"), ("@has:text", "modality"), ("|", "or"), ("!", "not"), ("(", "bracket"), ("@.gif", "fileext"), (")", "bracket"), ("@.toolong", "invalid"), ("\\@", "escaped"), ("x", "text"), ("@nope", "invalid"), ("@folder:", "invalid"), ("@score>50", "logical"), ("@date?2024", "logical"), ("@ocr", "mode")]
 
 
 def test_collapse_repeats_rule(spark):
@@ -318,3 +318,91 @@ def test_scalars_off_the_tables(spark):
     df = frame(spark, [("1500", "2024-01-02"), ("x", "nonsense")], "n string, d string")
     got = df.select(scalars.try_int(F.col("n")).alias("i"), scalars.parse_epoch_ms(F.col("d")).alias("ms"), scalars.parse_epoch_ms(F.col("n")).alias("n")).collect()
     assert [tuple(r) for r in got] == [(1500, 1704153600000, 1500000), (None, None, None)]
+
+
+# --- plans that replaced plainer ones
+
+
+def test_plugin_is_set_up_once_a_task(spark):
+    def embed(batches):
+        import random
+
+        tag = random.random()
+        for batch in batches:
+            for t in batch:
+                if t == "bad":
+                    raise ValueError(t)
+                yield [tag]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    df = frame(spark, [(i, f"t{i}") for i in range(40)], "i int, t string").coalesce(1)
+    assert len({r.embedding[0] for r in vectors.embed_column(df, "t", embed, dim=1).collect()}) == 1
+    df = df.unionByName(frame(spark, [(40, "bad"), (41, None)], "i int, t string")).coalesce(1)
+    got = {r.i: r.embedding for r in vectors.embed_column(df, "t", embed, dim=1).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(got[i] for i in range(40)) and got[40] is None and got[41] is None
+
+
+def test_best_class_of_any_type(spark):
+    rows = frame(spark, [(1, "b", 2.0), (1, "a", 2.0), (1, "c", 1.0), (2, "z", None), (2, "y", -1.0)], "k int, c string, s double")
+    assert sorted(tuple(r) for r in vectors.top_class(rows, "k", "c", "s").collect()) == [(1, "a", 2.0), (2, "y", -1.0)]
+
+
+def test_days_begin_in_the_zone_of_the_session(spark):
+    from datetime import UTC, datetime
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        now = datetime(2024, 3, 1, 16, tzinfo=UTC)  # already the second of March there
+        assert predicates.date_ms("today", now) == int(datetime(2024, 3, 1, 15, tzinfo=UTC).timestamp() * 1000)
+        assert predicates.date_ms("2024-03-02") == int(datetime(2024, 3, 1, 15, tzinfo=UTC).timestamp() * 1000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_compiled_filters_equal_joined_ones(spark):
+    files = frame(spark, [(i, i % 7 if i % 5 else None, ["a", "B_c", None][i % 3]) for i in range(60)], "file_id long, n long, t string")
+    clauses = [(1, 1, "n", ">", "3", False), (1, 2, "t", "like", "b%", False), (2, 1, "n", "<=", "2", True), (3, 1, "n", "=", "x", False), (4, 1, "t", "=", "a", True), (4, 1, "n", "=", "4", False), (5, 1, "zz", "=", "a", False), (6, 1, "n", "=", "1", False), (6, 2, "n", "=", "2", False)]
+    frame_ = frame(spark, clauses, "query_id long, clause_id int, column string, op string, value string, negated boolean")
+    got = [sorted(tuple(r) for r in saved_queries.match_saved_searches(files, frame_, ["n"], ["t"], max_compiled=m).collect()) for m in (100, 0)]
+    assert got[0] == got[1] and {q for q, _ in got[0]} == {1, 2, 4}
+
+
+def test_tokens_are_encoded_alike_in_the_tasks_and_by_a_join(spark):
+    df = frame(spark, [(1, list("abxcabx")), (2, []), (3, None), (4, ["x"]), (5, list("aaaaaaaaaaaa"))], "k long, toks array<string>")
+    vocab = frame(spark, [("a", 10), ("b", 11), ("c", 12)], "token string, id int")
+    got = [sorted((r.k, r.ids) for r in text.encode_tokens(df, "k", "toks", vocab, 1, 2, 6, -1, max_vocab=m).collect()) for m in (10, 0)]
+    assert got[0] == got[1] and got[0][0] == (1, [1, 10, 11, 12, 10, 2]) and got[0][1] == (2, [1, 2, -1, -1, -1, -1])
+
+
+def test_places_follow_the_rank(spark):
+    rows = [(f"p{i:03d}", float(i * 37 % 50)) for i in range(200)]
+    got = {r.rel_path: r.place for r in search.placed(frame(spark, rows, "rel_path string, score double").repartition(5)).collect()}
+    assert got == {p: i + 1 for i, (p, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+
+
+def test_fuzzy_scores_of_whole_texts_match_a_plain_table(spark):
+    import random
+
+    rng = random.Random(3)
+    query = "the and entier"
+    rows = [(f"p{i}", "image", "embed_failed" if i % 9 == 0 else None, "".join(rng.choice("then adirXT") for _ in range(rng.randint(0, 300)))) for i in range(60)] + [("n", "image", None, None), ("p1x", "audio", "indexed", "THE AND ENTIER")]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    want = {p: -1.0 if s == "embed_failed" or not t else lcs(query, t.lower()) / min(len(query), len(t)) for p, _, s, t in rows}
+    got = {r.rel_path: r.score for r in search.fuzzy_text_scores(frame(spark, rows, "rel_path string, media_type string, status string, ocr_text string"), query).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_suggestions_for_prefixes_of_several_lengths(spark):
+    names = frame(spark, [("@Brand1", 1), ("@brand2", 1), ("@x", 2), ("@", 3)], "tag string, category int")
+    got = [tuple(r) for r in search.suggest(names, frame(spark, [("@BR",), ("@",), ("@brand2z",), ("",), (None,)], "prefix string"), k=3).orderBy("prefix", "rank").collect()]
+    assert [(p, t) for p, _, t in got] == [("", "@Brand1"), ("", "@brand2"), ("", "@x"), ("@", "@Brand1"), ("@", "@brand2"), ("@", "@x"), ("@BR", "@Brand1"), ("@BR", "@brand2")]
