@@ -391,7 +391,10 @@ def _(spark, sf_dir):
     return ascii_tokens(spark, sf_dir).select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
-@query("t02_pretokenize_unicode")
+_UNICODE = text.PRETOKEN.replace("'", "''")
+
+
+@query("t02_pretokenize_unicode", f"SELECT doc_id, CAST(len(regexp_extract_all(lower(regexp_replace(text, '\\s+', ' ', 'g')), '{_UNICODE}', 1)) AS BIGINT) AS n FROM documents")
 def _(spark, sf_dir):
     return text.pretokenize(table(spark, sf_dir, "documents"), "text").select("doc_id", F.size("tokens").cast("long").alias("n"))
 

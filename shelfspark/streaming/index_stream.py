@@ -16,17 +16,31 @@ def catalogued(files: DataFrame) -> DataFrame:
     return catalog.with_motion_flags(catalog.indexable(catalog.with_media_type(catalog.with_path_parts(files))))
 
 
+def system_tags(files: DataFrame) -> DataFrame:
+    """Folder, type and extension tags of files."""
+    return catalog.derive_folder_tags(files).unionByName(catalog.derive_type_tags(files)).unionByName(catalog.derive_ext_tags(files))
+
+
 def index_stream(spark: SparkSession, source: str, schema, folder: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] = catalogued) -> StreamingQuery:
     """Catalogue what arrives in a Parquet folder of listings (file_id, rel_path, ...), each file once.
 
-    Every batch is merged by path into the published snapshot. A batch that is run
-    again after a failure replaces the same paths, so reruns change nothing.
+    Every batch is merged by path into the published snapshot: files, the folders above
+    them, and their folder, type and extension tags. A batch that is run again after a
+    failure replaces the same paths, so reruns change nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         new = derive(batch)
-        old = io.load_catalog(spark, folder, {"files": new.schema})["files"]
-        io.publish_snapshot({"files": catalog.upsert_files(old, new)}, folder)
+        folders, tags = catalog.derive_folders(new), system_tags(new)
+        old = io.load_catalog(spark, folder, {"files": new.schema, "folders": folders.schema, "file_tags": tags.schema})
+        # the tags of a file that comes again, under whatever id, make way for its new ones
+        again = old["files"].join(new.select("rel_path"), "rel_path", "left_semi").select("file_id").union(new.select("file_id")).distinct()
+        tables = {
+            "files": catalog.upsert_files(old["files"], new),
+            "folders": old["folders"].unionByName(folders).dropDuplicates(["rel_path"]),
+            "file_tags": catalog.unique_file_tags(old["file_tags"].join(again, "file_id", "left_anti").unionByName(tags)),
+        }
+        io.publish_snapshot(tables, folder)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

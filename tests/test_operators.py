@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import scalars, vectors
 from shelfspark.operators import catalog, predicates, saved_queries, search, sequences, tags, text
 from shelfspark.sources import io, schemas
-from shelfspark.streaming.index_stream import catalogued, index_stream
+from shelfspark.streaming.index_stream import catalogued, index_stream, system_tags
 
 
 def frame(spark, rows, schema):
@@ -310,8 +310,11 @@ def test_stream_equals_batch(spark, tmp_path):
     second.write.mode("append").parquet(source)
     run()
     want = catalog.upsert_files(catalogued(first), catalogued(second))
-    got = io.load_catalog(spark, folder, {"files": want.schema})["files"]
-    assert values(got.na.fill("-"), *want.columns) == values(want.na.fill("-"), *want.columns)
+    folders, marks = catalog.derive_folders(want), system_tags(want)
+    got = io.load_catalog(spark, folder, {"files": want.schema, "folders": folders.schema, "file_tags": marks.schema})
+    for name, all_of in (("files", want), ("folders", folders), ("file_tags", marks)):
+        key = lambda t: tuple(map(str, t))
+        assert sorted((tuple(r) for r in got[name].select(all_of.columns).collect()), key=key) == sorted((tuple(r) for r in all_of.collect()), key=key), name
 
 
 def test_scalars_off_the_tables(spark):
