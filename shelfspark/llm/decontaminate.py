@@ -36,6 +36,7 @@ class LeakSpec:
     bucket: int = 32  # windows start at multiples of this many words
     pad: int = 12
     max_local_seeds: int = 2_000_000
+    max_local_words: int = 5_000_000  # words of all items up to which they are sent to the tasks once, not with each window
 
 
 MATCH, MISS, GAP = 2, -1, -1
@@ -132,12 +133,21 @@ def _found(docs: DataFrame, items: DataFrame, spec: LeakSpec, id_col: str, text_
     places = seeds.select("item_id", "seed", "item_pos")
     windows = hits.join(places, "seed").select("doc_id", "item_id", F.floor((F.col("pos") - F.col("item_pos")) / spec.bucket).alias("bucket")).distinct()
     item_words = seeds.groupBy("item_id").agg(F.first("words").alias("words"))
+    item_words = materialize(item_words, "item-words")
+    known = None
+    if (item_words.agg(F.sum(F.size("words"))).first()[0] or 0) <= spec.max_local_words:
+        known = {r["item_id"]: np.array(r["words"], np.int64).view(np.uint64) for r in item_words.collect()}
+        windows = windows.withColumn("words", F.lit(None).cast("array<long>"))
+    else:
+        windows = windows.join(item_words, "item_id")
+    items_of = docs.sparkSession.sparkContext.broadcast(known)
     # a row per document: its text travels once, and only where there is something to align
-    by_doc = windows.join(item_words, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "bucket", "words")).alias("todo"))
+    by_doc = windows.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "bucket", "words")).alias("todo"))
     by_doc = materialize(by_doc, "windows")
     todo = rows.join(small_side(by_doc.select("doc_id")), "doc_id", "left_semi").join(by_doc, "doc_id").select("doc_id", "text", "todo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_items = items_of.value
         for batch in released(batches):
             for part in slices(batch, "text", 1 << 20):
                 words = scan(part.column("text"), True)
@@ -145,7 +155,7 @@ def _found(docs: DataFrame, items: DataFrame, spec: LeakSpec, id_col: str, text_
                 parts, spans, first, places = [], [], [], []
                 for i, todo_list in enumerate(part.column("todo").to_pylist()):
                     for t in todo_list:
-                        item = np.array(t["words"], np.int64).view(np.uint64)
+                        item = np.array(t["words"], np.int64).view(np.uint64) if own_items is None else own_items[t["item_id"]]
                         a = max(0, t["bucket"] * spec.bucket - spec.pad)
                         z = (t["bucket"] + 1) * spec.bucket + len(item) + spec.pad
                         parts.append(item)

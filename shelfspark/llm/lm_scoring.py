@@ -36,6 +36,7 @@ from .storage import materialize, shared_dir
 from .textscan import Words, released, scan, slices, small_batches
 
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+MAX_OPEN = 2048  # mapped ranges of a table in a worker
 _CODEC = pa.Codec("zstd", compression_level=1)
 _HIGH, _32 = np.uint64(0xFFFFFFFF00000000), np.uint64(32)
 
@@ -111,9 +112,9 @@ class HashArrays:
 
     uri: str
     bits: int
-    parts: list[int]
+    parts: frozenset[int]
     names: tuple[str, ...]
-    opened: dict = field(default_factory=dict)
+    opened: dict = field(default_factory=dict)  # the ranges used last
 
     def __getstate__(self):
         return self.__dict__ | {"opened": {}}
@@ -127,8 +128,9 @@ class HashArrays:
             p = int(part[a])
             if p not in self.parts:
                 continue
-            if p not in self.opened:
-                self.opened[p] = [load(f"{self.uri}/{p}", n) for n in ("keys", *self.names)]
+            self.opened[p] = self.opened.pop(p, None) or [load(f"{self.uri}/{p}", n) for n in ("keys", *self.names)]
+            if len(self.opened) > MAX_OPEN:  # a process may map so many files only
+                del self.opened[next(iter(self.opened))]
             have, *values = self.opened[p]
             at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
             hit = have[at] == keys[a:b]
@@ -270,7 +272,7 @@ def count_follows(rows: DataFrame, uri: str) -> DataFrame:
 
 
 def range_bits(n_bytes: int) -> int:
-    """Bits for about 32 MB of text to a hash range, from 7 to 17."""
+    """Bits for about 32 MB of text to a hash range, from 7 to 17 (4 TB; beyond that give ``bits``)."""
     return max(7, min(17, (n_bytes >> 25).bit_length()))
 
 
@@ -292,7 +294,7 @@ def train_model(train: DataFrame, bits: int | None = None, uri: str | None = Non
     c1 = [sum(r[f"c{i}"] for r in low) for i in range(5)]
     d1, d2 = discounts(c1[:4]), discounts(c2)
     spread = (d1[1] * c1[0] + d1[2] * c1[1] + d1[3] * c1[4]) / types if types else 1.0
-    arrays = lambda name, parts, *names: HashArrays(f"{uri}/{name}", bits, parts, names)
+    arrays = lambda name, parts, *names: HashArrays(f"{uri}/{name}", bits, frozenset(parts), names)
     return KneserNey(
         arrays("words", [r["part"] for r in words], "count"), arrays("bigrams", own, "count"), arrays("contexts", own, "total", "n1", "n2", "n3"), arrays("follows", [r["part"] for r in low], "count"),
         sum(r["tokens"] for r in words), sum(r["words"] for r in words), types, d2, d1, spread,

@@ -245,7 +245,7 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, local):
     docs += [(900, None), (901, ""), (902, "one two"), (None, " ".join(items[0][1]))]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(5)).withColumn("words", F.lit("x"))
     bench = spark.createDataFrame([*((i, " ".join(w).upper()) for i, w in items), (77, None), (78, "a b"), (None, "x y z w")], "item_id long, text string")
-    spec = decontaminate.LeakSpec(max_local_seeds=2_000_000 if local else 0)
+    spec = decontaminate.LeakSpec() if local else decontaminate.LeakSpec(max_local_seeds=0, max_local_words=0)
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(frame, bench, spec).collect()}
     assert set(got) == set(want)
     for k, (a, z, edited) in want.items():
