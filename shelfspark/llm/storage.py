@@ -8,6 +8,7 @@ only the tasks it was running.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import threading
 import uuid
@@ -61,6 +62,16 @@ def discard(df: DataFrame) -> None:
     drop(df.sparkSession, df._written_to)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's context cleaner remove the shuffle files of finished steps now.
+
+    It learns of them when the driver collects garbage, which a driver with little to do
+    puts off (by half an hour at most); a step that shuffles much is followed by this.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are written inside go at the end; write what is to stay with ``keep``."""
@@ -70,6 +81,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _own.stack.pop():
             drop(spark, path)
+        if not _own.stack:
+            sweep(spark)
 
 
 def keep(df: DataFrame, kind: str) -> DataFrame:
