@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, oracles, packing, quality_rules, token_counts, token_file, warc
+from . import bpe, conversation_repair, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, oracles, packing, quality_rules, token_alignment, token_counts, token_file, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +56,34 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(folder, index)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_best_fit_packing, op4_jaccard_join, op5_language_id, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_warc, op10_token_file)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut, repeated or given to the user, by a checksum of conversation and turn."""
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = conversations.select("conv_id", "turn", *filled, (F.crc32(key.cast("binary")) % 20).alias("fault")).where("fault <> 0")
+    rows = rows.withColumn("text", F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    rows = rows.withColumn("role", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")))
+    return rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy", "fault")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.summarize(conversation_repair.repair(damaged(conversations)), conversations)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_decontamination, op3_best_fit_packing, op4_jaccard_join, op5_language_id, op6_lm_scoring, op7_quality_rules, op8_token_counts, op9_warc, op10_token_file,
+    op11_tokenizer_alignment, op12_bpe_round_trip, op13_conversation_repair,
+)}
 ORACLE_SQL = {"op4_jaccard_join": oracles.OP4, "op7_quality_rules": oracles.OP7, "op9_warc": oracles.OP9}
