@@ -169,9 +169,15 @@ def index_status(files: DataFrame) -> DataFrame:
 
 
 def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or replace by rel_path."""
+    """Insert or replace by rel_path; of several rows of a path the new ones win, then the least file_id.
+
+    The winners are found on path and id alone, so map-side sums and narrow rows move
+    before whole rows do. For batches into a kept table see ``sources.buckets``.
+    """
     both = old.withColumn("o_", F.lit(1)).unionByName(new.withColumn("o_", F.lit(0)), allowMissingColumns=True)
-    return both.withColumn("r_", F.row_number().over(Window.partitionBy("rel_path").orderBy("o_", "file_id"))).where("r_ = 1").drop("o_", "r_")
+    best = both.groupBy("rel_path").agg(F.min(F.struct("o_", "file_id")).alias("b_"))
+    same = both["rel_path"].eqNullSafe(best["rel_path"]) & F.struct(both["o_"], both["file_id"]).eqNullSafe(best["b_"])
+    return both.join(best, same, "left_semi").dropDuplicates(["rel_path"]).drop("o_")
 
 
 def upsert_file_text(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
@@ -70,8 +68,7 @@ def _(spark, sf_dir):
 
 @query("s07_s08_snapshot_round_trip", f"{FILES} SELECT file_id, rel_path, media_type, size_bytes FROM files")
 def _(spark, sf_dir):
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{root.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    folder = io.shared_folder(spark, "snapshots")
     own = files(spark, sf_dir).select("file_id", "rel_path", "media_type", "size_bytes")
     io.publish_snapshot({"files": own}, folder)
     return io.load_catalog(spark, folder, {"files": own.schema})["files"]

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources import io
+from ..sources import buckets, io
 from ..streaming.index_stream import catalogued, index_stream, system_tags
 from .fixtures import FILES, files
 from .registry import query
@@ -21,11 +19,28 @@ _ROWS = "f AS (SELECT file_id, rel_path, ext, media_type FROM files WHERE media_
 )
 def _(spark, sf_dir):
     """All files arrive in two runs of the stream; the tags in the snapshot come back."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    base = io.shared_folder(spark, "index")
     listing = files(spark, sf_dir).select("file_id", "rel_path", "size_bytes", "mtime")
     for half in (0, 1):
         listing.where(F.col("file_id") % 2 == half).write.mode("append").parquet(f"{base}/listing")
-        index_stream(spark, f"{base}/listing", listing.schema, f"{base}/catalog", f"{base}/checkpoint").awaitTermination()
-    tags = io.load_catalog(spark, f"{base}/catalog", {"file_tags": system_tags(catalogued(listing)).schema})["file_tags"]
+        index_stream(spark, f"{base}/listing", listing.schema, f"{base}/catalog", f"{base}/checkpoint", n_buckets=8).awaitTermination()
+    tags = buckets.read_table(spark, f"{base}/catalog", "file_tags", system_tags(catalogued(listing)).schema)
     return tags.select("file_id", "slug", "kind", "source")
+
+
+@query(
+    "x02_bucketed_upserts",
+    f"{FILES}, {_ROWS} SELECT file_id, rel_path, size_bytes + CASE WHEN file_id % 5 = 0 THEN 1 ELSE 0 END AS size_bytes FROM files WHERE file_id % 3 <> 1 AND NOT (file_id % 7 = 2 AND file_id % 5 <> 0)",
+)
+def _(spark, sf_dir):
+    """Files are committed to a bucketed table, some are deleted, some change (one batch of these twice); the table comes back."""
+    folder = io.shared_folder(spark, "buckets")
+    own = files(spark, sf_dir).where("file_id % 3 <> 1").select("file_id", "rel_path", "size_bytes")
+    change = lambda rows, **k: [buckets.Change("files", "rel_path", rows, **k)]
+    buckets.commit(spark, folder, change(own), buckets=8)
+    buckets.commit(spark, folder, change(own.limit(0), gone=own.where("file_id % 7 = 2")))
+    fresh = own.where("file_id % 5 = 0").withColumn("size_bytes", F.col("size_bytes") + 1)
+    rivals = fresh.unionByName(fresh.withColumn("size_bytes", F.col("size_bytes") + 1))
+    for _ in range(2):
+        buckets.commit(spark, folder, change(rivals, order=("size_bytes",)), batch=("changes", 0))
+    return buckets.read_table(spark, folder, "files", own.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,23 +55,61 @@ def current_version(spark: SparkSession, folder: str) -> str | None:
 
 
 def publish_snapshot(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write a new version of the tables, then move the pointer to it; a failed run leaves the old version in place."""
+    """Write a new version of the tables, then move the pointer to it.
+
+    A failed run leaves the old version in place and nothing of its own.
+    """
     spark = next(iter(tables.values())).sparkSession
     version = f"v={uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{version}/{name}")
     jvm, temp, fs = _hadoop(spark, f"{folder}/{version}/pointer")
-    out = fs.create(temp, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    # one atomic rename: readers see the old version or the new one
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(temp, jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}"), options)
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{version}/{name}")
+        out = fs.create(temp, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        # one atomic rename: readers see the old version or the new one
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(temp, jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}"), options)
+    except BaseException:
+        fs.delete(temp.getParent(), True)
+        raise
     return version
 
 
+def drop_versions(spark: SparkSession, folder: str, older_than_s: float = 7 * 24 * 3600) -> int:
+    """Remove versions other than the published one that are older than so many seconds; returns how many."""
+    _, p, fs = _hadoop(spark, folder)
+    if not fs.exists(p):
+        return 0
+    now, limit, gone = current_version(spark, folder), (time.time() - older_than_s) * 1000, 0
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if name.startswith("v=") and name != now and s.getModificationTime() < limit:
+            gone += fs.delete(s.getPath(), True)
+    return gone
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset and Spark is one process, below a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: later passes see the same rows and values, whatever is lost meanwhile."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_catalog(spark: SparkSession, folder: str, schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
     """The published tables; empty ones of the same schema where nothing is published."""
     version, out = current_version(spark, folder), {}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import catalog
-from ..sources import io
+from ..sources import buckets
 
 
 def catalogued(files: DataFrame) -> DataFrame:
@@ -21,26 +22,42 @@ def system_tags(files: DataFrame) -> DataFrame:
     return catalog.derive_folder_tags(files).unionByName(catalog.derive_type_tags(files)).unionByName(catalog.derive_ext_tags(files))
 
 
-def index_stream(spark: SparkSession, source: str, schema, folder: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] = catalogued) -> StreamingQuery:
+def merge_batch(new: DataFrame, folder: str, batch: tuple[str, int] | None = None, n_buckets: int = 64) -> int:
+    """Merge catalogued files by path into the bucketed catalog: files, the folders above them, and their tags.
+
+    Of several files of one path in a batch that with the least id stays. Only the
+    buckets of the batch's paths, folders and file ids are read and written.
+    """
+    spark, now = new.sparkSession, buckets.manifest(new.sparkSession, folder)
+    least = new.groupBy("rel_path").agg(F.min("file_id").alias("file_id"))
+    new = new.join(least, ["rel_path", "file_id"], "left_semi").dropDuplicates(["rel_path"]).persist()
+    try:
+        before = buckets.read_keys(spark, folder, "files", new.schema, new.select("rel_path"), now)
+        # the tags of a file that comes again, under whatever id, make way for its new ones
+        again = before.select("file_id").unionByName(new.select("file_id")).distinct()
+        above = catalog.derive_folders(new)
+        known = buckets.read_keys(spark, folder, "folders", above.schema, above, now)
+        changes = [
+            buckets.Change("files", "rel_path", new),
+            buckets.Change("folders", "rel_path", above.join(known, "rel_path", "left_anti")),
+            buckets.Change("file_tags", "file_id", catalog.unique_file_tags(system_tags(new)), gone=again),
+        ]
+        return buckets.commit(spark, folder, changes, batch, n_buckets)
+    finally:
+        new.unpersist()
+
+
+def index_stream(spark: SparkSession, source: str, schema, folder: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] = catalogued, n_buckets: int = 64) -> StreamingQuery:
     """Catalogue what arrives in a Parquet folder of listings (file_id, rel_path, ...), each file once.
 
-    Every batch is merged by path into the published snapshot: files, the folders above
-    them, and their folder, type and extension tags. A batch that is run again after a
-    failure replaces the same paths, so reruns change nothing.
+    Every batch is one commit to the bucketed tables ``files``, ``folders`` and
+    ``file_tags``; a batch that is run again after a failure is recognised by the
+    stream's id and its number, and changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = derive(batch)
-        folders, tags = catalog.derive_folders(new), system_tags(new)
-        old = io.load_catalog(spark, folder, {"files": new.schema, "folders": folders.schema, "file_tags": tags.schema})
-        # the tags of a file that comes again, under whatever id, make way for its new ones
-        again = old["files"].join(new.select("rel_path"), "rel_path", "left_semi").select("file_id").union(new.select("file_id")).distinct()
-        tables = {
-            "files": catalog.upsert_files(old["files"], new),
-            "folders": old["folders"].unionByName(folders).dropDuplicates(["rel_path"]),
-            "file_tags": catalog.unique_file_tags(old["file_tags"].join(again, "file_id", "left_anti").unionByName(tags)),
-        }
-        io.publish_snapshot(tables, folder)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        merge_batch(derive(batch), folder, (stream, batch_id), n_buckets)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

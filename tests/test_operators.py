@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import scalars, vectors
 from shelfspark.operators import catalog, predicates, saved_queries, search, sequences, tags, text
-from shelfspark.sources import io, schemas
+from shelfspark.sources import buckets, io, schemas
 from shelfspark.streaming.index_stream import catalogued, index_stream, system_tags
 
 
@@ -292,8 +292,12 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(Exception):
         io.publish_snapshot({"files": frame(spark, [(2,)], "id long").select(F.raise_error(F.lit("stop")).cast("long").alias("id"))}, folder)
     assert io.current_version(spark, folder) == first
+    assert sorted(x.name for x in (tmp_path / "catalog").iterdir() if not x.name.startswith(".")) == ["CURRENT", first]
     io.publish_snapshot({"files": frame(spark, [(2,), (3,)], "id long")}, folder)
     assert values(io.load_catalog(spark, folder, schema)["files"].select("id"), "id") == [(2,), (3,)]
+    assert io.drop_versions(spark, folder) == 0 and io.drop_versions(spark, folder, older_than_s=-60) == 1
+    assert values(io.load_catalog(spark, folder, schema)["files"].select("id"), "id") == [(2,), (3,)]
+    assert io.drop_versions(spark, str(tmp_path / "none")) == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -304,14 +308,14 @@ def test_stream_equals_batch(spark, tmp_path):
     first.write.parquet(source)
     run = lambda: index_stream(spark, source, first.schema, folder, check).awaitTermination()
     run()
-    one = io.current_version(spark, folder)
+    one = buckets.manifest(spark, folder)
     run()
-    assert io.current_version(spark, folder) == one
+    assert buckets.manifest(spark, folder) == one
     second.write.mode("append").parquet(source)
     run()
     want = catalog.upsert_files(catalogued(first), catalogued(second))
     folders, marks = catalog.derive_folders(want), system_tags(want)
-    got = io.load_catalog(spark, folder, {"files": want.schema, "folders": folders.schema, "file_tags": marks.schema})
+    got = {n: buckets.read_table(spark, folder, n, df.schema) for n, df in (("files", want), ("folders", folders), ("file_tags", marks))}
     for name, all_of in (("files", want), ("folders", folders), ("file_tags", marks)):
         key = lambda t: tuple(map(str, t))
         assert sorted((tuple(r) for r in got[name].select(all_of.columns).collect()), key=key) == sorted((tuple(r) for r in all_of.collect()), key=key), name
