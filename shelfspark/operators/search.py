@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from . import predicates, tags
+from .topk import TopK
 
 MAX_SIZES = 200  # lengths of prefixes
 # Badge of each space.
@@ -144,32 +145,24 @@ def search_batch(files: DataFrame, queries: DataFrame, k: int, space: str = "def
     width, spread = matrix.shape[1] if matrix.ndim == 2 else 0, files.sparkSession.sparkContext.broadcast(matrix)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = spread.value
-        top = [(np.zeros(0, object), np.zeros(0), np.inf, -np.inf) for _ in ids]
+        matrix, top = spread.value, TopK(len(ids), k)
+        lo, hi = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
         for batch in batches:
-            paths = np.array(batch.column("rel_path").to_pylist(), object)
-            failed = batch.column("failed").to_numpy(zero_copy_only=False)
-            m = np.zeros((len(paths), width))
-            valid = ~failed
-            if valid.any():
-                m[valid] = np.stack(batch.column("v").filter(pa.array(valid)).to_numpy(zero_copy_only=False))
-            norm = np.sqrt((m**2).sum(axis=1, keepdims=True))
+            paths, failed = batch.column("rel_path"), batch.column("failed").to_numpy(zero_copy_only=False)
+            m = np.zeros((batch.num_rows, width))
+            m[~failed] = np.asarray(batch.column("v").filter(pa.array(~failed)).flatten(), np.float64).reshape(-1, width)
+            norm = np.sqrt((m**2).sum(axis=1))
+            m /= np.where(norm > 0, norm, 1)[:, None]
             for q0 in range(0, len(ids), 256):
-                scores = np.divide(m @ matrix[q0 : q0 + 256].T, norm, out=np.zeros((len(m), len(matrix[q0 : q0 + 256]))), where=norm > 0)
-                scores[failed] = -1.0
-                for j in range(scores.shape[1]):
-                    have, value, lo, hi = top[q0 + j]
-                    good = scores[:, j][scores[:, j] >= 0]
-                    own = scores[:, j]
-                    if len(own) > k:  # only what reaches the k-th best, ties included, is sorted
-                        own_at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
-                    else:
-                        own_at = np.arange(len(own))
-                    p, s = np.concatenate([have, paths[own_at]]), np.concatenate([value, own[own_at]])
-                    order = np.lexsort((p, -s))[:k] if len(s) > k else np.arange(len(s))
-                    top[q0 + j] = (p[order], s[order], min(lo, good.min(initial=np.inf)), max(hi, good.max(initial=-np.inf)))
-        out = [(i, p, float(s), float(lo), float(hi)) for i, (paths, values, lo, hi) in zip(ids, top, strict=True) for p, s in zip(paths, values, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=["query_id", "rel_path", "score", "lo", "hi"])
+                which = np.arange(q0, min(q0 + 256, len(ids)))
+                scores = matrix[which] @ m.T
+                scores[:, failed] = -1.0
+                good = scores >= 0
+                lo[which] = np.minimum(lo[which], np.where(good, scores, np.inf).min(axis=1, initial=np.inf))
+                hi[which] = np.maximum(hi[which], np.where(good, scores, -np.inf).max(axis=1, initial=-np.inf))
+                top.add(which, scores, lambda at, p=paths: p.take(pa.array(at)).to_numpy(zero_copy_only=False))
+        at, paths, scores = top.rows()
+        yield pa.record_batch({"query_id": pa.array(np.array(ids, np.int64)[at]), "rel_path": pa.array(paths.tolist(), pa.string()), "score": pa.array(scores), "lo": pa.array(lo[at]), "hi": pa.array(hi[at])})
 
     w = Window.partitionBy("query_id")
     cand = rows.mapInArrow(best, "query_id long, rel_path string, score double, lo double, hi double")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import predicates as p
-from ..operators import saved_queries, search, sequences, tags, text
+from ..operators import saved_queries, search, sequences, tags, text, vector_index
+from ..sources import io
 from .fixtures import DIM, FILES, FILESV, files, files_with_vectors, query_vector, query_vectors, table
 from .registry import query
 
@@ -288,6 +289,21 @@ def _(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("long").alias("place"), F.round("score", 3).alias("score"))
 
 
+_NEAREST = (
+    "bq AS (SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 20 = 0), near AS (SELECT query_id, rel_path, list_cosine_similarity(CAST(clip_emb AS DOUBLE[]), CAST(qvec AS DOUBLE[])) AS score FROM filesv, bq WHERE clip_emb IS NOT NULL AND status <> 'embed_failed'), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rel_path) AS r FROM near)"
+)
+
+
+@query("k11_nearest_vectors", f"{FILESV}, {_NEAREST} SELECT query_id, r AS place, round(score, 5) AS score FROM ranked WHERE r <= 10")
+def _(spark, sf_dir):
+    """The index of all clip vectors, searched for every twentieth vector."""
+    folder = io.shared_folder(spark, "vector-index")
+    vector_index.build(files_with_vectors(spark, sf_dir, "clip_emb"), folder, DIM, "imagecontent")
+    out = vector_index.nearest(spark, folder, query_vectors(spark, sf_dir), 10)
+    return out.select("query_id", F.col("rank").cast("long").alias("place"), F.round("score", 5).alias("score"))
+
+
 @query("k08_score_badge", f"{FILES} SELECT file_id, 'img ' || CAST(CAST(round(file_id % 97 + 0.25) AS INT) AS VARCHAR) || '%' AS badge FROM files")
 def _(spark, sf_dir):
     s = files(spark, sf_dir).select("file_id", (F.col("file_id") % 97 + 0.25).cast("double").alias("score"))
