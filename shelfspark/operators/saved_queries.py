@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .predicate_index import PredicateIndex
+
 # Token classes of a query string in matching order, with their patterns.
 TOKENS = [
     ("escaped", r"\\@"),
@@ -29,30 +33,38 @@ ANY = "(?i)(" + "|".join(p for _, p in TOKENS) + ")"
 FOLDER = r"(?i)^@folder:[a-zA-Z0-9_\- ]+(?:/[a-zA-Z0-9_\- ]+){0,4}$"
 
 
-def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str], text: list[str], max_compiled: int = 2000) -> DataFrame:
+def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str], text: list[str], max_compiled: int = 500, max_literals: int = 2_000_000) -> DataFrame:
     """(query_id, file_id): files that satisfy every clause of a stored filter.
 
-    Up to ``max_compiled`` literals become expressions that one pass over the files
-    evaluates; more are joined with the files' cells.
-
     ``clauses`` (query_id, clause_id, column, op, value, negated) is in conjunctive
     normal form: literals with the same clause_id are alternatives. Null makes a
-    literal neither true nor false, negated or not.
+    literal neither true nor false, negated or not; a literal of an unknown column or
+    operator, or without a fitting value, is never true.
+
+    The filters are read when the plan is built; more than ``max_literals`` are refused.
+    Up to ``max_compiled`` literals become expressions that one pass over the files
+    evaluates. More become a predicate index, which is sent to the tasks once; there
+    each file looks up its values, and nothing is shuffled.
     """
-    stated = clauses.limit(max_compiled + 1).collect()
+    stated = clauses.select("query_id", "clause_id", "column", "op", "value", "negated").limit(max_literals + 1).collect()
+    if len(stated) > max_literals:
+        raise ValueError(f"more than {max_literals} literals; give the filters in parts")
     if len(stated) <= max_compiled:
         return _compiled(files, stated, {*numeric}, {*text})
-    stack = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("num"), F.lit(None).cast("string").alias("txt")) for c in numeric]
-    stack += [F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("num"), F.col(c).alias("txt")) for c in text]
-    cells = files.select("file_id", F.explode(F.array(*stack)).alias("c_")).select("file_id", "c_.*")
-    want = F.col("value").try_cast("double")
-    tests = {">": F.col("num") > want, ">=": F.col("num") >= want, "<": F.col("num") < want, "<=": F.col("num") <= want, "like": F.expr("txt ILIKE value")}
-    equal = F.coalesce(F.col("num") == want, F.col("txt") == F.col("value"))
-    truth = reduce(lambda c, k: c.when(F.col("op") == k[0], k[1]), tests.items(), F.when(F.col("op") == "=", equal))
-    hits = cells.join(clauses, "column").where(F.when(F.col("negated"), ~truth).otherwise(truth))
-    total = clauses.groupBy("query_id").agg(F.count_distinct("clause_id").alias("n_"))
-    got = hits.groupBy("query_id", "file_id").agg(F.count_distinct("clause_id").alias("m_"))
-    return got.join(total, "query_id").where("m_ = n_").select("query_id", "file_id")
+    return _indexed(files, stated, numeric, text)
+
+
+def _indexed(files: DataFrame, clauses: list, numeric: list[str], text: list[str]) -> DataFrame:
+    spread = files.sparkSession.sparkContext.broadcast(PredicateIndex(clauses, numeric, text))
+    cells = files.select(F.col("file_id").alias("file_id_"), *(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(c).cast("string").alias(c) for c in text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = spread.value
+        for batch in batches:
+            for rows, ids in index.match(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("file_id_").take(pa.array(rows))], ["query_id", "file_id"])
+
+    return cells.mapInArrow(run, f"query_id long, file_id {cells.schema['file_id_'].dataType.simpleString()}")
 
 
 def _compiled(files: DataFrame, clauses: list, numeric: set[str], text: set[str]) -> DataFrame:

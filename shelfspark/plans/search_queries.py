@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -69,6 +70,26 @@ def _(spark, sf_dir):
     return saved_queries.match_saved_searches(files(spark, sf_dir), clauses, ["size_bytes", "has_text", "duration_ms", "width", "fps"], ["media_type", "ext", "rel_path"])
 
 
+#: A filter for each customer: a type or an extension, a window of sizes, and a folder that it is in or not.
+_MANY = (
+    "cq AS (SELECT c_custkey AS query_id, CASE c_custkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'video' ELSE 'audio' END AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'gif' ELSE 'wav' END AS e, CAST(c_custkey * 37 % 5000 AS BIGINT) AS lo, c_custkey % 4 AS s FROM customer) "
+    "SELECT query_id, file_id FROM files JOIN cq ON (media_type = kind OR ext = e) AND size_bytes > lo AND NOT size_bytes >= lo + 60 AND CASE WHEN s = 0 THEN rel_path ILIKE 'SRC1/%' ELSE NOT (rel_path ILIKE 'src' || s || '/e_/%') END"
+)
+
+
+@query("p16_many_saved_searches", f"{FILES}, {_MANY}")
+def _(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("query_id"), (F.col("c_custkey") % 4).cast("string").alias("s"), (F.col("c_custkey") * 37 % 5000).cast("long").alias("lo"))
+    literal = lambda n, column, op, value, negated=False: F.struct(F.lit(n).alias("clause_id"), F.lit(column).alias("column"), F.lit(op).alias("op"), value.cast("string").alias("value"), (negated if isinstance(negated, Column) else F.lit(negated)).alias("negated"))
+    kind = F.element_at(F.array(F.lit("image"), F.lit("video"), F.lit("audio")), (F.col("query_id") % 3 + 1).cast("int"))
+    folder = F.when(F.col("s") == "0", "SRC1/%").otherwise(F.concat(F.lit("src"), F.col("s"), F.lit("/e_/%")))
+    literals = [
+        literal(1, "media_type", "=", kind), literal(1, "ext", "=", F.when(F.col("query_id") % 2 == 0, "gif").otherwise("wav")), literal(2, "size_bytes", ">", F.col("lo")), literal(3, "size_bytes", ">=", F.col("lo") + 60, True), literal(4, "rel_path", "like", folder, F.col("s") != "0"),
+    ]
+    clauses = c.select("query_id", F.inline(F.array(*literals)))
+    return saved_queries.match_saved_searches(files(spark, sf_dir), clauses, ["size_bytes"], ["media_type", "ext", "rel_path"])
+
+
 _SUFFIX = " @has:text & (@image | !@.gif ) @score>50.5 @date?2024 @size>=10mb \\\\@x @ocr @folder:a/b @folder:a//b @bogus @Trip"
 _LEXED = ["@has:text", "&", "(", "@image", "|", "!", "@.gif", ")", "@score>50.5", "@date?2024", "@size>=10mb", "\\@", "x", "@ocr", "@folder:a/b", "@folder:a//b", "@bogus", "@Trip"]
 _CLASSES = ["modality", "and", "bracket", "filetype", "or", "not", "fileext", "bracket", "logical", "logical", "logical", "escaped", "text", "mode", "folder", "invalid", "invalid", "custom"]
