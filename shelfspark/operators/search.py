@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..sources.io import written
 from . import predicates, tags
 from .topk import TopK
 
@@ -58,33 +60,116 @@ def space_with_fallback(files: DataFrame, space: str) -> str:
     return "default" if space == "audiocontent" and files.where("clap_emb is not null").isEmpty() else space
 
 
-def lcs_ratio(query: str):
-    """An Arrow UDF: longest common subsequence with the query over the shorter length, by bit-parallel rows."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(query):
-        masks[c] = masks.get(c, 0) | 1 << i
+def lcs_lengths(query: str, texts: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of the query with each text.
+
+    Bit-parallel: a row of bits for the query's characters, in words of 64, is updated
+    for one character of all texts at once; texts of like length go together, few of
+    them one by one.
+    """
+    symbols = {c: i + 1 for i, c in enumerate(dict.fromkeys(query))}
+    n_words, out = -(-len(query) // 64), np.zeros(len(texts), np.int64)
+    whole = {c: sum(1 << i for i, x in enumerate(query) if x == c) for c in symbols}
     full = (1 << len(query)) - 1
+    masks = np.array([[0] * n_words] + [[m >> 64 * w & (1 << 64) - 1 for w in range(n_words)] for m in whole.values()], np.uint64)
+    table = np.zeros(0x110000, np.uint8 if len(symbols) < 256 else np.uint32)
+    for c, i in symbols.items():
+        table[ord(c)] = i
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and len(texts[order[to]]) <= 1.25 * len(texts[order[at]]) + 16 and (to - at) * len(texts[order[to]]) < 1 << 22:
+            to += 1
+        group = order[at:to]
+        if len(group) < 16:
+            for i in group:
+                v = full
+                for c in texts[i]:
+                    u = v & whole.get(c, 0)
+                    v = ((v + u) | (v - u)) & full
+                out[i] = len(query) - v.bit_count()
+        else:
+            longest = len(texts[group[-1]])
+            steps = np.zeros((len(group), longest), table.dtype)  # what is past a text's end changes nothing
+            for row, i in enumerate(group):
+                steps[row, : len(texts[i])] = table[np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            v = [np.full(len(group), (1 << 64) - 1, np.uint64) for _ in range(n_words)]
+            for symbol in np.ascontiguousarray(steps.T):
+                carry = None
+                for w in range(n_words):
+                    u = v[w] & masks[symbol, w]
+                    total = v[w] + u
+                    over = total < u
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    carry = over.astype(np.uint64) if w + 1 < n_words else None
+                    v[w] = total | (v[w] & ~u)
+            for w in range(n_words):
+                left = np.uint64((full >> 64 * w) & ((1 << 64) - 1))
+                out[group] += np.bitwise_count(~v[w] & left)
+        at = to
+    return out
 
-    def one(text: str) -> float:
-        v = full
-        for c in text:
-            u = v & masks.get(c, 0)
-            v = ((v + u) | (v - u)) & full
-        return (len(query) - v.bit_count()) / min(len(query), len(text))
+
+def lcs_ratio(query: str):
+    """An Arrow UDF: longest common subsequence with the query over the shorter length."""
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        distinct = {t: one(t) for t in texts.dropna().unique()}
-        return texts.map(distinct).astype(float)
+        have = texts.dropna()
+        place = {t: i for i, t in enumerate(dict.fromkeys(have))}  # pandas' own factors take texts with a NUL for equal
+        codes = np.array([place[t] for t in have], np.int64)
+        sizes = np.array([min(len(query), len(t)) for t in place], np.float64)
+        ratios = lcs_lengths(query, list(place)) / sizes if len(place) else np.zeros(0)
+        out = pd.Series(np.full(len(texts), np.nan), index=texts.index)
+        out[have.index] = ratios[codes]
+        return out
 
     return run
 
 
-def fuzzy_text_scores(files: DataFrame, query: str, text_col: str = "ocr_text") -> DataFrame:
-    """(rel_path, score): likeness of the text and the query; -1 for failed files and empty texts."""
+def lcs_bound(text: Column, query: str) -> Column:
+    """No LCS ratio is above this: characters that text and query share, over the shorter length; native."""
+    length = F.char_length(text)
+    own = lambda c: length - F.char_length(F.translate(text, c, ""))
+    shared = reduce(Column.__add__, (F.least(own(c), F.lit(query.count(c))) for c in dict.fromkeys(query)))
+    return shared / F.least(length, F.lit(len(query)))
+
+
+def _texts(files: DataFrame, query: str, text_col: str) -> DataFrame:
+    """(rel_path, t_): lower-case text, null where the file failed or has none."""
     rows = predicates_base(files).select("rel_path", F.lower(F.col(text_col)).alias("t_"), F.coalesce(F.col("status") == "embed_failed", F.lit(False)).alias("f_"))
     usable = ~F.col("f_") & (F.coalesce(F.length("t_"), F.lit(0)) > 0) & F.lit(len(query) > 0)
-    return rows.select("rel_path", F.coalesce(lcs_ratio(query.lower())(F.when(usable, F.col("t_"))), F.lit(-1.0)).alias("score"))
+    return rows.select("rel_path", F.when(usable, F.col("t_")).alias("t_"))
+
+
+def fuzzy_text_scores(files: DataFrame, query: str, text_col: str = "ocr_text", at_least: float | None = None) -> DataFrame:
+    """(rel_path, score): likeness of the text and the query; -1 for failed files and empty texts.
+
+    With ``at_least`` only files of such a score; what shared character counts rule out
+    is not aligned.
+    """
+    query = query.lower()
+    rows = _texts(files, query, text_col)
+    if at_least is not None and at_least > 0:
+        rows = rows.where(lcs_bound(F.col("t_"), query) >= at_least - 1e-12) if query else rows.limit(0)
+    scored = rows.select("rel_path", F.coalesce(lcs_ratio(query)("t_"), F.lit(-1.0)).alias("score"))
+    return scored if at_least is None else scored.where(F.col("score") >= at_least)
+
+
+def fuzzy_text_best(files: DataFrame, query: str, k: int, text_col: str = "ocr_text") -> DataFrame:
+    """(rel_path, score): the k best, ties by path. The k files of the highest bounds are scored first; their least score rules out others."""
+    query = query.lower()
+    rows = _texts(files, query, text_col).where("t_ is not null")
+    if not query:
+        return rows.select("rel_path", F.lit(-1.0).alias("score")).limit(0)
+    score = lambda df: df.select("rel_path", lcs_ratio(query)("t_").alias("score"))
+    first = score(rows.orderBy(lcs_bound(F.col("t_"), query).desc(), "rel_path").limit(k)).agg(F.count("*"), F.min("score")).first()
+    if first[0] == k:
+        rows = rows.where(lcs_bound(F.col("t_"), query) >= first[1] - 1e-12)
+    return score(rows).orderBy(F.col("score").desc(), "rel_path").limit(k)
 
 
 def predicates_base(files: DataFrame) -> DataFrame:
@@ -97,8 +182,15 @@ def scale(score: Column, lo: Column, hi: Column) -> Column:
 
 
 def minmax_0_100(scored: DataFrame) -> DataFrame:
-    ends = scored.where("score >= 0").agg(F.min("score").alias("lo_"), F.max("score").alias("hi_"))
-    return scored.join(F.broadcast(ends)).withColumn("score", scale(F.col("score"), F.col("lo_"), F.col("hi_"))).drop("lo_", "hi_")
+    """Scores scaled by the least and greatest that isn't negative.
+
+    The scores are computed once: they are written, path and score only, while their ends are observed.
+    """
+    ends = Observation()
+    good = F.when(F.col("score") >= 0, F.col("score"))
+    held = written(scored.observe(ends, F.min(good).alias("lo"), F.max(good).alias("hi")), "scores")
+    lo, hi = (F.lit(ends.get[k]).cast("double") for k in ("lo", "hi"))
+    return held.withColumn("score", scale(F.col("score"), lo, hi))
 
 
 def rank(scored: DataFrame) -> DataFrame:
@@ -106,9 +198,9 @@ def rank(scored: DataFrame) -> DataFrame:
 
 
 def placed(scored: DataFrame) -> DataFrame:
-    """``rank`` with a column ``place`` from 1: ranges of the order are sorted by many tasks, and each adds the rows of the ranges before it."""
+    """``rank`` with a column ``place`` from 1: ranges of the order are sorted by many tasks and written once, and each adds the rows of the ranges before it."""
     parts = scored.repartitionByRange(F.col("score").desc(), F.col("rel_path")).sortWithinPartitions(F.col("score").desc(), "rel_path")
-    numbered = parts.withColumn("at_", F.monotonically_increasing_id()).withColumn("part_", F.shiftright("at_", 33))
+    numbered = written(parts.withColumn("at_", F.monotonically_increasing_id()), "placed").withColumn("part_", F.shiftright("at_", 33))
     sizes = numbered.groupBy("part_").agg(F.count("*").alias("n_"))  # a row a task
     before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
     place = (F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")

@@ -279,6 +279,28 @@ def _(spark, sf_dir):
     return rounded(search.fuzzy_text_scores(files(spark, sf_dir), _FUZZY), 5)
 
 
+_TITLES = (
+    "WITH RECURSIVE q AS (SELECT 'Forest lime Metallic' AS q0), titles AS (SELECT p_partkey AS id, lower(p_name) AS t, lower(q0) AS q FROM part, q), "
+    "r(id, i, row) AS (SELECT id, 0, list_transform(range(length(q)), lambda x: 0) FROM titles UNION ALL SELECT id, i + 1, list_transform(range(1, length(q) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda p: greatest(row[p], CASE WHEN substr(q, p, 1) = substr(t, i + 1, 1) THEN CASE WHEN p > 1 THEN row[p - 1] ELSE 0 END + 1 ELSE 0 END)))) FROM r JOIN titles USING (id) WHERE i < length(t)), "
+    "scored AS (SELECT id, CAST(list_max(row) AS DOUBLE) / least(length(t), length(q)) AS score FROM r JOIN titles USING (id) WHERE i = length(t)) "
+)
+
+
+def titles(spark, sf_dir):
+    """Names of parts as the texts of files."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("rel_path"), F.lit("image").alias("media_type"), F.lit("indexed").alias("status"), F.col("p_name").alias("ocr_text"))
+
+
+@query("k03_fuzzy_titles", f"{_TITLES} SELECT CAST(id AS VARCHAR) AS rel_path, round(score, 5) AS score FROM scored")
+def _(spark, sf_dir):
+    return rounded(search.fuzzy_text_scores(titles(spark, sf_dir), "Forest lime Metallic"), 5)
+
+
+@query("k03_fuzzy_titles_best", f"{_TITLES} SELECT CAST(id AS VARCHAR) AS rel_path, round(score, 5) AS score FROM scored ORDER BY scored.score DESC, CAST(id AS VARCHAR) LIMIT 20")
+def _(spark, sf_dir):
+    return rounded(search.fuzzy_text_best(titles(spark, sf_dir), "Forest lime Metallic", 20), 5)
+
+
 @query("k04_minmax", f"{FILESV}, {_Q7}, {_SCORED}, {_NORMED} SELECT rel_path, round(score, 3) AS score FROM normed")
 def _(spark, sf_dir):
     return rounded(search.minmax_0_100(clip_scored(spark, sf_dir)), 3)
