@@ -32,6 +32,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from .storage import discard, materialize, scratch, shared_dir
 from .textscan import Words, mix, released, slices, small_batches
 from .tokenization import Memo
 
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 96 << 20
 BUCKET_BYTES = 32 << 20
 BUCKET_KEYS = 4096
 #: Distinct pairs that a task holds before it hands them on.
@@ -56,6 +57,29 @@ _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 _open: dict[tuple[str, str], "Aligner"] = {}
 
 
+@dataclass
+class Learned:
+    """Alignments of some chunks: counts of each, and links and groups (as text, a semicolon behind each) of all in a row."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    links: np.ndarray
+    n_bytes: np.ndarray
+    text: np.ndarray
+    plain: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list["Learned"]) -> "Learned":
+        return cls(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(cls)))
+
+    @classmethod
+    def unspelt(cls) -> "Learned":
+        """One chunk that the tokens don't spell."""
+        none = np.zeros(1, np.int64)
+        return cls(none, none, none, np.zeros(0, np.int64), none, np.zeros(0, np.uint8), np.zeros(1, bool))
+
+
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) << 32 | b.astype(np.int64)
 
@@ -77,7 +101,8 @@ class Aligner:
         plain = [not (self.b.is_control(i) or self.b.is_unknown(i)) for i in range(len(pieces))]
         b_bytes = [b"" if not ok else bytes([int(s[3:5], 16)]) if self.b.is_byte(i) else s.replace(_BLANK_MARK, " ").encode() for i, (s, ok) in enumerate(zip(pieces, plain, strict=True))]
         self.tables = [(np.frombuffer(b"".join(t), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in t])])) for t in (a_bytes, b_bytes)]
-        self.names = [[str(i) for i in range(len(t))] for t in (a_bytes, b_bytes)]
+        spelt = [f"{i}{c}".encode() for i in range(max(len(a_bytes), len(b_bytes))) for c in ",|;"]
+        self.spellings = np.frombuffer(b"".join(spelt), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelt])])
         starts = [c for c in " \t\n\x0b\x0c\r" if not any(re.search(rf"[^{c}]{c}", s.replace(_BLANK_MARK, " ")) for s, ok in zip(pieces, plain, strict=True) if ok)]
         self.cut = np.zeros(256, bool)
         self.cut[[ord(c) for c in starts]] = True
@@ -115,8 +140,8 @@ class Aligner:
         ends = np.cumsum(size)
         return table[np.repeat(offsets[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
-    def _learn(self, chunks: list[bytes]) -> list[tuple[int, int, int, np.ndarray, bytes, bool]]:
-        """(n_a, n_b, n_groups, links, groups as text, whether the tokens spell the chunk) of each chunk."""
+    def _learn(self, chunks: list[bytes]) -> "Learned":
+        """Alignments of the chunks, tokenised in a row; halves where the tokens don't spell what was given."""
         joined = b"".join(chunks)
         text = joined.decode("utf-8", "replace")
         a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
@@ -128,37 +153,41 @@ class Aligner:
         cut = np.append(ends_b[:head], 0)[max(head - 1, 0)]
         if spelt_a.tobytes() != joined or cut != 2 or spelt_b[2:].tobytes() != joined or not (np.isin(bounds, ends_a).all() and np.isin(bounds, ends_b - 2).all()):
             if len(chunks) == 1:
-                return [self._learn_alone(chunks[0])]
+                return self._learn_alone(chunks[0])
             half = len(chunks) // 2
-            return self._learn(chunks[:half]) + self._learn(chunks[half:])
-        b, ends_b = b[head:], ends_b[head:] - 2
-        return self._grouped(a, ends_a, b, ends_b, bounds)
+            return Learned.joined([self._learn(chunks[:half]), self._learn(chunks[half:])])
+        return self._grouped(a, ends_a, b[head:], ends_b[head:] - 2, bounds)
 
-    def _learn_alone(self, chunk: bytes) -> tuple:
+    def _learn_alone(self, chunk: bytes) -> "Learned":
         """One chunk by itself: it begins with the blank that B adds, unless it was cut at other white space."""
         text = chunk.decode("utf-8", "replace")
         if not text.startswith(" "):
-            return 0, 0, 0, np.zeros(0, np.int64), b"", False
+            return Learned.unspelt()
         a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
         b = np.array(self.b.encode(text[1:]), np.int64)
         (spelt_a, ends_a), (spelt_b, ends_b) = self._spell(0, a), self._spell(1, b)
         if spelt_a.tobytes() != chunk or spelt_b.tobytes() != chunk:
-            return 0, 0, 0, np.zeros(0, np.int64), b"", False
-        return self._grouped(a, ends_a, b, ends_b, np.array([len(chunk)]))[0]
+            return Learned.unspelt()
+        return self._grouped(a, ends_a, b, ends_b, np.array([len(chunk)]))
 
-    def _grouped(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, bounds: np.ndarray) -> list[tuple]:
+    def _grouped(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, bounds: np.ndarray) -> "Learned":
         common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        links = pair_keys(a[at_a], b[at_b])
-        ids_a, ids_b = [self.names[0][i] for i in a.tolist()], [self.names[1][i] for i in b.tolist()]
-        groups, x, y = [], 0, 0
-        for u, v in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(",".join(ids_a[x:u]) + "|" + ",".join(ids_b[y:v]))
-            x, y = u, v
-        out, last = [], (0, 0, 0)
-        for to in zip(*(np.searchsorted(e, bounds, "right").tolist() for e in (ends_a, ends_b, common)), strict=True):
-            out.append((to[0] - last[0], to[1] - last[1], to[2] - last[2], links[last[2] : to[2]], ";".join(groups[last[2] : to[2]]).encode(), True))
-            last = to
-        return out
+        upto_a, upto_b, upto = (np.searchsorted(e, bounds, "right") for e in (ends_a, ends_b, common))
+        text, n_bytes = np.zeros(0, np.uint8), np.zeros(len(bounds), np.int64)
+        if self.counts:  # groups are written in the second pass only
+            group_a, group_b = np.searchsorted(at_a, np.arange(len(a))), np.searchsorted(at_b, np.arange(len(b)))
+            order_a = np.arange(len(a)) + np.append(0, at_b + 1)[group_a]  # an A token stands behind the B tokens of the groups before its own
+            order_b = np.arange(len(b)) + (at_a + 1)[group_b]
+            last_a, last_b = np.isin(np.arange(len(a)), at_a), np.isin(np.arange(len(b)), at_b)
+            token = np.empty(len(a) + len(b), np.int64)
+            token[order_a], token[order_b] = 3 * a + np.where(last_a, 1, 0), 3 * b + np.where(last_b, 2, 0)
+            table, offsets = self.spellings
+            size = offsets[token + 1] - offsets[token]
+            ends = np.cumsum(size)
+            text = table[np.repeat(offsets[token] - ends + size, size) + np.arange(ends[-1])]
+            close = ends[upto_a + upto_b - 1]  # just behind the semicolon of a chunk's last group
+            n_bytes = np.diff(close, prepend=0)
+        return Learned(np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0), np.diff(upto, prepend=0), pair_keys(a[at_a], b[at_b]), n_bytes, text, np.ones(len(bounds), bool))
 
     def known(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of the chunks, all of them in the memo now, and each chunk's place among them."""
@@ -167,30 +196,26 @@ class Aligner:
         if not len(self.memo.keys):
             self.links, self.text = np.zeros(0, np.int64), np.zeros(0, np.uint8)
         if len(new):
-            chunks, found, size = [words.text(i) for i in first[new]], [], 0
-            while size < len(chunks):
-                to = size + 1
-                room = (1 << 14) - len(chunks[size])
-                while to < len(chunks) and room > 0:
-                    room -= len(chunks[to])
-                    to += 1
-                found += self._learn(chunks[size:to])
-                size = to
-            n_links = np.array([f[2] for f in found], np.int64)
-            n_bytes = np.array([len(f[4]) for f in found], np.int64)
-            links = np.concatenate([f[3] for f in found])
-            best, total = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+            chunks, parts, at = [words.text(i) for i in first[new]], [], 0
+            ends = np.cumsum([len(c) for c in chunks])
+            while at < len(chunks):  # some kilobytes at once, or one longer chunk
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 14), "right")))
+                parts.append(self._learn(chunks[at:to]))
+                at = to
+            found = Learned.joined(parts)
+            best, total = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
             if self.lookup:
-                count, top = self.lookup.get(links)
-                owner = np.repeat(np.arange(len(found)), n_links)
-                best = np.bincount(owner, top, len(found)).astype(np.int64)
+                count, top = self.lookup.get(found.links)
+                owner = np.repeat(np.arange(len(chunks)), found.n_groups)
+                best = np.bincount(owner, top, len(chunks)).astype(np.int64)
                 np.add.at(total, owner, count)
             self.memo.add(
-                hashes[new], n_a=np.array([f[0] for f in found], np.int32), n_b=np.array([f[1] for f in found], np.int32), n_groups=n_links.astype(np.int32), first_link=len(self.links) + np.cumsum(n_links) - n_links,
-                first_byte=len(self.text) + np.cumsum(n_bytes) - n_bytes, n_bytes=n_bytes, plain=np.array([f[5] for f in found]), best=best, total=total,
+                hashes[new], n_a=found.n_a, n_b=found.n_b, n_groups=found.n_groups, first_link=len(self.links) + np.cumsum(found.n_groups) - found.n_groups,
+                first_byte=len(self.text) + np.cumsum(found.n_bytes) - found.n_bytes, n_bytes=found.n_bytes, plain=found.plain, best=best, total=total,
             )
-            self.links = np.concatenate([self.links, links])
-            self.text = np.concatenate([self.text, np.frombuffer(b"".join(f[4] for f in found), np.uint8)])
+            if not self.counts:
+                self.links = np.concatenate([self.links, found.links])
+            self.text = np.concatenate([self.text, found.text])
         return hashes, inverse
 
     def spelt(self, words: Words, hashes: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -472,7 +497,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 size, first = tool.memo.get(hashes, "n_bytes")[inverse], tool.memo.get(hashes, "first_byte")[inverse]
                 texts = []
                 for lo, hi, plain in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), ok.tolist(), strict=True):
-                    texts.append(b";".join(tool.text[f : f + s].tobytes() for f, s in zip(first[lo:hi].tolist(), size[lo:hi].tolist(), strict=True)).decode() if plain else "")
+                    if plain and hi > lo:
+                        ends = np.cumsum(size[lo:hi])
+                        spelt = tool.text[np.repeat(first[lo:hi] - ends + size[lo:hi], size[lo:hi]) + np.arange(ends[-1])]
+                        texts.append(spelt[:-1].tobytes().decode())
+                    else:
+                        texts.append("")
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_a": pa.array(sums["n_a"]), "n_b": pa.array(sums["n_b"]), "n_groups": pa.array(sums["n_groups"]), "n_links": pa.array(sums["n_groups"]), "n_best": pa.array(sums["best"]), "count_sum": pa.array(sums["total"]), "groups": pa.array(texts, pa.string())})
 
     return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
