@@ -40,10 +40,11 @@ END = 0x1000
 PAIRS_KEPT = 1 << 18
 PIECES_KEPT = 1 << 16
 _open: dict[str, "BacktrackingEncoder"] = {}
+_tables: dict[str, "OffsetDecoder"] = {}
 
 
 class BacktrackingEncoder:
-    def __init__(self, path: str, memo_bytes: int = 16 << 20):
+    def __init__(self, path: str, memo_bytes: int = 48 << 20):
         import ahocorasick
         from tokenizers import Tokenizer
 
@@ -236,6 +237,13 @@ def encoder(path: str) -> BacktrackingEncoder:
     return _open[path]
 
 
+def decoder(path: str) -> OffsetDecoder:
+    """The worker's decoder for a file."""
+    if path not in _tables:
+        _tables[path] = OffsetDecoder(path)
+    return _tables[path]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for each row."""
     small_batches(docs.sparkSession)
@@ -258,7 +266,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = OffsetDecoder(path)
+        table = decoder(path)
         for batch in released(batches):
             column = batch.column(ids_col)
             sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
