@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..sources.io import written
+from ..sources.shared import written
 from . import predicates, tags
 from .topk import TopK
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import written
+from ..sources.shared import written
 
 SEGMENT_BITS = 16
 

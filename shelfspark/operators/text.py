@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import fit_length
+from .subwords import Merges
 
 # Fixed value: the published pre-token pattern.
 PRETOKEN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
@@ -68,48 +70,119 @@ def _encode_locally(df: DataFrame, key: str, tokens: str, vocab: pd.DataFrame, s
     return rows.mapInArrow(run, f"key_ {kind}, ids array<bigint>").withColumnRenamed("key_", key)
 
 
-def encode_subwords(df: DataFrame, key: str, tokens: str, merges: list[tuple[str, str]], end: str = "</w>") -> DataFrame:
-    """(key, pieces): byte-pair merges, lowest rank first; each distinct word is merged once and joined back."""
-    ranks = {m: i for i, m in enumerate(merges)}
-    rows = df.select(key, F.posexplode(tokens).alias("pos_", "word"))
-
-    def merge(word: str) -> list[str]:
-        parts = [*word[:-1], word[-1] + end] if word else []
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                joined = i + 1 < len(parts) and (parts[i], parts[i + 1]) == best
-                out.append(parts[i] + parts[i + 1] if joined else parts[i])
-                i += 1 + joined
-            parts = out
-        return parts
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Words whose ids a worker keeps for batches to come.
+_KEPT_WORDS = 200_000
+_word_ids: dict[str, dict[str, np.ndarray]] = {}
+
+
+def encode_subwords(df: DataFrame, key: str, tokens: str, merges: str | list[tuple[str, str]], end: str = "</w>") -> DataFrame:
+    """Byte-pair merges of the tokens of each row, lowest rank first.
+
+    ``merges`` is the path of a ``tokenizers`` file, and the result (key, ids); or a list
+    of pairs over characters, ``end`` marking the last of a word, and the result
+    (key, pieces). The distinct words of a batch are merged together, and only those
+    that the worker hasn't met lately. The merges are read when the plan is built and
+    sent to the tasks; nothing is shuffled. Null tokens count as none.
+    """
+    held, name = Merges.of(merges, end), "ids" if isinstance(merges, str) else "pieces"
+    spread, own_words = df.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if own_words not in _word_ids:
+            _word_ids.clear()  # words of an earlier plan
+        known, table_of = _word_ids.setdefault(own_words, {}), spread.value
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "p_": batch["word"].map(merge)})
+            lists = batch.column("tokens_")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            coded = pc.fill_null(pc.list_flatten(lists), "").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if len(known) > _KEPT_WORDS:
+                known.clear()
+            new = [w for w in words if w not in known]
+            flat, at = table_of.encode(new)
+            known.update((w, flat[lo:hi]) for w, lo, hi in zip(new, at[:-1], at[1:], strict=True))
+            own = [known[w] for w in words]
+            count = np.array([len(x) for x in own], np.int64)
+            table, first = np.concatenate([*own, np.zeros(0, np.int64)]), np.cumsum(count) - count
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(count[code]))
+            ids = table[np.repeat(first[code] - ends[:-1], count[code]) + np.arange(ends[-1])]
+            bounds = ends[np.append(0, np.cumsum(size))]
+            values = pa.array(ids) if name == "ids" else pa.array([table_of.piece(i) for i in ids.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("key_"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], names=["key_", name])
 
-    words = rows.select("word").distinct().mapInPandas(run, "word string, p_ array<string>")
-    joined = rows.join(words, "word")
-    return joined.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos_", "p_"))), lambda x: x["p_"])).alias("pieces"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key_"), F.col(tokens).alias("tokens_"))
+    return rows.mapInArrow(run, f"key_ {kind}, {name} array<{'bigint' if name == 'ids' else 'string'}>").withColumnRenamed("key_", key)
+
+
+# Fixed value: tokens that decoding skips.
+SPECIAL = r"^<\|.*\|>$"
 
 
-def decode_tokens(df: DataFrame, key: str, ids: str, vocab: DataFrame, end_id: int | None = None) -> DataFrame:
-    """(key, text): tokens of known ids, without ``<|...|>`` specials; from ``end_id`` on ids are dropped."""
-    rows = df.select(key, F.posexplode_outer(ids).alias("pos_", "id")).join(vocab.select("id", "token"), "id", "left")
-    keep = F.col("token").isNotNull() & ~F.col("token").rlike(r"^<\|.*\|>$")
+def decode_tokens(df: DataFrame, key: str, ids: str, vocab: DataFrame, end_id: int | None = None, max_vocab: int = 500_000) -> DataFrame:
+    """(key, text): tokens of known ids, without ``<|...|>`` specials; from ``end_id`` on ids are dropped.
+
+    A vocabulary of up to ``max_vocab`` tokens is read when the plan is built and looked
+    up in the tasks, without a shuffle; a larger one is joined with the ids. Null ids
+    count as none.
+    """
+    usable = vocab.select("id", "token").where(F.col("token").isNotNull() & ~F.col("token").rlike(SPECIAL))
     if end_id is not None:
-        keep &= F.col("id") < end_id
-    parts = F.array_sort(F.collect_list(F.when(keep, F.struct("pos_", "token"))))
+        usable = usable.where(F.col("id") < end_id)
+    stated = usable.limit(max_vocab + 1).toPandas()
+    if len(stated) <= max_vocab:
+        return _decode_locally(df, key, ids, stated)
+    rows = df.select(key, F.posexplode_outer(ids).alias("pos_", "id")).join(usable, "id", "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos_", "token"))))
     return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["token"]), " ").alias("text"))
 
 
+def _decode_locally(df: DataFrame, key: str, ids: str, vocab: pd.DataFrame) -> DataFrame:
+    spread = df.sparkSession.sparkContext.broadcast((pa.array(vocab["id"].to_numpy(np.int64)), pa.array(vocab["token"], pa.string())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, tokens = spread.value
+        for batch in batches:
+            lists = batch.column("ids_")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(pc.list_flatten(lists), value_set=known)
+            kept = np.append(0, np.cumsum(at.is_valid().to_numpy(zero_copy_only=False)))
+            bounds = kept[np.append(0, np.cumsum(size))]
+            words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tokens.take(at.drop_null()))
+            yield pa.RecordBatch.from_arrays([batch.column("key_"), pc.binary_join(words, " ")], names=["key_", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key_"), F.col(ids).cast("array<bigint>").alias("ids_"))
+    return rows.mapInArrow(run, f"key_ {kind}, text string").withColumnRenamed("key_", key)
+
+
+def token_counts(df: DataFrame, tokens: str, held: int = 1 << 20) -> DataFrame:
+    """(token, n): how often each token stands in the lists; tasks count theirs first and hand on a row a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(parts).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
+
+        for batch in batches:
+            found = pc.value_counts(pc.list_flatten(batch.column("tokens_")).drop_null())
+            parts.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
+            if sum(p.num_rows for p in parts) > held:
+                parts = [merged()]
+                if parts[0].num_rows > held // 2:
+                    yield from parts.pop().combine_chunks().to_batches()
+        if parts:
+            yield from merged().combine_chunks().to_batches()
+
+    return df.select(F.col(tokens).alias("tokens_")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
 def corpus_vocab(df: DataFrame, tokens: str, size: int) -> DataFrame:
-    """(token, id): the most frequent tokens, ids by frequency."""
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").count().orderBy(F.col("count").desc(), "token").limit(size)
-    own = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "token"))), lambda x: x["token"]).alias("t"))
+    """(token, id): the ``size`` most frequent tokens, ids by frequency and then token."""
+    top = token_counts(df, tokens).orderBy(F.col("n").desc(), "token").limit(size)
+    own = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("c"), "token"))), lambda x: x["token"]).alias("t"))
     return own.select(F.posexplode("t").alias("id", "token"))
 
 

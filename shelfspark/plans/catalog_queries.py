@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
 from ..operators import catalog, tags
-from ..sources import io, schemas
+from ..sources import io, schemas, walk
 from .fixtures import FILES, FILESV, TAGS, TEXTS, file_text, files, files_with_vectors, table, user_tags
 from .registry import query
 
@@ -29,9 +31,66 @@ def web_files(spark, sf_dir):
 # --- sources and sinks
 
 
-@query("s01_scan_corpus")
+#: A tree of files, one for each supplier: folders down to eight levels, dot-files and dot-folders.
+_TREE = (
+    "parts AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 3 THEN 'jpg' ELSE 'txt' END AS ext, list_transform(range(1, CAST(s_suppkey % 9 AS INT) + 1), lambda i: CASE WHEN (s_suppkey + i) % 4 = 0 THEN '.d' ELSE 'd' END || CAST((s_suppkey + i) % 3 AS VARCHAR)) AS dirs, s_name FROM supplier), "
+    "tree AS (SELECT k, ext, len(dirs) AS depth, array_to_string(list_append(dirs, CASE WHEN k % 7 = 0 THEN '.' ELSE '' END || 'f' || CAST(k AS VARCHAR) || '.' || ext), '/') AS rel_path, s_name FROM parts)"
+)
+
+
+def tree(spark, sf_dir):
+    """The tree's files: (k, rel_path, ext, body); images have the sizes 1 + k and 2 + k % 1000 and no pixels, one in eleven is broken."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), "s_name")
+    ext = F.element_at(F.array(*map(F.lit, ("png", "gif", "bmp", "jpg", "txt"))), (F.col("k") % 5 + 1).cast("int"))
+    name = lambda i: F.concat(F.when((F.col("k") + i) % 4 == 0, ".d").otherwise("d"), ((F.col("k") + i) % 3).cast("string"))
+    dirs = F.transform(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda i: i <= F.col("k") % 9), name)
+    file = F.concat(F.when(F.col("k") % 7 == 0, ".").otherwise(""), F.lit("f"), F.col("k").cast("string"), F.lit("."), F.col("ext"))
+    hexed = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    turned = lambda c, n: F.concat(*(F.substring(hexed(c, n), 2 * i + 1, 2) for i in reversed(range(n))))
+    w, h = F.col("k") + 1, F.col("k") % 1000 + 2
+    images = {
+        "png": F.concat(F.lit("89504e470d0a1a0a0000000d49484452"), hexed(w, 4), hexed(h, 4), F.lit("0802000000")), "gif": F.concat(F.lit("474946383961"), turned(w % 65536, 2), turned(h, 2), F.lit("000000")),
+        "bmp": F.concat(F.lit("424d00000000000000003600000028000000"), turned(w, 4), turned(h, 4), F.lit("01001800")), "jpg": F.concat(F.lit("ffd8ffe000104a46494600010100000100010000ffc0001108"), hexed(h, 2), hexed(w % 65536, 2), F.lit("03011100")),
+    }
+    picture = reduce(lambda c, e: c.when(F.col("ext") == e[0], e[1]), images.items(), F.when(F.col("k") % 11 == 0, F.lit("00")))
+    body = F.when(F.col("ext") == "txt", F.encode(F.repeat("s_name", 100), "UTF-8")).otherwise(F.unhex(picture))
+    return s.withColumn("ext", ext).select("k", "ext", F.array_join(F.array_append(dirs, file), "/").alias("rel_path"), body.alias("body"))
+
+
+def written_tree(spark, sf_dir):
+    """Write the tree's files from the tasks; returns their folder."""
+    root = io.shared_folder(spark, "tree")
+
+    def write(batches):
+        store, base = walk.store_of(root)
+        for batch in batches:
+            for rel, body in zip(batch.column("rel_path").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                store.create_dir(f"{base}/{rel}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{rel}") as out:
+                    out.write(body)
+            yield batch.select(["k"])
+
+    tree(spark, sf_dir).mapInArrow(write, "k long").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("s01_scan_corpus", f"WITH {_TREE} SELECT rel_path, true AS has_ctime FROM tree WHERE depth <= 5")
+def _(spark, sf_dir):
+    found = io.scan_corpus(spark, written_tree(spark, sf_dir))
+    return found.select("rel_path", F.col("ctime").isNotNull().alias("has_ctime"))
+
+
+@query("s06_image_dimensions", f"WITH {_TREE} SELECT rel_path, CASE WHEN k % 11 <> 0 THEN CAST(k + 1 AS INT) END AS width, CASE WHEN k % 11 <> 0 THEN CAST(k % 1000 + 2 AS INT) END AS height FROM tree WHERE depth <= 5 AND ext <> 'txt'")
+def _(spark, sf_dir):
+    root = written_tree(spark, sf_dir)
+    return io.image_dimensions(spark, root).select(F.substring("origin", len(root) + 2, 1 << 20).alias("rel_path"), "width", "height")
+
+
+@query("s11_read_text_files", f"WITH {_TREE} SELECT rel_path, substr(repeat(s_name, 100), 1, 1000) AS head FROM tree WHERE depth <= 5 AND ext = 'txt'")
 def _(spark, sf_dir):
-    return io.scan_corpus(spark, sf_dir).select("rel_path", "size_bytes", "mtime", "ctime")
+    root = written_tree(spark, sf_dir)
+    found = io.read_text_files(spark, root).where(F.col("path").endswith(".txt"))
+    return found.select(F.substring("path", len(root) + 2, 1 << 20).alias("rel_path"), F.col("text").alias("head"))
 
 
 @query("s02_count_visible_files", f"{FILES}, h AS (SELECT CASE WHEN file_id % 7 = 0 THEN regexp_replace(rel_path, '([^/]+)$', '.\\1') ELSE rel_path END AS rel_path FROM files) SELECT count(*) AS n FROM h WHERE NOT starts_with({_NAME}, '.')")

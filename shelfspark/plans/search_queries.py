@@ -441,8 +441,13 @@ def _(spark, sf_dir):
 _TOKENS = f"toks AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\s+', ' ', 'g')), '{_SQL_ASCII}', 1) AS tokens FROM documents)"
 
 
+def documents(spark, sf_dir):
+    """Whole texts over all cores, though there be fewer files than these."""
+    return io.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def ascii_tokens(spark, sf_dir):
-    return text.pretokenize(table(spark, sf_dir, "documents"), "text", pattern=_ASCII).select("doc_id", "tokens")
+    return text.pretokenize(documents(spark, sf_dir), "text", pattern=_ASCII).select("doc_id", "tokens")
 
 
 @query("t02_pretokenize", f"WITH {_TOKENS} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n, md5(array_to_string(tokens, ' ')) AS digest FROM toks")
@@ -455,34 +460,38 @@ _UNICODE = text.PRETOKEN.replace("'", "''")
 
 @query("t02_pretokenize_unicode", f"SELECT doc_id, CAST(len(regexp_extract_all(lower(regexp_replace(text, '\\s+', ' ', 'g')), '{_UNICODE}', 1)) AS BIGINT) AS n FROM documents")
 def _(spark, sf_dir):
-    return text.pretokenize(table(spark, sf_dir, "documents"), "text").select("doc_id", F.size("tokens").cast("long").alias("n"))
+    return text.pretokenize(documents(spark, sf_dir), "text").select("doc_id", F.size("tokens").cast("long").alias("n"))
 
 
-_VOCAB = "flat AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM toks), vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM flat GROUP BY token ORDER BY count(*) DESC, token LIMIT 500)"
+#: As many tokens as the vocabularies of the models that such ids are for.
+_SIZE, _START, _END = 49_000, 49_406, 49_407
+_VOCAB = f"flat AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM toks), vocab AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM flat GROUP BY token ORDER BY count(*) DESC, token LIMIT {_SIZE})"
 _IDS = f"{_VOCAB}, known AS (SELECT f.doc_id, v.id, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.pos) AS r FROM flat f JOIN vocab v USING (token))"
 
 
-@query("t03_encode_tokens", f"WITH {_TOKENS}, {_IDS}, cut AS (SELECT d.doc_id, COALESCE(string_agg(id, ',' ORDER BY r) FILTER (WHERE r <= 62), '') AS s, count(id) FILTER (WHERE r <= 62) AS n FROM toks d LEFT JOIN known k USING (doc_id) GROUP BY d.doc_id) SELECT doc_id, '1000' || CASE WHEN n > 0 THEN ',' ELSE '' END || s || ',1001' || repeat(',0', CAST(62 - n AS INT)) AS ids FROM cut")
+@query("t03_encode_tokens", f"WITH {_TOKENS}, {_IDS}, cut AS (SELECT d.doc_id, COALESCE(string_agg(id, ',' ORDER BY r) FILTER (WHERE r <= 62), '') AS s, count(id) FILTER (WHERE r <= 62) AS n FROM toks d LEFT JOIN known k USING (doc_id) GROUP BY d.doc_id) SELECT doc_id, '{_START}' || CASE WHEN n > 0 THEN ',' ELSE '' END || s || ',{_END}' || repeat(',0', CAST(62 - n AS INT)) AS ids FROM cut")
 def _(spark, sf_dir):
-    tokens = ascii_tokens(spark, sf_dir)
-    vocab = text.corpus_vocab(tokens, "tokens", 500)
-    ids = text.encode_tokens(tokens, "doc_id", "tokens", vocab, 1000, 1001, 64)
+    tokens = io.written(ascii_tokens(spark, sf_dir), "tokens")
+    vocab = text.corpus_vocab(tokens, "tokens", _SIZE)
+    ids = text.encode_tokens(tokens, "doc_id", "tokens", vocab, _START, _END, 64)
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query("t04_encode_subwords")
+@query("t04_encode_subwords")  # 49,000 merges in SQL would need them as a table; tests/test_subwords.py has a plain version and the tokenizer
 def _(spark, sf_dir):
-    merges = [("t", "h"), ("th", "e</w>"), ("i", "n"), ("in", "g</w>"), ("e", "r"), ("a", "n"), ("an", "d</w>"), ("o", "n"), ("e", "s"), ("n", "t")]
-    out = text.encode_subwords(ascii_tokens(spark, sf_dir), "doc_id", "tokens", merges)
-    return out.select("doc_id", F.size("pieces").cast("long").alias("n"), F.md5(F.array_join("pieces", " ").cast("binary")).alias("digest"))
+    import public_tokenizers
+
+    tokens = text.pretokenize(documents(spark, sf_dir), "text").select("doc_id", "tokens")
+    out = text.encode_subwords(tokens, "doc_id", "tokens", public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("digest"))
 
 
-@query("t05_decode_tokens", f"WITH {_TOKENS}, {_IDS} SELECT d.doc_id, COALESCE(string_agg(v.token, ' ' ORDER BY k.r), '') AS text FROM toks d LEFT JOIN known k ON k.doc_id = d.doc_id AND k.r <= 62 LEFT JOIN vocab v ON v.id = k.id AND v.id < 400 GROUP BY d.doc_id")
+@query("t05_decode_tokens", f"WITH {_TOKENS}, {_IDS} SELECT d.doc_id, COALESCE(string_agg(v.token, ' ' ORDER BY k.r), '') AS text FROM toks d LEFT JOIN known k ON k.doc_id = d.doc_id AND k.r <= 62 LEFT JOIN vocab v ON v.id = k.id AND v.id < 20000 GROUP BY d.doc_id")
 def _(spark, sf_dir):
-    tokens = ascii_tokens(spark, sf_dir)
-    vocab = text.corpus_vocab(tokens, "tokens", 500)
-    ids = text.encode_tokens(tokens, "doc_id", "tokens", vocab, 1000, 1001, 64, pad=-1)
-    return text.decode_tokens(ids, "doc_id", "ids", vocab, end_id=400)
+    tokens = io.written(ascii_tokens(spark, sf_dir), "tokens")
+    vocab = io.written(text.corpus_vocab(tokens, "tokens", _SIZE), "vocab")
+    ids = text.encode_tokens(tokens, "doc_id", "tokens", vocab, _START, _END, 64, pad=-1)
+    return text.decode_tokens(ids, "doc_id", "ids", vocab, end_id=20_000)
 
 
 @query("t06_join_regions", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")

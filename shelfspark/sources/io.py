@@ -1,45 +1,20 @@
-"""Scans, snapshots and blobs."""
+"""Snapshots of the catalog; and what reads and writes files besides."""
 
 from __future__ import annotations
 
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .schemas import CATALOG
+from .shared import shared_folder, spread, written  # noqa: F401
+from .walk import image_dimensions, read_text_files, scan_corpus  # noqa: F401
 
 POINTER = "CURRENT"
 
 
-def scan_corpus(spark: SparkSession, root: str, max_depth: int = 5) -> DataFrame:
-    """(rel_path, size_bytes, mtime, ctime): files below the root, at most ``max_depth`` folders down; contents aren't read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    rel = F.regexp_extract("path", f"^.*?{_escaped(root)}/(.*)$", 1)
-    out = df.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime"), F.lit(None).cast("long").alias("ctime"))
-    return out.where(F.size(F.split("rel_path", "/")) - 1 <= max_depth)
-
-
-def _escaped(root: str) -> str:
-    path = root.split("://", 1)[-1].rstrip("/")
-    return "".join(f"\\{c}" if c in "\\.[]{}()*+?^$|" else c for c in path[path.find("/") :] if c)
-
-
-def image_dimensions(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, width, height); null sizes for what can't be decoded."""
-    df = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path)
-    size = lambda c: F.when(F.col(f"image.{c}") > 0, F.col(f"image.{c}"))
-    return df.select("image.origin", size("width").alias("width"), size("height").alias("height"))
-
-
-def read_text_files(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """(path, text): the first characters of each file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.substring("value", 1, limit).alias("text"))
-
-
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -92,24 +67,6 @@ def drop_versions(spark: SparkSession, folder: str, older_than_s: float = 7 * 24
     return gone
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset and Spark is one process, below a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later passes see the same rows and values, whatever is lost meanwhile."""
-    path = shared_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def load_catalog(spark: SparkSession, folder: str, schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
     """The published tables; empty ones of the same schema where nothing is published."""
     version, out = current_version(spark, folder), {}
