@@ -191,18 +191,36 @@ def dedupe_keep_first(df: DataFrame, key: str = "rel_path", id_col: str = "file_
     return df.join(first, [key, id_col], "left_semi")
 
 
+#: Columns that name a row of their table, by check.
+_UNIQUE = {"files.rel_path unique": ("files", "rel_path"), "files.file_id unique": ("files", "file_id"), "folders.rel_path unique": ("folders", "rel_path"), "tags.slug unique": ("tags", "slug"), "file_tags unique": ("file_tags", "file_id", "slug", "source")}
+_ROW_RULES = {"files not null": ("files", "rel_path is null or media_type is null"), "folders.depth range": ("folders", "depth < 0 or depth > 5")}
+_REFERENCES = {"folders.parent exists": ("folders", "parent_rel_path", "folders", "rel_path"), "file_tags.file exists": ("file_tags", "file_id", "files", "file_id"), "file_tags.tag exists": ("file_tags", "slug", "tags", "slug")}
+
+
 def validate_catalog(tables: dict[str, DataFrame]) -> DataFrame:
-    """(check, violations) for the declared constraints on files, folders, tags and file_tags."""
-    n = lambda df, name: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
-    repeats = lambda t, *k: tables[t].groupBy(*k).count().where("count > 1")
-    orphans = lambda t, c, to, k: tables[t].where(F.col(c).isNotNull()).join(tables[to].select(F.col(k).alias(c)), c, "left_anti")
-    checks = [
-        n(repeats("files", "rel_path"), "files.rel_path unique"), n(repeats("files", "file_id"), "files.file_id unique"), n(tables["files"].where("rel_path is null or media_type is null"), "files not null"),
-        n(repeats("folders", "rel_path"), "folders.rel_path unique"), n(tables["folders"].where("depth < 0 or depth > 5"), "folders.depth range"), n(orphans("folders", "parent_rel_path", "folders", "rel_path"), "folders.parent exists"),
-        n(repeats("tags", "slug"), "tags.slug unique"), n(repeats("file_tags", "file_id", "slug", "source"), "file_tags unique"),
-        n(orphans("file_tags", "file_id", "files", "file_id"), "file_tags.file exists"), n(orphans("file_tags", "slug", "tags", "slug"), "file_tags.tag exists"),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    """(check, violations) for the declared constraints on files, folders, tags and file_tags.
+
+    Each table is read once. A row gives a tagged key for every check that it takes part
+    in: a unique key, either end of a reference (nulls are no orphans), or a broken rule
+    on the row itself; one grouped pass over the keys of all tables settles all checks.
+    Keys are summed before they are shuffled, so a value in very many rows is no burden.
+    """
+    text = lambda *cols: F.array(*(F.col(c).cast("string") for c in cols))
+    mark = lambda check, key, there=None: F.struct(F.lit(check).alias("check"), key.alias("key"), F.lit(there).cast("boolean").alias("there"))
+
+    def keys(t: str) -> DataFrame:
+        marks = [mark(c, text(*cols)) for c, (of, *cols) in _UNIQUE.items() if of == t]
+        marks += [F.when(F.expr(rule), mark(c, F.lit(None).cast("array<string>"))) for c, (of, rule) in _ROW_RULES.items() if of == t]
+        for c, (child, own, parent, key) in _REFERENCES.items():
+            marks += [F.when(F.col(own).isNotNull(), mark(c, text(own), False))] if child == t else []
+            marks += [mark(c, text(key), True)] if parent == t else []
+        return tables[t].select(F.inline(F.array_compact(F.array(*marks))))
+
+    sums = reduce(DataFrame.unionByName, map(keys, ("files", "folders", "tags", "file_tags"))).groupBy("check", "key").agg(F.count("*").alias("n"), F.max("there").alias("there"))
+    total = lambda c, n: F.coalesce(F.sum(F.when(F.col("check") == c, n)), F.lit(0)).alias(c)
+    broken = [total(c, (F.col("n") > 1).cast("long")) for c in _UNIQUE] + [total(c, F.col("n")) for c in _ROW_RULES] + [total(c, F.when(~F.col("there"), F.col("n"))) for c in _REFERENCES]
+    rows = F.array(*(F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("violations")) for c in (*_UNIQUE, *_ROW_RULES, *_REFERENCES)))
+    return sums.agg(*broken).select(F.inline(rows))
 
 
 EMBEDDINGS = ("clip_emb", "clap_emb", "metadata_emb", "ocr_emb", "transcript_emb", "search_emb")
