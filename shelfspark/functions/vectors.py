@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +76,41 @@ def text_override(text_emb: Column, clip_emb: Column) -> Column:
     return F.coalesce(text_emb, clip_emb)
 
 
-def fuse_embeddings(files: DataFrame, out: str = "search_emb") -> DataFrame:
-    """Fuse image, metadata, OCR and transcript vectors; audio lies in another space."""
-    return files.withColumn(out, fused(*(F.col(c) for c in ("clip_emb", "metadata_emb", "ocr_emb", "transcript_emb"))))
+def _fused_batch(*columns: pa.Array) -> pa.Array:
+    """``fused`` for a batch: sums, counts and maxima over the vectors that are there."""
+    n, values, offsets = len(columns[0]), [], [0]
+    sizes = [pc.fill_null(pc.list_value_length(c), -1).to_numpy(zero_copy_only=False) for c in columns]
+    longest = np.max(sizes, axis=0)
+    uneven = [i for i in range(n) if any(0 <= s[i] != longest[i] for s in sizes)]
+    if uneven:
+        raise ValueError("vectors of different lengths can't be fused")
+    for dim in np.unique(longest[longest > 0]):
+        at = np.flatnonzero(longest == dim)
+        total, top, count = np.zeros((len(at), dim)), np.full((len(at), dim), -np.inf), np.zeros(len(at))
+        for c, s in zip(columns, sizes, strict=True):
+            have = s[at] == dim
+            m = np.asarray(c.take(pa.array(at[have])).flatten(), np.float64).reshape(-1, dim)
+            total[have] += m
+            top[have] = np.maximum(top[have], m)
+            count[have] += 1
+        out = 0.4 * total / count[:, None] + 0.6 * top
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        values.append((at, np.divide(out, norm, out=out, where=norm > 0)))
+    flat = np.zeros(int(np.maximum(longest, 0).sum()))
+    offsets = np.append(0, np.cumsum(np.maximum(longest, 0)))
+    for at, out in values:
+        flat[offsets[at][:, None] + np.arange(out.shape[1])] = out
+    mask = pa.array(np.append(longest < 0, False))
+    return pa.ListArray.from_arrays(pc.if_else(mask, None, pa.array(offsets, pa.int32())), pa.array(flat))
+
+
+def fuse_embeddings(files: DataFrame, out: str = "search_emb", arrow: bool = True) -> DataFrame:
+    """Fuse image, metadata, OCR and transcript vectors; audio lies in another space.
+
+    Batches are fused in Arrow; without ``arrow`` by expressions, which are evaluated element by element.
+    """
+    columns = [F.col(c) for c in ("clip_emb", "metadata_emb", "ocr_emb", "transcript_emb")]
+    return files.withColumn(out, F.arrow_udf(_fused_batch, "array<double>")(*columns) if arrow else fused(*columns))
 
 
 def scale_channels(v: Column, mean: list[float], std: list[float], scale: float = 255.0) -> Column:
@@ -116,51 +150,60 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return F.transform(F.array(buckets), lambda bs: F.transform(F.array(counts(bs)), l2_normalize)[0])[0]
 
 
-def embed_column(df: DataFrame, col: str, embedder: Callable[[Iterator[pd.Series]], Iterator[list]] | None = None, dim: int = 64, out: str = "embedding") -> DataFrame:
+def embed_column(df: DataFrame, col: str, embedder: Callable[[Iterator[pd.Series]], Iterator[list]] | None = None, dim: int = 64, out: str = "embedding", errors: str | None = None) -> DataFrame:
     """Text column to vector; null stays null.
 
-    A plug-in takes an iterator of batches and yields a vector for each row, in order. It is set up
-    once for a task's batches; only where it fails on a batch is it set up anew, and that batch is
-    given to it row by row, so that the failing row gives null. A vector of another length gives null.
+    A plug-in takes an iterator of batches and yields a vector for each row, in order. It
+    is set up once for a task's batches. Where it fails it is set up anew and given half
+    of the batch at a time, down to the rows that fail; these have a null vector, and
+    their error in the column ``errors`` if one is named. Null texts, and vectors of
+    another length, give null without an error.
     """
     if embedder is None:
-        return df.withColumn(out, F.when(F.col(col).isNotNull(), hash_embedding(F.col(col), dim)))
+        found = df.withColumn(out, F.when(F.col(col).isNotNull(), hash_embedding(F.col(col), dim)))
+        return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
 
-    def given(waiting: list[pd.Series]) -> Iterator[pd.Series]:
-        while waiting:
-            yield waiting.pop()
+    @F.pandas_udf("struct<vector:array<float>,error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.Series] = []
+        answers: Iterator | None = None
+
+        def given() -> Iterator[pd.Series]:
+            while waiting:
+                yield waiting.pop()
+
+        def solved(rows: pd.Series) -> list[tuple]:
+            nonlocal answers
+            try:
+                waiting[:] = [rows]
+                answers = iter(embedder(given())) if answers is None else answers
+                return [(checked(next(answers)), None) for _ in rows]
+            except Exception as e:  # noqa: BLE001  a bad row must not end the job
+                answers = None
+                if len(rows) == 1:
+                    return [(None, f"{type(e).__name__}: {e}")]
+                half = len(rows) // 2
+                return solved(rows.iloc[:half]) + solved(rows.iloc[half:])
+
+        def checked(v) -> np.ndarray | None:
+            v = np.asarray(v, dtype=np.float32).ravel()
+            return v if len(v) == dim else None
 
-    def checked(v) -> np.ndarray | None:
-        v = np.asarray(v, dtype=np.float32).ravel()
-        return v if len(v) == dim else None
+        for batch in batches:
+            found: list[tuple] = [(None, None)] * len(batch)
+            have = np.flatnonzero(batch.notna())
+            for i, row in zip(have, solved(batch.iloc[have]) if len(have) else [], strict=True):
+                found[i] = row
+            yield pd.DataFrame({"vector": pd.Series([v for v, _ in found], dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
 
-    def alone(value) -> np.ndarray | None:
-        try:
-            return checked(next(iter(embedder(iter([pd.Series([value])])))))
-        except Exception:  # noqa: BLE001  a bad row must not end the job
-            return None
+    both = df.withColumn("found_", run(F.col(col)))
+    names = {out: F.col("found_.vector")} | ({errors: F.col("found_.error")} if errors else {})
+    return both.withColumns(names).drop("found_")
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        waiting: list[pd.Series] = []
 
-        answers = None
-        for batch in batches:
-            have = batch.dropna()
-            rows: list[np.ndarray | None] = [None] * len(batch)
-            if len(have):
-                waiting[:] = [have]
-                try:
-                    if answers is None:
-                        answers = iter(embedder(given(waiting)))
-                    got = [checked(next(answers)) for _ in have]
-                except Exception:  # noqa: BLE001
-                    answers, got = None, [alone(v) for v in have]
-                for i, v in zip(np.flatnonzero(batch.notna()), got, strict=True):
-                    rows[i] = v
-            yield pd.Series(rows, dtype=object)
-
-    return df.withColumn(out, run(F.col(col)))
+def status_of(fatal: list[str]) -> Column:
+    """Status of a file from its error columns: embedding its image, sound, text or metadata may fail without harm; of the others, named here, any error counts."""
+    return F.when(F.coalesce(*(F.col(c) for c in fatal)).isNotNull(), "embed_failed").otherwise("indexed")
 
 
 def decode_vectors(col: Column, dim: int) -> Column:

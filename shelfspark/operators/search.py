@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +27,14 @@ def _cosines(qvec: list[float]):
     q = np.asarray(qvec, np.float64)
     norm = float(np.sqrt(q @ q))
 
-    @F.pandas_udf("double")
-    def run(col: pd.Series) -> pd.Series:
-        out = pd.Series(np.full(len(col), np.nan), index=col.index)
-        have = col.dropna()
-        if not len(have):
-            return out
-        m = np.stack(have.to_numpy()).astype(np.float64)
+    def run(col: pa.Array) -> pa.Array:
+        m = np.asarray(col.flatten(), np.float64).reshape(-1, len(q))  # without the nulls
         own = np.sqrt((m * m).sum(axis=1)) * norm
-        out[have.index] = np.divide(m @ q, own, out=np.zeros(len(m)), where=own > 0)
-        return out
+        found = np.divide(m @ q, own, out=np.zeros(len(m)), where=own > 0)
+        at = np.cumsum(col.is_valid().to_numpy(zero_copy_only=False)) - 1
+        return pa.array(found).take(pc.if_else(col.is_valid(), pa.array(at), None))
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
 def semantic_scores(files: DataFrame, qvec: list[float], space: str = "default", arrow: bool = True) -> DataFrame:

@@ -227,6 +227,34 @@ def _(spark, sf_dir):
     return e.select("doc_id", F.posexplode("embedding").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("long").alias("n"))
 
 
+def fails_on_thirteens(batches):
+    """A plug-in: the digits of a number; fails on multiples of 13."""
+    for numbers in batches:
+        for n in numbers:
+            if int(n) % 13 == 0:
+                raise ValueError(f"{n} is unlucky")
+            yield [float(n), float(len(n))]
+
+
+@query(
+    "v11_embed_errors",
+    "SELECT doc_id, CASE WHEN doc_id % 13 <> 0 AND doc_id % 5 <> 0 THEN CAST(length(CAST(doc_id AS VARCHAR)) AS BIGINT) END AS digits, CASE WHEN doc_id % 13 = 0 AND doc_id % 5 <> 0 THEN 'ValueError: ' || CAST(doc_id AS VARCHAR) || ' is unlucky' END AS metadata_error, "
+    "CASE WHEN (doc_id + 1) % 13 = 0 THEN 'embed_failed' ELSE 'indexed' END AS status FROM documents",
+)
+def _(spark, sf_dir):
+    """Errors of two columns: that of the metadata is told, that of the OCR text makes the status too."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).alias("metadata"), (F.col("doc_id") + 1).cast("string").alias("ocr"))
+    e = vectors.embed_column(d, "metadata", fails_on_thirteens, 2, "metadata_emb", "metadata_error")
+    e = vectors.embed_column(e, "ocr", fails_on_thirteens, 2, "ocr_emb", "ocr_error")
+    return e.select("doc_id", F.element_at("metadata_emb", 2).cast("long").alias("digits"), "metadata_error", vectors.status_of(["ocr_error"]).alias("status"))
+
+
+@query("v06_fuse_embeddings_native", f"{FILESV}, {_FUSED} SELECT file_id, pos, round(x, 4) AS x FROM fused")
+def _(spark, sf_dir):
+    f = vectors.fuse_embeddings(files_with_vectors(spark, sf_dir, *_VS), arrow=False)
+    return f.select("file_id", F.posexplode("search_emb").alias("pos", "x")).select("file_id", F.col("pos").cast("long").alias("pos"), F.round("x", 4).alias("x"))
+
+
 @query("a09_compare_vectors", "SELECT a.vec_id, round(CAST(list_max(list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))) AS DOUBLE), 5) AS max_error, round(sqrt(list_avg(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - b.embedding[i], 2)))), 5) AS rmse FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
