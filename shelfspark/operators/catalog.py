@@ -125,20 +125,26 @@ def tag_usage_counts(tags: DataFrame, file_tags: DataFrame) -> DataFrame:
     return tags.join(used, "slug", "left").fillna(0, ["usage_count"])
 
 
-def build_metadata_text(files: DataFrame, custom_tags: DataFrame | None = None) -> DataFrame:
-    """What is embedded for a file: its stem, audio metadata, and the custom dictionary."""
+def build_metadata_text(files: DataFrame, custom_tags: DataFrame | None = None, max_tags: int = 10_000) -> DataFrame:
+    """What is embedded for a file: its stem, audio metadata, and the custom dictionary.
+
+    The dictionary stands in the text of every file; it is read when the plan is built,
+    and one of more than ``max_tags`` entries is refused.
+    """
     audio = F.col("media_type") == "audio"
     has = set(files.columns)
     field = lambda n: F.when(audio & (F.coalesce(F.col(n).cast("string"), F.lit("")) != ""), F.concat(F.lit(f"{n}: "), F.col(n).cast("string")))
     parts = [F.concat(F.lit("file: "), "stem"), *(field(n) for n in ("artist", "album", "genre", "year", "track", "comment") if n in has)]
     parts.append(F.when(audio & F.col("duration_ms").isNotNull(), F.format_string("duration: %.1fs", F.col("duration_ms") / 1000.0)))
-    out = files
     if custom_tags is not None:
         one = F.concat(F.lit("@"), "slug", F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), "description")).otherwise(F.lit("")))
-        words = custom_tags.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slug", one.alias("t")))), lambda x: x["t"]), ", ").alias("dict_"))
-        out = files.join(F.broadcast(words))  # one row
-        parts.append(F.when(F.col("dict_") != "", F.concat(F.lit("tags: {"), "dict_", F.lit("}"))))
-    return out.withColumn("metadata_text", F.concat_ws(", ", *parts)).drop("dict_")
+        held = custom_tags.select("slug", one.alias("t")).limit(max_tags + 1).collect()
+        if len(held) > max_tags:
+            raise ValueError(f"more than {max_tags} custom tags")
+        words = ", ".join(r.t for r in sorted(held, key=lambda r: ((r.slug or "").encode(), (r.t or "").encode())) if r.t is not None)
+        if words:
+            parts.append(F.lit(f"tags: {{{words}}}"))
+    return files.withColumn("metadata_text", F.concat_ws(", ", *parts))
 
 
 def plan_stages(files: DataFrame, tier: str = "lite", clip: bool = True, clap: bool = True, metadata: bool = True, ocr: bool = True, whisper: bool = True) -> DataFrame:

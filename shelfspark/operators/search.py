@@ -265,7 +265,10 @@ def score_badge(scored: DataFrame, space: str) -> DataFrame:
 
 
 def suggest(names: DataFrame, prefixes: DataFrame, k: int = 8) -> DataFrame:
-    """(prefix, rank, tag): first k tags (tag, category) that begin with each prefix, by category and name."""
+    """(prefix, rank, tag): first k tags (tag, category) that begin with each prefix, by category and name.
+
+    The lengths of the prefixes are read when the plan is built; more than ``MAX_SIZES`` are refused.
+    """
     size = F.char_length(F.lower("prefix"))
     sizes = [r[0] for r in prefixes.where("prefix is not null").select(size).distinct().limit(MAX_SIZES + 1).collect()]
     if len(sizes) > MAX_SIZES:

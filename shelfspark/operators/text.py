@@ -25,15 +25,19 @@ def normalize_text(c: Column, lower: bool = True) -> Column:
 
 
 def pretokenize(df: DataFrame, col: str, out: str = "tokens", pattern: str = PRETOKEN) -> DataFrame:
-    """Contractions, runs of letters, single digits, runs of anything else."""
-    return df.withColumn(out, F.regexp_extract_all(normalize_text(F.col(col)), F.lit(pattern), 1))
+    """Contractions, runs of letters, single digits, runs of anything else, in lower case.
+
+    No token holds white space, so it need not be collapsed first.
+    """
+    return df.withColumn(out, F.regexp_extract_all(F.lower(col), F.lit(pattern), 1))
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, start_id: int, end_id: int, length: int, pad: int = 0, max_vocab: int = 500_000) -> DataFrame:
     """(key, ids): ids of known tokens between start and end, cut so that the end stays, padded to ``length``.
 
-    A vocabulary of up to ``max_vocab`` tokens is looked up in the tasks, without a
-    shuffle; a larger one is joined with the tokens. Null tokens count as none.
+    A vocabulary of up to ``max_vocab`` tokens is read when the plan is built and looked
+    up in the tasks, without a shuffle; a larger one is joined with the tokens. Null
+    tokens count as none.
     """
     stated = vocab.select("token", "id").limit(max_vocab + 1).toPandas()
     if len(stated) <= max_vocab:
