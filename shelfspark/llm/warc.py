@@ -4,8 +4,10 @@
 archive files, pushes record-type and header predicates into the reader, parses
 headers first and inflates a payload only if a requested column needs it. Archives
 of other writers are read too: gzip members without skip lengths (inflated, but not
-kept, where nothing of them is wanted), archives that aren't compressed, and records
-of all types; ``payload`` is the block, without HTTP headers if it has them.
+kept, where nothing of them is wanted), members that hold several records, archives
+that aren't compressed, and records of all types; header names are taken without regard
+to case, and values that go on over several lines are joined by a blank. ``payload`` is
+the block, without HTTP headers if it has them.
 ``df.write.format("warc").save(folder)`` writes one archive per task, each record
 a gzip member whose ``sl`` extra field tells its length (WARC annex D), so a
 reader can pass over it without inflating it.
@@ -70,8 +72,13 @@ def parse_head(data: bytes) -> tuple[dict[str, str], int] | None:
     end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")[1:]
-    return {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
+    lines: list[str] = []
+    for x in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        if x[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + x.strip()
+        else:
+            lines.append(x)
+    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, end + 4
 
 
 def clean(value: str | None) -> str:
@@ -192,18 +199,27 @@ class Record:
             self.left -= len(data)
         return b"".join(parts)
 
-    def close(self) -> None:
+    def close(self, head: int = 0) -> "Record | None":
+        """Pass over what is left of the record, whose headers took ``head`` bytes; returns what holds the next record, if it is the same member."""
         self.stream.skip(self.left)
+        return None
 
 
 class Member(Record):
-    """A record that is a gzip member; with a skip length, what is not wanted is passed over."""
+    """A gzip member and the record in it that is being read.
 
-    def __init__(self, stream: Stream, size: int | None):
+    With a skip length, what is not wanted is passed over, unless the member's own length
+    tells that it holds more than this record.
+    """
+
+    def __init__(self, stream: Stream, size: int | None, length: int | None = None):
         super().__init__(stream)
-        self.size, self.z, self.waiting = size, zlib.decompressobj(31), b""
+        self.size, self.length, self.z, self.waiting, self.after = size, length, zlib.decompressobj(31), b"", b""
 
     def more(self, limit: int) -> bytes:
+        if self.after:
+            out, self.after = self.after[:limit], self.after[limit:]
+            return out
         while not self.z.eof:
             data = self.waiting
             if not data:
@@ -219,15 +235,25 @@ class Member(Record):
         return b""
 
     def block(self, begun: bytes, size: int) -> None:
-        self.held, self.left = begun[:size], size - len(begun[:size])
+        self.whole, self.held, self.left = size, begun[:size], size - len(begun[:size])
+        self.after = begun[size:] + self.after
 
-    def close(self) -> None:
+    def close(self, head: int = 0) -> "Record | None":
+        if self.size is not None and self.length in (None, head + self.whole + 4):
+            self.stream.skip(self.size)
+            return None
+        while self.left and (data := self.more(min(self.left, 1 << 16))):
+            self.left -= len(data)
+        while data := self.more(1 << 16):  # another record, or the end of the member
+            data = data.lstrip(b"\r\n")
+            if data:
+                self.after = data + self.after
+                return self
         if self.size is not None:
             self.stream.skip(self.size)
         else:
-            while self.more(1 << 16):
-                pass
             self.stream.unread(self.z.unused_data)
+        return None
 
 
 def next_record(stream: Stream) -> Record | None:
@@ -238,8 +264,9 @@ def next_record(stream: Stream) -> Record | None:
         if not head:
             return None
         if head[:2] == b"\x1f\x8b":
-            return Member(stream, struct.unpack_from("<I", head, 16)[0] if head[3] & 4 and head[12:14] == b"sl" else None)
-        if head.startswith(b"WARC/"):
+            sl = len(head) == 24 and head[3] & 4 and head[12:14] == b"sl"
+            return Member(stream, *(struct.unpack_from("<II", head, 16) if sl else (None,)))
+        if head[:5].upper() == b"WARC/":
             return Record(stream)
         if head[:1] not in b"\r\n":
             raise ValueError("neither a WARC record nor a gzip member")
@@ -284,13 +311,13 @@ class WarcReader(DataSourceReader):
         return [*parts, ArchivePartition(held)] if held else parts or [ArchivePartition([])]
 
     def values(self, fields: dict[str, str]) -> dict[str, str | None]:
-        out = {c: fields.get(h) for c, h in HEADER_OF.items()}
+        out = {c: fields.get(h.lower()) for c, h in HEADER_OF.items()}
         return out | {c: out[c].strip("<>").removeprefix(URN) if out[c] else None for c in ("record_id", "refers_to")}
 
     def records(self, source) -> Iterator[dict]:
         need = bool({"payload", "payload_digest", "payload_bytes"} & set(self.columns))
-        stream = Stream(source)
-        while (body := next_record(stream)) is not None:
+        stream, body = Stream(source), None
+        while (body := body or next_record(stream)) is not None:
             data = b""
             while (parsed := parse_head(data)) is None:
                 more = body.more(_HEAD)
@@ -298,20 +325,21 @@ class WarcReader(DataSourceReader):
                     raise ValueError("a WARC record ends within its headers")
                 data += more
             fields, at = parsed
-            body.block(data[at:], int(fields.get("Content-Length", 0)))
-            row = self.values(fields)
+            named = {k.lower(): v for k, v in fields.items()}
+            body.block(data[at:], int(named.get("content-length", 0)))
+            row = self.values(named)
             if any(row[c] not in v for c, v in self.wanted.items()):
-                body.close()
+                body = body.close(at)
                 continue
             if need and row["record_type"] != "revisit":
                 payload = body.rest()
-                if fields.get("Content-Type", "").startswith("application/http"):
+                if named.get("content-type", "").lower().startswith("application/http"):
                     payload = payload.partition(b"\r\n\r\n")[2]
                 row |= {"payload": payload, "payload_digest": b32(hashlib.sha1(payload).digest()), "payload_bytes": len(payload)}
             else:  # a revisit tells digest and length of the payload that it leaves out
-                size = fields.get("X-Payload-Length")
-                row |= {"payload": None, "payload_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, "payload_bytes": int(size) if size else None}
-            body.close()
+                size = named.get("x-payload-length")
+                row |= {"payload": None, "payload_digest": named.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": int(size) if size else None}
+            body = body.close(at)
             yield row | {"headers": fields}
 
     def read(self, partition: ArchivePartition) -> Iterator[tuple]:

@@ -226,6 +226,29 @@ def test_archives_of_other_writers(spark, tmp_path, packed):
     assert [r.record_id for r in warc.read_archives(spark, f"file://{tmp_path}", "record_id string, record_type string").where("record_type = 'resource'").collect()] == ["urn:e"]
 
 
+@pytest.mark.parametrize("how", ["plain", "one member", "members of three", "members with a skip length", "one member with a skip length"])
+def test_archives_of_odd_writers(spark, tmp_path, how):
+    """Header names in any case, folded values, several records in a member."""
+    import gzip
+
+    records = []
+    for i, (kind, rid, mime, block) in enumerate(FOREIGN * 3):
+        names = ["warc-type", "WARC-RECORD-ID", "content-type", "cOnTeNt-LeNgTh"] if i % 2 else ["WARC-Type", "WARC-Record-ID", "Content-Type", "Content-Length"]
+        head = f"WARC/1.0\r\n{names[0]}: {kind}\r\n" + (f"{names[1]}:\r\n <{rid}>\r\n" if rid else "") + f"{names[2]}: {mime.replace('; ', ';{}'.format(chr(13) + chr(10) + chr(9)))}\r\n{names[3]}: {len(block)}\r\n\r\n"
+        records.append(head.encode() + block + b"\r\n\r\n")
+    packs = [b"".join(records[i : i + 3]) for i in range(0, len(records), 3)]
+    out = {
+        "plain": b"".join(records), "one member": gzip.compress(b"".join(records)), "members of three": b"".join(map(gzip.compress, packs)),
+        "members with a skip length": b"".join(warc.member(p, 1) for p in packs), "one member with a skip length": warc.member(b"".join(records), 1),
+    }[how]
+    (tmp_path / "x.warc.gz").write_bytes(out)
+    want = [(k, r, None if k == "revisit" else b.partition(b"\r\n\r\n")[2] if m.startswith("application/http") else b) for k, r, m, b in FOREIGN * 3]
+    got = warc.read_archives(spark, f"file://{tmp_path}", "record_type string, record_id string, payload binary").collect()
+    assert [(r.record_type, r.record_id, None if r.payload is None else bytes(r.payload)) for r in got] == want
+    few = warc.read_archives(spark, f"file://{tmp_path}", "record_id string, record_type string").where("record_type in ('resource', 'metadata')").collect()
+    assert [r.record_id for r in few] == ["urn:c", "urn:e"] * 3
+
+
 def test_headers_are_read_without_inflating_payloads():
     import io
 
