@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scratch
 from .textscan import released, slices, small_batches
 
 N_GRAM = 3
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 20_000
 _SLICE = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32  # ASCII other than letters reads as one blank
@@ -74,10 +74,10 @@ def codewords(n: int) -> np.ndarray:
         return np.array(bits).T
     rng, best, far = np.random.default_rng(7), None, -1
     width = int(np.ceil(15 * np.log2(n)))
-    for _ in range(50):
+    for _ in range(50 if n <= 2000 else 1):  # of very many languages the first code must do
         code = rng.choice([-1, 1], size=(n, width))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = (code @ code.T - np.eye(n) * 10**6).max()
+        apart = (code @ code.T - np.eye(n) * 10**6).max() if n <= 2000 else 0
         if best is None or -apart > far:
             best, far = code, -apart
     return best
@@ -109,31 +109,86 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
-    """Fit on all rows of (lang, text); the table of counts, max_languages x BUCKETS at most, reaches the driver.
+def fit(docs: DataFrame, max_languages: int | None = None) -> LanguageModel:
+    """Fit on all rows of (lang, text), every language among them.
 
-    If the column holds more values, those with the most n-grams are learned, of equal ones the least.
+    Sums over languages and over buckets are made by Spark; what reaches the driver is the
+    model: a row of bits a bucket, and a row of bits a language. More than
+    ``MAX_LANGUAGES`` are refused. Only if ``max_languages`` is given, a choice is made:
+    those with the most n-grams, of equal ones the least.
     """
-    counts = materialize(count_ngrams(docs), "language-counts")
-    largest = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(max_languages)
-    counts = counts.join(F.broadcast(largest.select("lang")), "lang", "left_semi").toPandas()
-    languages = sorted(counts["lang"].unique())
-    p = np.full((len(languages), BUCKETS), 0.5)
-    for k, lang in enumerate(languages):
-        own = counts[counts["lang"] == lang]
-        p[k, own["bucket"]] += own["n"]
-    p /= p.sum(axis=1, keepdims=True)
-    codes = codewords(len(languages)) if languages else np.zeros((0, 0))
-    weights = np.zeros((BUCKETS, codes.shape[1] if languages else 0), np.float32)
-    for b in range(weights.shape[1]):
-        one, other = p[codes[:, b] > 0], p[codes[:, b] < 0]
-        if len(other):
-            weights[:, b] = np.log(one.mean(axis=0)) - np.log(other.mean(axis=0))
+    with scratch(docs.sparkSession):
+        counts = materialize(count_ngrams(docs), "language-counts")
+        sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+        if max_languages is not None:
+            sizes = sizes.orderBy(F.col("n").desc(), "lang").limit(max_languages)
+            counts = counts.join(F.broadcast(sizes.select("lang")), "lang", "left_semi")
+        found = sizes.limit(MAX_LANGUAGES + 1).collect()
+        if len(found) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        totals = {r["lang"]: r["n"] + 0.5 * BUCKETS for r in sorted(found, key=lambda r: r["lang"])}
+        if not totals:
+            return LanguageModel([], np.zeros((0, 0)), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
+        languages, total = list(totals), np.array(list(totals.values()))
+        codes = codewords(len(languages))
+        ones, width = codes > 0, codes.shape[1]
+        number = {lang: k for k, lang in enumerate(languages)}
+        spread = docs.sparkSession.sparkContext.broadcast((number, total, ones))
+
+        def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, total, ones = spread.value
+            for batch in batches:
+                k, bucket, n = _columns(batch, number)
+                share = n / total[k]
+                yield _summed("bucket", bucket, np.concatenate([share[:, None] * ones[k], share[:, None]], axis=1))
+
+        dense = _gathered(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket, "bucket int, sums binary"), BUCKETS, width + 1)
+        # each side's share of a bucket: the mean over its languages, each count raised by a half
+        start = 0.5 / total
+        one = dense[:, :width] + (start[:, None] * ones).sum(axis=0)
+        other = dense[:, width:] - dense[:, :width] + (start[:, None] * ~ones).sum(axis=0)
+        n_ones = ones.sum(axis=0)
+        split = n_ones < len(languages)
+        weights = np.zeros((BUCKETS, width), np.float32)
+        weights[:, split] = np.log(one[:, split] / n_ones[split]) - np.log(other[:, split] / (len(languages) - n_ones[split]))
+        shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+        def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, weights = spread.value[0], shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1 << 14):
+                    k, bucket, n = _columns(batch.slice(at, 1 << 14), number)
+                    w = weights[bucket].astype(np.float64)
+                    yield _summed("lang", k, np.concatenate([n[:, None] * w, n[:, None] * w**2], axis=1))
+
+        sums = _gathered(counts.repartition("lang").sortWithinPartitions("lang").mapInArrow(by_language, "lang int, sums binary"), len(languages), 2 * width)
+    w = weights.astype(np.float64)
+    mean, square = ((sums[:, i * width : (i + 1) * width] + 0.5 * (w ** (i + 1)).sum(axis=0)) / total[:, None] for i in (0, 1))
     # how many standard deviations of a text of 50 n-grams each bit keeps each language from the border
-    mean = p @ weights if languages else np.zeros((0, 0))
-    spread = np.sqrt(np.maximum(p @ weights**2 - mean**2, 1e-9)) if languages else mean
-    trust = np.clip(codes * mean / spread * np.sqrt(50), 0.05, 3.0)
-    return LanguageModel(languages, codes, weights, trust / trust.sum(axis=1, keepdims=True) if languages else trust)
+    trust = np.clip(codes * mean / np.sqrt(np.maximum(square - mean**2, 1e-9)) * np.sqrt(50), 0.05, 3.0)
+    return LanguageModel(languages, codes, weights, trust / trust.sum(axis=1, keepdims=True))
+
+
+def _columns(batch: pa.RecordBatch, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language number, bucket and count of each row."""
+    lang = batch.column("lang").dictionary_encode()
+    names = np.array([number[x] for x in lang.dictionary.to_pylist()], np.int64)
+    return names[lang.indices.to_numpy()], batch.column("bucket").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+
+
+def _summed(name: str, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One row of sums for each run of equal keys."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(rows, starts, axis=0) if len(keys) else rows
+    return pa.record_batch({name: pa.array(keys[starts], pa.int32()), "sums": pa.array([x.tobytes() for x in sums], pa.binary())})
+
+
+def _gathered(df: DataFrame, n: int, width: int) -> np.ndarray:
+    """Rows of sums by key, on the driver; their number is bounded by the model."""
+    out = np.zeros((n, width))
+    for key, sums in df.toLocalIterator(prefetchPartitions=True):
+        out[key] += np.frombuffer(sums, np.float64)
+    return out
 
 
 def predict(docs: DataFrame, model: LanguageModel, min_lead: float = 0.05, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:

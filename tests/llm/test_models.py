@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,55 @@ def test_languages_beside_clashing_columns_and_beyond_the_limit(spark):
     assert all(r.p == r.lang and r.score == "s" for r in got if r.lang != "junk")
     many = spark.createDataFrame([(f"l{i}", f"w{i} " * 5) for i in range(80)], "lang string, text string").coalesce(1)
     assert language_id.count_ngrams(many).select("lang").distinct().count() == 80
+
+
+def plain_model(rows):
+    """Weights and trust of each bit from whole tables of shares."""
+    languages = sorted({lang for lang, _ in rows})
+    share = np.full((len(languages), language_id.BUCKETS), 0.5)
+    for lang, text in rows:
+        raw = bytes(ord(c.lower()) if c.isascii() and c.isalpha() else 32 if c.isascii() else 0 for c in text) if text.isascii() else None
+        raw = np.frombuffer(raw or bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in text.encode()), np.uint8)
+        for i in range(len(raw) - 2):
+            h = (int(raw[i]) << 16 | int(raw[i + 1]) << 8 | int(raw[i + 2])) * 0x9E3779B1 & 0xFFFFFFFF
+            share[languages.index(lang), h >> 17] += 1
+    share /= share.sum(axis=1, keepdims=True)
+    codes = language_id.codewords(len(languages))
+    weights = np.stack([np.log(share[c > 0].mean(axis=0)) - np.log(share[c < 0].mean(axis=0)) for c in codes.T], axis=1)
+    mean = share @ weights
+    trust = np.clip(codes * mean / np.sqrt(np.maximum(share @ weights**2 - mean**2, 1e-9)) * 50**0.5, 0.05, 3)
+    return languages, weights, trust / trust.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [2, 5, 9])
+def test_language_model_equals_plain_counting(spark, n):
+    rng = random.Random(n)
+    rows = [(f"l{k}", " ".join("".join(rng.choice("abcdeé ü"[k % 4 :] + "xyzXY"[: 1 + k % 5]) for _ in range(rng.randrange(1, 9))) for _ in range(40))) for k in range(n) for _ in range(6)]
+    languages, weights, trust = plain_model(rows)
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string").repartition(3))
+    assert model.languages == languages
+    assert np.allclose(model.weights, weights, atol=1e-4) and np.allclose(model.trust, trust, atol=1e-5)
+
+
+def test_no_language_is_left_out(spark):
+    """More languages than an early version learned; each has letters of its own."""
+    rows = [(f"l{k:03d}", " ".join(chr(0x4E00 + 20 * k + (i * 7 + j) % 20) * 2 for j in range(30))) for k in range(260) for i in range(3)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    model = language_id.fit(docs)
+    assert len(model.languages) == 260
+    got = language_id.predict(docs, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+    with pytest.raises(ValueError, match="more than"):
+        language_id.MAX_LANGUAGES, before = 100, language_id.MAX_LANGUAGES
+        try:
+            language_id.fit(docs)
+        finally:
+            language_id.MAX_LANGUAGES = before
+
+
+def test_language_of_long_texts_and_ties(spark):
+    train = spark.createDataFrame([("a", "same words here"), ("b", "same words here"), ("c", "other " * 50)], "lang string, text string")
+    docs = spark.createDataFrame([(1, "same words here"), (2, "other " * 400_000), (3, None), (4, "12 34")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.fit(train)).collect()}
+    assert got[1].lang_pred == "a" and got[1].ambiguous and got[2].lang_pred == "c" and not got[2].ambiguous
+    assert (got[3].lang_pred, got[3].score, got[4].lang_pred) == ("und", 0.0, "und")
