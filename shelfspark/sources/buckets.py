@@ -126,13 +126,15 @@ def read_keys(spark: SparkSession, folder: str, table: str, schema: StructType,
     return rows.join(keys.select(held["key"]), held["key"], "left_semi")
 
 
-def commit(spark: SparkSession, folder: str, changes: list[Change], batch: tuple[str, int] | None = None, buckets: int = 64) -> int:
+def commit(spark: SparkSession, folder: str, changes: list[Change], batch: tuple[str, int] | None = None, buckets: int = 64, at: dict | None = None) -> int:
     """Apply the changes as one version and return its number.
 
     ``batch`` (source, number) makes reruns harmless: numbers up to the source's last
-    one are taken as done. ``buckets`` holds for tables that are new.
+    one are taken as done. ``buckets`` holds for tables that are new. ``at`` is the
+    manifest that the changes were worked out from, by default the newest; if there is
+    a newer one by then, ``VersionTaken`` is raised.
     """
-    store, now = _Folder(spark, folder), manifest(spark, folder)
+    store, now = _Folder(spark, folder), at or manifest(spark, folder)
     if batch and now["batches"].get(batch[0], -1) >= batch[1]:
         return now["version"]
     run = f"data/{uuid.uuid4().hex}"
@@ -172,6 +174,22 @@ def _rewrite(spark: SparkSession, folder: str, change: Change, held: dict, now:
     return held | {"files": files}
 
 
+def rebucket(spark: SparkSession, folder: str, table: str, schema: StructType, buckets: int) -> int:
+    """Cut a table that has grown into another number of buckets, as a version of its own."""
+    store, now = _Folder(spark, folder), manifest(spark, folder)
+    held, run = now["tables"][table], f"data/{uuid.uuid4().hex}"
+    try:
+        rows = read_table(spark, folder, table, schema, at=now).withColumn("bucket_", bucket_of(F.col(held["key"]), buckets))
+        rows.repartition(buckets, "bucket_").write.partitionBy("bucket_").parquet(f"{folder.rstrip('/')}/{run}/{table}")
+        files = {b: f"{run}/{table}/{name}" for name, _ in store.list(f"{run}/{table}") if (b := name.removeprefix("bucket_=")) != name}
+        tables = now["tables"] | {table: held | {"buckets": buckets, "files": files}}
+        store.put_new(_manifest_name(now["version"] + 1), json.dumps(now | {"version": now["version"] + 1, "tables": tables}))
+    except BaseException:
+        store.drop(run)
+        raise
+    return now["version"] + 1
+
+
 def vacuum(spark: SparkSession, folder: str, older_than_s: float = 7 * 24 * 3600) -> int:
     """Remove versions older than so many seconds, but for the newest, and files that no kept version names; returns how many folders of files went.
 

@@ -22,31 +22,43 @@ def system_tags(files: DataFrame) -> DataFrame:
     return catalog.derive_folder_tags(files).unionByName(catalog.derive_type_tags(files)).unionByName(catalog.derive_ext_tags(files))
 
 
-def merge_batch(new: DataFrame, folder: str, batch: tuple[str, int] | None = None, n_buckets: int = 64) -> int:
+def merge_batch(new: DataFrame, folder: str, batch: tuple[str, int] | None = None, n_buckets: int = 64, attempts: int = 5) -> int:
     """Merge catalogued files by path into the bucketed catalog: files, the folders above them, and their tags.
 
     Of several files of one path in a batch that with the least id stays. Only the
-    buckets of the batch's paths, folders and file ids are read and written.
+    buckets of the batch's paths, folders and file ids are read and written. If another
+    writer commits meanwhile, the merge is made anew on what that one left.
     """
-    spark, now = new.sparkSession, buckets.manifest(new.sparkSession, folder)
     least = new.groupBy("rel_path").agg(F.min("file_id").alias("file_id"))
     new = new.join(least, ["rel_path", "file_id"], "left_semi").dropDuplicates(["rel_path"]).persist()
     try:
-        before = buckets.read_keys(spark, folder, "files", new.schema, new.select("rel_path"), now)
-        # the tags of a file that comes again, under whatever id, make way for its new ones
-        again = before.select("file_id").unionByName(new.select("file_id")).distinct()
-        above = catalog.derive_folders(new)
-        known = buckets.read_keys(spark, folder, "folders", above.schema, above, now)
-        changes = [
-            buckets.Change("files", "rel_path", new),
-            buckets.Change("folders", "rel_path", above.join(known, "rel_path", "left_anti")),
-            buckets.Change("file_tags", "file_id", catalog.unique_file_tags(system_tags(new)), gone=again),
-        ]
-        return buckets.commit(spark, folder, changes, batch, n_buckets)
+        for left in reversed(range(attempts)):
+            try:
+                return _merged(new, folder, batch, n_buckets)
+            except buckets.VersionTaken:
+                if not left:
+                    raise
+        raise ValueError("no attempts")
     finally:
         new.unpersist()
 
 
+def _merged(new: DataFrame, folder: str, batch: tuple[str, int] | None, n_buckets: int) -> int:
+    spark = new.sparkSession
+    now = buckets.manifest(spark, folder)
+    before = buckets.read_keys(spark, folder, "files", new.schema, new.select("rel_path"), now)
+    # the tags of a file that comes again, under whatever id, make way for its new ones
+    again = before.select("file_id").unionByName(new.select("file_id")).distinct()
+    above = catalog.derive_folders(new)
+    known = buckets.read_keys(spark, folder, "folders", above.schema, above, now)
+    changes = [
+        buckets.Change("files", "rel_path", new),
+        buckets.Change("folders", "rel_path", above.join(known, "rel_path", "left_anti")),
+        buckets.Change("file_tags", "file_id", catalog.unique_file_tags(system_tags(new)), gone=again),
+    ]
+    return buckets.commit(spark, folder, changes, batch, n_buckets, at=now)
+
+
 def index_stream(spark: SparkSession, source: str, schema, folder: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] = catalogued, n_buckets: int = 64) -> StreamingQuery:
     """Catalogue what arrives in a Parquet folder of listings (file_id, rel_path, ...), each file once.
 

@@ -115,3 +115,32 @@ def test_a_path_under_a_new_id_takes_its_tags_along(spark, tmp_path):
     tags = buckets.read_table(spark, folder, "file_tags", spark.createDataFrame([], "file_id long, slug string").schema, at=held)
     assert sorted(tuple(r) for r in tags.collect()) == [(2, ".mp3"), (2, "audio"), (2, "folder:b"), (3, ".png"), (3, "folder:a"), (3, "image")]
     assert held["version"] == 2
+
+
+def test_a_merge_is_made_anew_if_another_writer_was_first(spark, tmp_path, monkeypatch):
+    folder, seen = str(tmp_path / "c"), []
+    files = lambda *rows: catalogued(spark.createDataFrame(list(rows), "file_id long, rel_path string"))
+    merge_batch(files((1, "a/x.png")), folder, n_buckets=4)
+    commit = buckets.commit
+
+    def slow(spark, folder, changes, *rest, **named):
+        if not seen:
+            seen.append(1)
+            merge_batch(files((2, "a/x.png"), (3, "b/z.png")), folder)
+        return commit(spark, folder, changes, *rest, **named)
+
+    monkeypatch.setattr(buckets, "commit", slow)
+    assert merge_batch(files((4, "a/x.png")), folder) == 3
+    schema = spark.createDataFrame([], "file_id long, rel_path string").schema
+    assert sorted(tuple(r) for r in buckets.read_table(spark, folder, "files", schema).collect()) == [(3, "b/z.png"), (4, "a/x.png")]
+    tags = buckets.read_table(spark, folder, "file_tags", spark.createDataFrame([], "file_id long, slug string").schema)
+    assert {r.file_id for r in tags.collect()} == {3, 4}
+
+
+def test_rebucketing_keeps_rows_and_later_commits(spark, table):
+    folder, rows = table
+    schema = spark.createDataFrame([], SCHEMA).schema
+    assert buckets.rebucket(spark, folder, "t", schema, 5) == 2
+    assert len(buckets.manifest(spark, folder)["tables"]["t"]["files"]) == 5
+    buckets.commit(spark, folder, [buckets.Change("t", "path", spark.createDataFrame([("p9", -9)], SCHEMA))])
+    assert rows_of(spark, folder) == sorted((rows | {"p9": -9}).items(), key=str)
