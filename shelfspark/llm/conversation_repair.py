@@ -9,7 +9,7 @@ assistant (3), delete it (4), insert an empty turn of either role (3). Blank and
 duplicate turns must go; a truncated turn that stays adds 3.
 
 A conversation may be of any length. Turns are put in order by a range sort over
-(conversation, turn) and cut into pieces of ``PIECE`` turns; each piece is aligned by
+(conversation, turn) and cut into pieces of 2^``PIECE_BITS`` turns; each piece is aligned by
 itself from each state that the turns before it can leave (nothing yet, a user turn
 last, an assistant or system turn last). As two audits of one piece and cost never
 begin with each other, the least ones of pieces join to the least of the whole, so the
@@ -21,7 +21,8 @@ Blank and duplicate are told from the turns in this order: a turn is blank witho
 are compared by SHA-256), else truncated if its last such character isn't ``[.!?]``.
 
 Defined results: null roles and texts count as one blank, a null conversation id is a
-conversation, null turns come first; turns of equal number are ordered by role and text.
+conversation, null turns come first; turns of equal number are ordered by role, by the
+first 64 characters of the text and by a hash of it.
 A turn whose role is empty can't be kept. Other columns are ignored; repeated rows are
 duplicates; an empty table gives an empty one.
 """
@@ -203,9 +204,10 @@ def turn_edits(audit: str) -> Iterator[tuple[str, str]]:
 def in_order(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, seq), written: ``seq`` rises by one from turn to turn of a conversation within a partition."""
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
-    spread = rows.withColumn("row", F.xxhash64(F.monotonically_increasing_id()))  # equal rows may lie in several ranges
-    ranges = spread.repartitionByRange(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", F.substring("text", 1, 64), "row")
-    return materialize(ranges.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text").drop("row").withColumn("seq", F.monotonically_increasing_id()), "turns")
+    # ranges are cut by narrow keys; equal rows may lie in several of them, next to each other
+    by = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.substring("text", 1, 64), F.xxhash64("text")]
+    ranges = rows.withColumn("row", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*by, "row")
+    return materialize(ranges.sortWithinPartitions(*by, "text").drop("row").withColumn("seq", F.monotonically_increasing_id()), "turns")
 
 
 def with_faults(turns: DataFrame) -> DataFrame:
