@@ -83,3 +83,11 @@ def test_vectors_are_read_once_for_normalised_scores(spark, files, tmp_path):
     assert "clip_emb" not in plan and plan.count("FileScan") == 1
     scores = [r.score for r in out.collect() if r.score >= 0]
     assert min(scores) == 0 and max(scores) == 100
+
+
+def test_score_ranges_of_few_rows(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 3.0)], "rel_path string, score double")
+    got = lambda df: {r.rel_path: r.score for r in search.minmax_0_100(df).collect()}
+    assert got(rows) == {"a": 0.0, "b": -1.0, "c": 100.0}
+    assert got(rows.where("score < 0")) == {"b": -1.0} and got(rows.where("score = 1")) == {"a": 100.0}
+    assert got(rows.where("false")) == got(rows.limit(0)) == {}
