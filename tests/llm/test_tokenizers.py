@@ -9,7 +9,6 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from shelfspark.llm import bpe, queries, token_alignment
