@@ -30,6 +30,7 @@ duplicates; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,62 +47,73 @@ REROLE, DELETE, INSERT, TRUNCATION = 3, 4, 3, 3
 NOTHING, SYSTEM, USER, ASSISTANT = "", "s", "u", "a"
 STATES = (NOTHING, SYSTEM, USER, ASSISTANT)
 #: Alignments of pieces that a worker keeps.
-MEMO = 1 << 13
+MEMO = 1 << 14
 Tables = dict[tuple[str, str], tuple[int, str]]
 _known: dict[str, Tables] = {}
 
 
-def _steps(turn: str, want: str) -> tuple[int, str] | None:
-    """Cost and letter of letting the turn stand where ``want`` is due."""
-    extra = TRUNCATION if turn.isupper() else 0
-    if turn == "-":
-        return None
-    return (extra, "K") if turn.lower() == want else (extra + REROLE, "R") if want != SYSTEM else None
+_FAR = 1 << 30
+#: Cost of letting a turn stand where a role is due; the letter is K if that is its own role, else R.
+_PRICES = {
+    turn: {due: _FAR if turn == "-" else (TRUNCATION if turn.isupper() else 0) + (0 if turn.lower() == due else REROLE if due != SYSTEM else _FAR) for due in (SYSTEM, USER, ASSISTANT)}
+    for turn in "suaxSUAX-"
+}
 
 
-def align(turns: str, target: str, limit: int) -> tuple[int, str] | None:
-    """Cost and least audit of the cheapest alignment of the turns to the target, if it costs at most ``limit``.
-
-    A turn is ``s``, ``u``, ``a`` or ``x`` (another role), in upper case if it is truncated, or ``-`` if it must go.
-    """
-    n, m = len(turns), len(target)
+def edit_table(turns: str, target: str, limit: int) -> list[list[int]]:
+    """Wagner and Fischer's table: cost of turning so many turns into so much of the target, ``_FAR`` above the limit."""
     left, right = limit // DELETE, limit // INSERT  # so far a path within the limit can stray from the diagonal
-    rows: list[dict[int, int]] = []
-    for i in range(n + 1):
-        row: dict[int, int] = {} if i else {0: 0}
-        above = rows[-1] if i else {}
+    inserts = [_FAR, *(_FAR if due == SYSTEM else INSERT for due in target)]  # a system turn can't be made
+    rows: list[list[int]] = []
+    above: list[int] = []
+    m = len(target)
+    for i in range(len(turns) + 1):
+        row = [_FAR] * (m + 1)
+        prices = _PRICES[turns[i - 1]] if i else {}
         for j in range(max(0, i - left), min(m, i + right) + 1):
-            best = row.get(j, limit + 1)
-            if j in above:
-                best = min(best, above[j] + DELETE)
-            if j - 1 in row and target[j - 1] != SYSTEM:
-                best = min(best, row[j - 1] + INSERT)
-            if j - 1 in above and (step := _steps(turns[i - 1], target[j - 1])):
-                best = min(best, above[j - 1] + step[0])
+            best = row[j - 1] + inserts[j] if j else _FAR
+            if i:
+                best = min(best, above[j] + DELETE, above[j - 1] + prices[target[j - 1]] if j else _FAR)
+            elif not j:
+                best = 0
             if best <= limit:
                 row[j] = best
         rows.append(row)
-    if m not in rows[n]:
-        return None
-    onward: list[dict[int, dict[str, tuple[int, int]]]] = [{} for _ in rows]  # of cells on a cheapest path: letters and where they lead
-    onward[n][m] = {}
+        above = row
+    return rows
+
+
+def backtraced(rows: list[list[int]], turns: str, target: str) -> str:
+    """The least audit in ASCII order among the cheapest alignments to the whole target."""
+    n, m = len(turns), len(target)
+    onward: dict[tuple[int, int], dict[str, tuple[int, int]]] = {(n, m): {}}  # of cells on a cheapest path: letters and where they lead
     for i in range(n, -1, -1):
         for j in range(m, -1, -1):
-            if j not in onward[i]:
+            if (i, j) not in onward:
                 continue
-            cost = rows[i][j]
-            if j and target[j - 1] != SYSTEM and rows[i].get(j - 1, cost) + INSERT == cost:
-                onward[i].setdefault(j - 1, {})["I"] = (i, j)
-            if i and rows[i - 1].get(j, cost) + DELETE == cost:
-                onward[i - 1].setdefault(j, {})["D"] = (i, j)
-            if i and j - 1 in rows[i - 1] and (step := _steps(turns[i - 1], target[j - 1])) and rows[i - 1][j - 1] + step[0] == cost:
-                onward[i - 1].setdefault(j - 1, {})[step[1]] = (i, j)
+            cost, at = rows[i][j], (i, j)
+            if j and target[j - 1] != SYSTEM and rows[i][j - 1] + INSERT == cost:
+                onward.setdefault((i, j - 1), {})["I"] = at
+            if i and rows[i - 1][j] + DELETE == cost:
+                onward.setdefault((i - 1, j), {})["D"] = at
+            if i and j and rows[i - 1][j - 1] + _PRICES[turns[i - 1]][target[j - 1]] == cost:
+                onward.setdefault((i - 1, j - 1), {})["K" if turns[i - 1].lower() == target[j - 1] else "R"] = at
     audit, at = [], (0, 0)
     while at != (n, m):
-        letter = min(onward[at[0]][at[1]])
+        letter = min(onward[at])
         audit.append(letter)
-        at = onward[at[0]][at[1]][letter]
-    return rows[n][m], "".join(audit)
+        at = onward[at][letter]
+    return "".join(audit)
+
+
+def align(turns: str, target: str, limit: int) -> tuple[int, str] | None:
+    """Cost and least audit of the cheapest alignment of the turns to the target, if it costs at most ``limit``.
+
+    A turn is ``s``, ``u``, ``a`` or ``x`` (another role), in upper case if it is truncated, or ``-`` if it must go.
+    """
+    rows = edit_table(turns, target, limit)
+    cost = rows[-1][-1]
+    return (cost, backtraced(rows, turns, target)) if cost <= limit else None
 
 
 def grammar(before: str, length: int, system: bool = False) -> str:
@@ -111,50 +123,46 @@ def grammar(before: str, length: int, system: bool = False) -> str:
     return (head + body * length)[:length]
 
 
+def best_lengths(turns: str, string: str, wanted: dict[str, int]) -> dict[str, tuple[int, str]]:
+    """Cheapest alignment to a beginning of the grammar string that ends in each wanted state, of at least so many turns.
+
+    One table serves all lengths: its last row has the cost of each. The band is set by a
+    guess at the cost and widened (Ukkonen's doubling) until every state is reached within
+    it; the audits of the lengths of least cost are compared.
+    """
+    limit = DELETE * turns.count("-") + 2 * INSERT
+    while True:
+        rows, best = edit_table(turns, string, limit), {}
+        for length, cost in enumerate(rows[-1]):
+            for after, least in wanted.items():
+                if cost <= limit and length >= least and (not length or string[length - 1] == after):
+                    best.setdefault(after, []).append((cost, length))
+        if len(best) == len(wanted):
+            break
+        limit *= 2
+    out = {}
+    for after, found in best.items():
+        cost = min(found)[0]
+        out[after] = cost, min(backtraced([r[: length + 1] for r in rows], turns, string[:length]) for c, length in found if c == cost)
+    return out
+
+
 def align_piece(turns: str) -> Tables:
     """Cost and least audit by the state before the piece and the state after it."""
     if turns in _known:
         return _known[turns]
-    stay = len(turns) - turns.count("-")
-
-    def bound(length: int) -> int:
-        return DELETE * (turns.count("-") + max(0, stay - length)) + INSERT * max(0, length - stay)
-
-    def best(targets: Iterator[str]) -> tuple[int, str] | None:
-        """Over targets in order of their bounds; each is aligned within the cost of the best before it."""
-        found = None
-        for target in targets:
-            least = bound(len(target))
-            if found is None:  # Ukkonen's doubling: a wider band until an alignment fits
-                limit = least + DELETE
-                while found is None and limit < 2 * (DELETE * len(turns) + INSERT * (len(target) + 1)) + DELETE:
-                    found = align(turns, target, limit)
-                    limit *= 2
-            elif least > found[0]:
-                break
-            elif (other := align(turns, target, found[0])) and other < found:
-                found = other
-        return found
-
-    def targets(before: str, after: str, system: bool) -> Iterator[str]:
-        """Grammar strings that lead from one state to the other, nearest to the turns that can stay first."""
-        if system and "s" not in turns.lower():
-            return iter(())
-        fit = [k for k in range(1 if after != before or system else 0, 2 * len(turns) + 4) if (s := grammar(before, k, system)) == "" or s[-1] == after]
-        return (grammar(before, k, system) for k in sorted(fit, key=lambda k: (bound(k), k)))
-
-    out: Tables = {}
-    for before in (SYSTEM, USER, ASSISTANT):
-        for after in dict.fromkeys((before, USER, ASSISTANT)):
-            if after == before == SYSTEM:
-                out[before, after] = best(iter([""]))
-            else:
-                out[before, after] = out[ASSISTANT, after] if (ASSISTANT, after) in out and before == SYSTEM else best(targets(before, after, False))
+    longest = 2 * len(turns) + 3  # beyond that each length costs more than the one before
+    out: Tables = {(SYSTEM, SYSTEM): (DELETE * len(turns), "D" * len(turns))}
     out[NOTHING, NOTHING] = out[SYSTEM, SYSTEM]
-    out[NOTHING, SYSTEM] = best(targets(NOTHING, SYSTEM, True))
-    for after in (USER, ASSISTANT):
-        out[NOTHING, after] = min(x for x in (out[SYSTEM, after], best(targets(NOTHING, after, True))) if x)
-    out = {k: v for k, v in out.items() if v}
+    user_next = best_lengths(turns, grammar(ASSISTANT, longest), {USER: 1, ASSISTANT: 1})
+    for after, found in user_next.items():
+        out[SYSTEM, after] = out[NOTHING, after] = out[ASSISTANT, after] = found
+    out[ASSISTANT, ASSISTANT] = min(user_next[ASSISTANT], out[SYSTEM, SYSTEM])
+    out |= {(USER, after): found for after, found in best_lengths(turns, grammar(USER, longest), {USER: 1, ASSISTANT: 1}).items()}
+    out[USER, USER] = min(out[USER, USER], out[SYSTEM, SYSTEM])
+    if "s" in turns.lower():
+        for after, found in best_lengths(turns, grammar(NOTHING, longest, True), {SYSTEM: 1, USER: 1, ASSISTANT: 1}).items():
+            out[NOTHING, after] = min(out.get((NOTHING, after), found), found)
     if len(_known) >= MEMO:
         _known.clear()
     if len(turns) <= 1 << PIECE_BITS:
@@ -235,21 +243,19 @@ def repair(conversations: DataFrame) -> DataFrame:
     pieces = faults.groupBy("conv_id", F.shiftright("seq", PIECE_BITS).alias("piece")).agg(held.alias("held")).select("conv_id", F.col("held")[0]["seq"].alias("first"), F.array_join(F.transform("held", lambda x: x["letter"]), "").alias("turns"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string()), ("cost", pa.int64()), ("audit", pa.string())]))
         for batch in released(batches):
-            found = [[{"before": b, "after": a, "cost": c, "audit": x} for (b, a), (c, x) in align_piece(t).items()] for t in batch.column("turns").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("first"), pa.array(found, kind)], ["conv_id", "first", "tables"])
+            found = [json.dumps([(*states, *best) for states, best in align_piece(t).items()]) for t in batch.column("turns").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("first"), pa.array(found, pa.string())], ["conv_id", "first", "tables"])
 
     conv = conversations.schema["conv_id"].dataType.simpleString()
-    tables = pieces.mapInArrow(aligned, f"conv_id {conv}, first long, tables array<struct<before:string,after:string,cost:long,audit:string>>")
+    tables = pieces.mapInArrow(aligned, f"conv_id {conv}, first long, tables string")
     whole = tables.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "tables"))).alias("pieces")).select("pieces")
 
     def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             for row in range(batch.num_rows):
-                parts = batch.column("pieces")[row].as_py()
-                _, audit = best_audit([{(t["before"], t["after"]): (t["cost"], t["audit"]) for t in p["tables"]} for p in parts])
-                seqs, letters, roles = _numbered(parts, audit)
+                parts = [(p["first"], {(before, after): (cost, audit) for before, after, cost, audit in json.loads(p["tables"])}) for p in batch.column("pieces")[row].as_py()]
+                seqs, letters, roles = _numbered(parts, best_audit([tables for _, tables in parts])[1])
                 for k in range(0, len(seqs), 10_000):
                     yield pa.record_batch({"seq": pa.array(seqs[k : k + 10_000], pa.int64()), "edits": pa.array(letters[k : k + 10_000]), "roles": pa.array(roles[k : k + 10_000])})
 
@@ -261,11 +267,10 @@ def repair(conversations: DataFrame) -> DataFrame:
     return steps.select("conv_id", "seq", "step", "edit", role.alias("role"), F.when(own, F.col("text")).otherwise("").alias("text"), *(F.when(own, F.col(c)).alias(c) for c in ("turn", "initial", "fault")))
 
 
-def _numbered(parts: list[dict], audit: str) -> tuple[list[int], list[str], list[str]]:
-    """Each turn's number, edits and roles; turns of a piece are numbered in a row."""
+def _numbered(parts: list[tuple[int, Tables]], audit: str) -> tuple[list[int], list[str], list[str]]:
+    """Each turn's number, edits and roles; turns of a piece are numbered in a row, and (s, s) deletes them all."""
     edits = list(turn_edits(audit))
-    counts = [len(a) - a.count("I") for a in (p["tables"][0]["audit"] for p in parts)]
-    seqs = [p["first"] + k for p, n in zip(parts, counts, strict=True) for k in range(n)]
+    seqs = [first + k for first, tables in parts for k in range(len(tables[SYSTEM, SYSTEM][1]))]
     return seqs, [e[0] for e in edits], [e[1] for e in edits]
 
 
