@@ -3,13 +3,15 @@
 Filters are in conjunctive normal form. Each is filed under one of its clauses, the one
 that should let fewest files through: equalities under their value, folder patterns
 under the text before their first wildcard, comparisons under their threshold in sorted
-order. A file's values find the filters filed under them by hash, by prefix and by
-binary search; clause after clause then drops those that fail. Work is done on arrays
-of (file, filter) pairs, a bounded number at once; nothing is shuffled.
+order, and two clauses that make a window of numbers under the cells it lies in, if that
+singles out more than the clause would. A file's values find the filters filed under them
+by hash, by prefix and by binary search; clause after clause then drops those that fail.
+Work is done on arrays of (file, filter) pairs, a bounded number at once.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -104,14 +106,17 @@ class PredicateIndex:
         return sum(_EXPECTED.get(op, 1000) / (1 + (len(_head(v)) if op == LIKE else 0)) for _, op, v in clause)
 
     def _file(self, kept: dict) -> None:
-        """Put each filter under the literals of its first clause."""
+        """Put each filter under its window, or under the literals of its first clause."""
         equal: dict[int, list] = {}
         heads: dict[int, list] = {}
         ranges: dict[tuple[int, int], list] = {}
-        self.always: list[int] = []
+        always: list[int] = []
+        windows = self._narrow_windows(kept)
         for q, clauses in enumerate(kept.values()):
+            if q in windows:
+                continue
             if any(op in (NE, UNLIKE) for _, op, _ in clauses[0]):
-                self.always.append(q)
+                always.append(q)
                 continue
             for c, op, v in clauses[0]:
                 if op == EQ:
@@ -120,7 +125,8 @@ class PredicateIndex:
                     heads.setdefault(c, []).append((_head(v), q))
                 else:
                     ranges.setdefault((c, op), []).append((v, q))
-        self.equal, self.heads, self.ranges = {}, {}, {}
+        self.always = _Lists([0] * len(always), always, 1) if always else None
+        self.equal, self.heads, self.ranges, self.cells = {}, {}, {}, {}
         for store, found in ((self.equal, equal), (self.heads, heads)):
             for c, items in found.items():
                 keys = {v: i for i, v in enumerate(dict.fromkeys(v for v, _ in items))}
@@ -128,42 +134,91 @@ class PredicateIndex:
         for at, items in ranges.items():
             items.sort(key=lambda x: (np.isnan(x[0]), x[0]))
             self.ranges[at] = np.array([v for v, _ in items]), _Lists(range(len(items)), [q for _, q in items], len(items))
+        celled: dict[tuple[int, int], list] = {}
+        for q, (c, lo, hi) in windows.items():
+            # cells at least as wide as the window, so that it lies in two at most
+            e = max(math.frexp(hi - lo)[1], math.frexp(max(abs(lo), abs(hi)))[1] - 40) if hi > lo or lo else -40
+            celled.setdefault((c, e), []).extend((cell, q) for cell in {math.floor(math.ldexp(x, -e)) for x in (lo, hi)})
+        for at, items in celled.items():
+            own, place = np.unique(np.array([float(cell) for cell, _ in items]), return_inverse=True)
+            self.cells[at] = own, _Lists(place, [q for _, q in items], len(own))
+
+    @staticmethod
+    def _narrow_windows(kept: dict) -> dict[int, tuple[int, float, float]]:
+        """(column, lower, upper) of the filters that two clauses of one comparison each hold to a window, where a value
+        lies in a smaller share of such windows than of the first clauses of filters."""
+        found: dict[int, tuple[int, float, float]] = {}
+        stated: dict[tuple[int, int], set] = {}
+        for q, clauses in enumerate(kept.values()):
+            for c, op, v in clauses[0]:
+                stated.setdefault((c, op), set()).add(_head(v) if op == LIKE else v)
+            lower: dict[int, float] = {}
+            upper: dict[int, float] = {}
+            for clause in clauses:
+                if len(clause) == 1 and clause[0][1] in (GT, GE, LT, LE) and math.isfinite(clause[0][2]):
+                    c, op, v = clause[0]
+                    side, tighter = (lower, max) if op in (GT, GE) else (upper, min)
+                    side[c] = tighter(side.get(c, v), v)
+            both = [(upper[c] - lower[c], c) for c in lower if c in upper]
+            if both and math.isfinite(min(both)[0]):
+                c = min(both)[1]
+                found[q] = c, min(lower[c], upper[c]), max(lower[c], upper[c])
+        ends: dict[int, tuple[float, float]] = {}
+        for c, lo, hi in found.values():
+            least, most = ends.get(c, (lo, hi))
+            ends[c] = min(least, lo), max(most, hi)
+        first = [c[0] for c in kept.values()]
+
+        def narrow(q: int, c: int, lo: float, hi: float) -> bool:
+            width = ends[c][1] - ends[c][0]
+            return hi - lo < width * sum(1 / len(stated[c, op]) if op in (EQ, LIKE) else 1 for c, op, _ in first[q])
 
-    def _candidates(self, cells: list, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(file, filter) pairs that some access path gives."""
+        return {q: w for q, w in found.items() if narrow(q, *w)}
+
+    def _paths(self, cells: list, n: int) -> Iterator[tuple[_Lists, np.ndarray, np.ndarray, np.ndarray]]:
+        """(lists, files, first place, end of places) of each access path, by file; the filters of the places are candidates."""
+        rows = np.arange(n)
         if self.always:
-            yield np.repeat(rows, len(self.always)), np.tile(self.always, len(rows))
+            yield self.always, rows, np.zeros(n, np.int64), np.ones(n, np.int64)
         for c, (keys, lists) in self.equal.items():
             if self.columns[c] in self.numeric:
                 values, valid = cells[c]
-                at = np.array([keys.get(v if v == v else None, -1) for v in values[rows].tolist()], np.int64)
-                at[~valid[rows]] = -1
+                at = np.array([keys.get(v if v == v else None, -1) for v in values.tolist()], np.int64)
+                at[~valid] = -1
             else:
-                names, code = cells[c]
-                at = np.append(np.array([keys.get(s, -1) for s in names], np.int64), -1)[code[rows]]
+                names, code, _ = cells[c]
+                at = np.append(np.array([keys.get(s, -1) for s in names], np.int64), -1)[code]
             hit = at >= 0
-            yield lists.of(rows[hit], at[hit], at[hit] + 1)
+            yield lists, rows[hit], at[hit], at[hit] + 1
         for c, (keys, lists) in self.heads.items():
-            names, code = cells[c]
+            names, code, _ = cells[c]
             sizes = sorted({len(k) for k in keys})
             place, owner = [], []
             for i, s in enumerate(names):
                 low = s.lower()
-                for n in sizes:
-                    if n <= len(low) and (k := keys.get(low[:n])) is not None:
+                for k_size in sizes:
+                    if k_size <= len(low) and (k := keys.get(low[:k_size])) is not None:
                         place.append(k)
                         owner.append(i)
             of_name = _Lists(owner, place, len(names) + 1)
-            mine = np.where(code[rows] < 0, len(names), code[rows])
+            mine = np.where(code < 0, len(names), code)
             files, heads = of_name.of(rows, mine, mine + 1)
-            yield lists.of(files, heads, heads + 1)
+            yield lists, files, heads, heads + 1
         for (c, op), (bounds, lists) in self.ranges.items():
             values, valid = cells[c]
-            own = rows[valid[rows]]
+            own = rows[valid]
             v = values[own]
             at = np.searchsorted(bounds, v, "left" if op in (GT, LE) else "right")  # not-a-number is last in both
             none, all_of = np.zeros(len(own), np.int64), np.full(len(own), len(bounds))
-            yield lists.of(own, none, at) if op in (GT, GE) else lists.of(own, at, all_of)
+            yield (lists, own, none, at) if op in (GT, GE) else (lists, own, at, all_of)
+        for (c, e), (own_cells, lists) in self.cells.items():
+            values, valid = cells[c]
+            own = rows[valid & np.isfinite(values)]
+            with np.errstate(over="ignore"):
+                cell = np.floor(np.ldexp(values[own], -e))
+            at = np.minimum(np.searchsorted(own_cells, cell), len(own_cells) - 1)
+            hit = own_cells[at] == cell
+            yield lists, own[hit], at[hit], at[hit] + 1
 
     def _true(self, cells: list, files: np.ndarray, literals: np.ndarray) -> np.ndarray:
         """Whether each literal holds for the file beside it; null makes it false."""
@@ -179,10 +234,9 @@ class PredicateIndex:
                 holds = np.select([o == EQ, o == NE, o == GT, o == GE, o == LT], [same, ~same, more, more | same, ~more & ~same], ~more)
                 out[at] = holds & valid[f]
             else:
-                names, code = cells[c]
+                names, code, known = cells[c]
                 own = code[f]
-                known = np.append(np.array([self.codes.get(s, -1) for s in names], np.int64), -1)[own]
-                holds = (known == self.code[t]) ^ (o == NE)
+                holds = (known[own] == self.code[t]) ^ (o == NE)
                 like = np.flatnonzero((o == LIKE) | (o == UNLIKE))
                 like = like[own[like] >= 0]
                 if len(like):
@@ -224,12 +278,26 @@ class PredicateIndex:
                 cells.append((pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False), pc.is_valid(column).to_numpy(zero_copy_only=False)))
             else:
                 coded = column.dictionary_encode()
-                cells.append((coded.dictionary.to_pylist(), pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)))
-        step = max(1, PAIRS_AT_ONCE // max(1, len(self.ids)))  # as if every filter were a candidate
-        for lo in range(0, batch.num_rows, step):
-            rows = np.arange(lo, min(lo + step, batch.num_rows))
-            found = [q * batch.num_rows + f for f, q in self._candidates(cells, rows)]
+                names = coded.dictionary.to_pylist()
+                known = np.append(np.array([self.codes.get(s, -1) for s in names], np.int64), -1)
+                cells.append((names, pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False), known))
+        n = batch.num_rows
+        paths = list(self._paths(cells, n))
+        size = np.zeros(n, np.int64)
+        for lists, files, lo, hi in paths:
+            size += np.bincount(files, np.maximum(lists.starts[hi] - lists.starts[lo], 0), n).astype(np.int64)
+        ends, begin = np.cumsum(size), 0
+        while begin < n:
+            # files until their candidates are too many, one at least
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+            found = []
+            for lists, files, lo, hi in paths:
+                a, b = np.searchsorted(files, [begin, end])
+                f, q = lists.of(files[a:b], lo[a:b], hi[a:b])
+                found.append(q * n + f)
+            begin = end
             pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
             if len(pairs):
-                files, filters = self._kept(cells, pairs % batch.num_rows, pairs // batch.num_rows)
+                files, filters = self._kept(cells, pairs % n, pairs // n)
                 yield files, self.ids[filters]

@@ -33,7 +33,7 @@ ANY = "(?i)(" + "|".join(p for _, p in TOKENS) + ")"
 FOLDER = r"(?i)^@folder:[a-zA-Z0-9_\- ]+(?:/[a-zA-Z0-9_\- ]+){0,4}$"
 
 
-def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str], text: list[str], max_compiled: int = 500, max_literals: int = 2_000_000) -> DataFrame:
+def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str], text: list[str], max_compiled: int = 500, max_literals: int | None = None, held: int = 250_000) -> DataFrame:
     """(query_id, file_id): files that satisfy every clause of a stored filter.
 
     ``clauses`` (query_id, clause_id, column, op, value, negated) is in conjunctive
@@ -41,32 +41,72 @@ def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str
     literal neither true nor false, negated or not; a literal of an unknown column or
     operator, or without a fitting value, is never true.
 
-    The filters are read when the plan is built; more than ``max_literals`` are refused.
-    Up to ``max_compiled`` literals become expressions that one pass over the files
-    evaluates. More become a predicate index, which is sent to the tasks once; there
-    each file looks up its values, and nothing is shuffled.
+    Up to ``held`` literals are read when the plan is built. Up to ``max_compiled`` become
+    expressions that one pass over the files evaluates. More become a predicate index,
+    which is sent to the tasks once; there each file looks up its values, and nothing is
+    shuffled. More than ``held`` are dealt by filter into parts of about that many, and
+    every part meets all files in tasks of its own. More than ``max_literals`` are
+    refused, if that is given.
     """
-    stated = clauses.select("query_id", "clause_id", "column", "op", "value", "negated").limit(max_literals + 1).collect()
-    if len(stated) > max_literals:
-        raise ValueError(f"more than {max_literals} literals; give the filters in parts")
+    literals = clauses.select("query_id", "clause_id", "column", "op", "value", "negated")
+    few = held if max_literals is None else min(held, max_literals)
+    stated = literals.limit(few + 1).collect()
+    if len(stated) > few:
+        n = literals.count()
+        if max_literals is not None and n > max_literals:
+            raise ValueError(f"more than {max_literals} literals; give the filters in parts")
+        return _dealt(files, literals, -(-n // held), numeric, text)
     if len(stated) <= max_compiled:
         return _compiled(files, stated, {*numeric}, {*text})
     return _indexed(files, stated, numeric, text)
 
 
+def _cells(files: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
+    return files.select(F.col("file_id").alias("file_id_"), *(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(c).cast("string").alias(c) for c in text))
+
+
+def _matches(index: PredicateIndex, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for rows, ids in index.match(batch):
+        yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("file_id_").take(pa.array(rows))], ["query_id", "file_id"])
+
+
 def _indexed(files: DataFrame, clauses: list, numeric: list[str], text: list[str]) -> DataFrame:
     spread = files.sparkSession.sparkContext.broadcast(PredicateIndex(clauses, numeric, text))
-    cells = files.select(F.col("file_id").alias("file_id_"), *(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(c).cast("string").alias(c) for c in text))
+    cells = _cells(files, numeric, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = spread.value
         for batch in batches:
-            for rows, ids in index.match(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("file_id_").take(pa.array(rows))], ["query_id", "file_id"])
+            yield from _matches(spread.value, batch)
 
     return cells.mapInArrow(run, f"query_id long, file_id {cells.schema['file_id_'].dataType.simpleString()}")
 
 
+def _dealt(files: DataFrame, literals: DataFrame, parts: int, numeric: list[str], text: list[str]) -> DataFrame:
+    """A task gets one part of the filters, then a share of the files: it holds an index over the part, and the files pass by."""
+    shares = max(1, -(-2 * files.sparkSession.sparkContext.defaultParallelism // parts))
+    cells = _cells(files, numeric, text)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = literals.select(part.alias("part_"), all_of(shares).alias("share_"), F.struct(literals.columns).alias("literal_"))
+    shared = cells.select(all_of(parts).alias("part_"), F.pmod(F.xxhash64("file_id_"), F.lit(shares)).alias("share_"), "*")
+    both = own.unionByName(shared, allowMissingColumns=True).withColumn("task_", (F.col("part_") * shares + F.col("share_")).cast("int"))
+    first = both.repartitionById(parts * shares, "task_").sortWithinPartitions(F.col("literal_").isNull()).select("literal_", *cells.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stated: list[tuple] = []
+        index = None
+        for batch in batches:
+            n = len(batch) - batch.column("literal_").null_count  # these come first
+            if n:
+                stated.extend(zip(*(x.to_pylist() for x in batch.column("literal_").slice(0, n).flatten()), strict=True))
+            if n < len(batch):
+                index = index or PredicateIndex(stated, numeric, text)
+                stated = []
+                yield from _matches(index, batch.slice(n))
+
+    return first.mapInArrow(run, f"query_id long, file_id {cells.schema['file_id_'].dataType.simpleString()}")
+
+
 def _compiled(files: DataFrame, clauses: list, numeric: set[str], text: set[str]) -> DataFrame:
     """One Column a filter; a file's filters come out of one array."""
 

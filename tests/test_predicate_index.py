@@ -84,6 +84,32 @@ def test_a_hundred_thousand_filters(spark):
     assert found(spark, files, literals) == sorted(by_hand(files, literals))
 
 
+@pytest.mark.parametrize("held", [1, 40, 150])
+def test_more_filters_than_are_held_are_dealt(spark, held):
+    files, literals = files_of(60, 3), made(90, 4)
+    assert len(literals) > held
+    assert found(spark, files, literals, held=held) == sorted(by_hand(files, literals))
+
+
+def test_no_number_of_literals_is_refused(spark):
+    """The limit was two million."""
+    n = 500_000
+    clauses = spark.range(n).selectExpr("id as query_id", "inline(array(" + ", ".join(f"struct({i} as clause_id, '{c}' as column, '{op}' as op, {v} as value, false as negated)" for i, (c, op, v) in enumerate([("n", ">=", "string(id)"), ("n", "<", "string(id + 2)"), ("t", "=", "'a'"), ("u", "=", "'b'"), ("m", "<", "'5'")])) + "))")
+    files = spark.createDataFrame([(i, float(i * 99_999), i, "a", "b") for i in range(7)], "file_id long, n double, m int, t string, u string")
+    got = saved_queries.match_saved_searches(files, clauses, ["n", "m"], ["t", "u"])
+    assert sorted(map(tuple, got.collect())) == sorted((q, i) for i in range(5) for q in (i * 99_999 - 1, i * 99_999) if q >= 0)
+
+
+def test_windows_find_what_they_hold(spark):
+    """Bounds of all sizes and signs, empty and turned windows, values at the ends."""
+    rng = random.Random(8)
+    ends = [0.0, -0.0, 1e-300, -1e-300, 1.0, 1 + 2**-52, 1e300, -1e300, 2.0**53, 7.25, -7.25, 1e-9]
+    files = [(i, v, None, "a", "a") for i, v in enumerate([*ends, NAN, float("inf"), float("-inf"), None])]
+    literals = [r for q in range(300) for r in ((q, 1, "t", "=", "a", False), (q, 2, "n", *rng.choice([(">", repr(rng.choice(ends)), False), ("<", repr(rng.choice(ends)), True)])), (q, 3, "n", *rng.choice([("<=", repr(rng.choice(ends)), False), (">=", repr(rng.choice(ends)), True)])))]
+    want = sorted(by_hand(files, literals))
+    assert len(want) > 100 and found(spark, files, literals, max_compiled=0) == want
+
+
 def test_nothing_is_shuffled(spark):
     files = spark.createDataFrame(files_of(5, 1), "file_id long, n double, m int, t string, u string")
     clauses = spark.createDataFrame(made(300, 1), "query_id long, clause_id int, column string, op string, value string, negated boolean")
