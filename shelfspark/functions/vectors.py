@@ -145,9 +145,12 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     buckets = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), 1), bucket)
 
     def counts(bs: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double"))
+        """Of sorted buckets: where each one's run ends, less where the run before ends; a pass over the words, however many buckets."""
+        ends = F.array_compact(F.transform(bs, lambda b, i: F.when(F.coalesce(b != F.get(bs, i + 1), F.lit(True)), F.struct(b.alias("b"), (i + 1).alias("n")))))
+        runs = F.transform(F.array(ends), lambda e: F.map_from_entries(F.transform(e, lambda x, i: F.struct(x["b"], x["n"] - F.coalesce(F.get(e, i - 1)["n"], F.lit(0))))))
+        return F.transform(runs, lambda n: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(n[i.cast("bigint")], F.lit(0)).cast("double")))[0]
 
-    return F.transform(F.array(buckets), lambda bs: F.transform(F.array(counts(bs)), l2_normalize)[0])[0]
+    return F.transform(F.array(F.sort_array(buckets)), lambda bs: F.transform(F.array(counts(bs)), l2_normalize)[0])[0]
 
 
 def embed_column(df: DataFrame, col: str, embedder: Callable[[Iterator[pd.Series]], Iterator[list]] | None = None, dim: int = 64, out: str = "embedding", errors: str | None = None) -> DataFrame:

@@ -211,7 +211,8 @@ _HASHED = "hashed AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64
 @query("v11_embed_column", f"WITH {_HASHED}, n AS (SELECT doc_id, pos, count(*) AS n FROM hashed GROUP BY doc_id, pos) SELECT doc_id, pos, round(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY doc_id) AS DOUBLE)), 5) AS x FROM n")
 def _(spark, sf_dir):
     e = vectors.embed_column(table(spark, sf_dir, "documents"), "text", dim=DIM)
-    return e.select("doc_id", F.posexplode("embedding").alias("pos", "x")).where("x > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
+    # the plain posexplode infers a filter on the vector, and pushes it down to where the vector is made a second time
+    return e.select("doc_id", F.posexplode_outer("embedding").alias("pos", "x")).where("x > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
 def letter_counts(batches):
