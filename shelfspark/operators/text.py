@@ -32,6 +32,21 @@ def pretokenize(df: DataFrame, col: str, out: str = "tokens", pattern: str = PRE
     return df.withColumn(out, F.regexp_extract_all(F.lower(col), F.lit(pattern), 1))
 
 
+#: Values of a list column that are worked on at once; a batch of long texts has far more.
+_VALUES_AT_ONCE = 1 << 19
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, as many at a time as have few values in ``lists``, one at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(lists)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _VALUES_AT_ONCE, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, start_id: int, end_id: int, length: int, pad: int = 0, max_vocab: int = 500_000) -> DataFrame:
     """(key, ids): ids of known tokens between start and end, cut so that the end stays, padded to ``length``.
 
@@ -53,7 +68,7 @@ def _encode_locally(df: DataFrame, key: str, tokens: str, vocab: pd.DataFrame, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids = known.value
-        for batch in batches:
+        for batch in _pieces(batches, "tokens_"):
             lists = batch.column("tokens_")
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = pc.index_in(pc.list_flatten(lists), value_set=words)
@@ -95,7 +110,7 @@ def encode_subwords(df: DataFrame, key: str, tokens: str, merges: str | list[tup
         if own_words not in _word_ids:
             _word_ids.clear()  # words of an earlier plan
         known, table_of = _word_ids.setdefault(own_words, {}), spread.value
-        for batch in batches:
+        for batch in _pieces(batches, "tokens_"):
             lists = batch.column("tokens_")
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             coded = pc.fill_null(pc.list_flatten(lists), "").dictionary_encode()
@@ -147,7 +162,7 @@ def _decode_locally(df: DataFrame, key: str, ids: str, vocab: pd.DataFrame) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tokens = spread.value
-        for batch in batches:
+        for batch in _pieces(batches, "ids_"):
             lists = batch.column("ids_")
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = pc.index_in(pc.list_flatten(lists), value_set=known)
@@ -161,7 +176,7 @@ def _decode_locally(df: DataFrame, key: str, ids: str, vocab: pd.DataFrame) -> D
     return rows.mapInArrow(run, f"key_ {kind}, text string").withColumnRenamed("key_", key)
 
 
-def token_counts(df: DataFrame, tokens: str, held: int = 1 << 20) -> DataFrame:
+def token_counts(df: DataFrame, tokens: str, held: int = 1 << 19) -> DataFrame:
     """(token, n): how often each token stands in the lists; tasks count theirs first and hand on a row a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +185,7 @@ def token_counts(df: DataFrame, tokens: str, held: int = 1 << 20) -> DataFrame:
         def merged() -> pa.Table:
             return pa.concat_tables(parts).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
-        for batch in batches:
+        for batch in _pieces(batches, "tokens_"):
             found = pc.value_counts(pc.list_flatten(batch.column("tokens_")).drop_null())
             parts.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
             if sum(p.num_rows for p in parts) > held:

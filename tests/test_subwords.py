@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -92,3 +93,13 @@ def test_a_list_of_pairs_over_characters(spark):
     pairs = [("a", "t"), ("c", "at"), ("cat", "s</w>"), ("a", "a"), ("日", "本</w>"), ("a", "t")]
     got = {r.k: r.pieces for r in text.encode_subwords(df, "k", "t", pairs).collect()}
     assert got == {1: ["cats</w>", "a", "t</w>", "日本</w>", "aa", "b</w>", "s</w>"], 2: []}
+
+
+def test_token_lists_are_worked_on_in_pieces(monkeypatch):
+    """A batch of 10,000 long texts was flattened at once."""
+    monkeypatch.setattr(text, "_VALUES_AT_ONCE", 10)
+    lists = [["a"] * n for n in (3, 7, 0, 1, 25, 0, 10, 4)] + [None, ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["key_", "tokens_"])
+    pieces = list(text._pieces(iter([batch, batch.slice(0, 0)]), "tokens_"))
+    assert [r for p in pieces for r in p.column("tokens_").to_pylist()] == lists
+    assert all(len(p) == 1 or sum(len(x or ()) for x in p.column("tokens_").to_pylist()) <= 10 for p in pieces)
