@@ -153,6 +153,10 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return F.transform(F.array(F.sort_array(buckets)), lambda bs: F.transform(F.array(counts(bs)), l2_normalize)[0])[0]
 
 
+#: Bytes of texts, about, that a plug-in is given at once; a batch of long texts has far more.
+_TEXT_AT_ONCE = 1 << 22
+
+
 def embed_column(df: DataFrame, col: str, embedder: Callable[[Iterator[pd.Series]], Iterator[list]] | None = None, dim: int = 64, out: str = "embedding", errors: str | None = None) -> DataFrame:
     """Text column to vector; null stays null.
 
@@ -166,8 +170,7 @@ def embed_column(df: DataFrame, col: str, embedder: Callable[[Iterator[pd.Series
         found = df.withColumn(out, F.when(F.col(col).isNotNull(), hash_embedding(F.col(col), dim)))
         return found.withColumn(errors, F.lit(None).cast("string")) if errors else found
 
-    @F.pandas_udf("struct<vector:array<float>,error:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         waiting: list[pd.Series] = []
         answers: Iterator | None = None
 
@@ -192,14 +195,19 @@ def embed_column(df: DataFrame, col: str, embedder: Callable[[Iterator[pd.Series
             v = np.asarray(v, dtype=np.float32).ravel()
             return v if len(v) == dim else None
 
-        for batch in batches:
-            found: list[tuple] = [(None, None)] * len(batch)
-            have = np.flatnonzero(batch.notna())
-            for i, row in zip(have, solved(batch.iloc[have]) if len(have) else [], strict=True):
+        def given_back(texts: pd.Series) -> pa.Array:
+            found: list[tuple] = [(None, None)] * len(texts)
+            have = np.flatnonzero(texts.notna())
+            for i, row in zip(have, solved(texts.iloc[have]) if len(have) else [], strict=True):
                 found[i] = row
-            yield pd.DataFrame({"vector": pd.Series([v for v, _ in found], dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
+            return pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())], ["vector", "error"])
+
+        for batch in batches:
+            step = min(1024, max(1, len(batch) * _TEXT_AT_ONCE // max(1, batch.nbytes)))
+            parts = [given_back(batch.slice(lo, step).to_pandas()) for lo in range(0, len(batch), step)]
+            yield pa.concat_arrays(parts) if parts else given_back(batch.to_pandas())
 
-    both = df.withColumn("found_", run(F.col(col)))
+    both = df.withColumn("found_", F.arrow_udf(run, "struct<vector:array<float>,error:string>")(F.col(col)))
     names = {out: F.col("found_.vector")} | ({errors: F.col("found_.error")} if errors else {})
     return both.withColumns(names).drop("found_")
 

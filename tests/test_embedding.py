@@ -34,6 +34,14 @@ def test_failing_rows_cost_few_set_ups(spark, tmp_path):
         assert len(f.read()) < 50
 
 
+def test_a_plug_in_gets_few_texts_at_once(spark):
+    """Batches were of up to 10,000 rows, however long their texts."""
+    df = spark.range(0, 3000, 1, 1).selectExpr("id", "if(id % 10 = 0, null, repeat('word ', 4000)) as t")
+    got = [r.v for r in vectors.embed_column(df, "t", lambda bs: ([float(len(b))] for b in bs for _ in b), 1, "v").select("v").collect()]
+    assert [v is None for v in got] == [i % 10 == 0 for i in range(3000)]
+    assert max(v[0] for v in got if v) * 20_000 <= 2 * vectors._TEXT_AT_ONCE
+
+
 def test_hash_embedding_counts_words_in_one_pass(spark):
     """Before, every bucket passed over all words: 50,000 x 16,384 steps here."""
     words = [f"w{i * i % 9973}" for i in range(50_000)]
