@@ -22,6 +22,7 @@ by ``encode`` and kept by ``decode``; an empty table gives an empty one.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from .tokenization import Memo
 END = 0x1000
 PAIRS_KEPT = 1 << 18
 PIECES_KEPT = 1 << 16
+#: White space that may stand in a word; normalising adds blanks for it, or takes away those beside it.
+SPACE_IN_WORD = re.compile(r"\s")
 _open: dict[str, "BacktrackingEncoder"] = {}
 _tables: dict[str, "OffsetDecoder"] = {}
 
@@ -169,19 +172,22 @@ class BacktrackingEncoder:
         out: list[list[int]] = []
         for k in range(0, len(words), 500):
             part = words[k : k + 500]
-            joined = " ".join(part)
+            plain = [i for i, w in enumerate(part) if not SPACE_IN_WORD.search(w)]
+            joined = " ".join(part[i] for i in plain)
             normal = self._normal(joined)
             lengths = [len(w) for w in normal.split(" ")]
-            if len(lengths) != len(part) or any(s in joined for s in self.special):
+            if not plain or len(lengths) != len(plain) or any(s in joined for s in self.special):
                 out += map(self.text, part)
                 continue
             found: list[list[int]] = [[] for _ in part]
+            for i in set(range(len(part))).difference(plain):
+                found[i] = self.text(part[i])
             at, end = 0, lengths[0]
             for piece, (start, _) in self._split(normal):
                 while start > end:
                     at += 1
                     end += 1 + lengths[at]
-                found[at] += self._piece(piece)
+                found[plain[at]] += self._piece(piece)
             out += found
         return out
 

@@ -51,6 +51,13 @@ def test_encoder_equals_the_library(texts):
             assert flat[at[i] : at[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_words_with_spaces_of_their_own_do_not_shift_the_others():
+    """A blank that normalising takes away beside one word and one that it adds in another leave as many words as before."""
+    own = bpe.BacktrackingEncoder(WORDS)
+    for words in (["zero", "\u00a0", "one", "reing###", "y\u00a0z", "last"], ["a\u2003b", "two", "\u3000", "three"], ["\u00a0", "\u0085"]):
+        assert own.words(words) == [own.text(w) for w in words] == [own.library.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_encoder_without_word_ends(texts):
     """The byte-level file has no end symbol: one pre-token at a time."""
     library, own = Tokenizer.from_file(BYTES), bpe.BacktrackingEncoder(BYTES)
