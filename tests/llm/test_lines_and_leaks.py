@@ -102,6 +102,42 @@ def test_duplicate_lines_match_brute_force(spark, few, crowd):
     assert cleaned[500] is None and cleaned[501] == "" and cleaned[502] == "\n\n--\n" and cleaned[None] == docs[3][1]
 
 
+@pytest.mark.parametrize("part", [4096, 7])
+def test_pairs_that_share_one_crowded_key_alone_are_tried(spark, part):
+    """Eighty lines and their near copies have a block in common, which is all that a copy shares with its line."""
+    rng = random.Random(41)
+    word = lambda n: "".join(rng.choice("bcdfghjklm") for _ in range(n))
+    lines, copies = [], []
+    for _ in range(80):
+        rest = [word(12) for _ in range(5)]
+        lines.append("bbbccc dddfff ggghhh " + " ".join(rest))
+        copies.append("bbbccc dddfff ggghhh " + " ".join("x" + w[1:-1] + "z" if k % 3 == 0 else w[:6] + "y" + w[7:] for k, w in enumerate(rest)))
+    docs = [*enumerate(lines), *enumerate(copies, 1000)]
+    want, links = expected_lines(docs)
+    got = {tuple(r) for r in line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.LineSpec(part=part)).collect()}
+    assert got == want and links == 80
+
+
+def test_letter_counts_bound_edits(spark):
+    rng = random.Random(43)
+    rows = []
+    for k in range(200):
+        a = norm("".join(rng.choice(" etaoinxyz\u00e9\u65e5") for _ in range(rng.randint(1, 60)))) or "a"
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.choice("etaoinxyz\u00e9")] * rng.randint(0, 1)
+        rows.append((a, norm("".join(b)) or "b"))
+    rows += [("e" * 70000 + "q", "e" * 70001), ("q" * 70000, "e" * 70000)]
+    counts = lambda c: line_dedup.letter_counts(c, f"n_{c}")
+    frame = spark.createDataFrame(rows, "a string, b string").withColumns({"n_a": F.char_length("a"), "n_b": F.char_length("b")})
+    got = frame.select("a", "b", line_dedup.letters_apart(counts("a"), counts("b")).alias("d")).collect()
+    assert all(r.d + abs(len(r.a) - len(r.b)) <= 2 * distance(r.a, r.b) for r in got[:200])
+    plain = lambda t: [t.count(x) for x in line_dedup.LETTERS] + [sum(x not in line_dedup.LETTERS for x in t)]
+    assert all(r.d == sum(abs(p - q) for p, q in zip(plain(r.a), plain(r.b), strict=True)) for r in got[:200])
+    assert got[200].d == 0 and got[201].d == 65535 + 65535 - 4465  # counts end at 65535, e's beyond are others
+
+
 def test_simhash_is_the_majority_of_block_hashes(spark):
     rng = random.Random(17)
     word = lambda: "".join(rng.choice("abcdefghijkl\u00e9") for _ in range(rng.randint(1, 9)))
