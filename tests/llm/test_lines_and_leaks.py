@@ -118,6 +118,54 @@ def test_pairs_that_share_one_crowded_key_alone_are_tried(spark, part):
     assert got == want and links == 80
 
 
+def test_unlike_long_lines_end_before_their_texts_are_compared(spark, monkeypatch):
+    """Long lines of the same few words share keys and letters; none but near ones come to the comparison of whole texts."""
+    rng = random.Random(47)
+    words = ["".join(rng.choice("bcdfghlmpu") + rng.choice("aeio") for _ in range(3)) for _ in range(60)]
+    pool = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)]
+    docs = [*enumerate(pool), *((100 + k, x.replace(" ", " q ", 3)) for k, x in enumerate(pool[:20]))]
+    raw = line_dedup.lines_of(spark.createDataFrame(docs, "doc_id long, text string"))
+    spec = line_dedup.LineSpec()
+    lines = line_dedup.materialize(line_dedup.sketched(raw, spec), "lines")
+    rids = lines.select("rid")
+    pairs = line_dedup.materialize(rids.toDF("a").crossJoin(rids.toDF("b")).where("a > b"), "pairs")
+    written = {}
+
+    def materialize(df, kind, f=line_dedup.materialize):
+        out = f(df, kind)
+        written[kind] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", materialize)
+    assert line_dedup.alike(pairs, lines, raw, spec).count() == 20
+    assert 20 <= written["likely-pairs"] < pairs.count() // 20
+
+
+def test_thinned_lines_bound_edits(spark):
+    rng = random.Random(53)
+    rows = []
+    for _ in range(150):
+        a = "".join(rng.choice(" etaoinsrxyzhd") for _ in range(rng.randint(61, 120)))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.choice("etaxyz\u00e9")] * rng.randint(0, 2)
+        rows.append((a, "".join(b)))
+    rows += [("\u65e5" * 70, "\u65e5" * 70), ("x" * 40, "x" * 40)]
+    thin = lambda c: line_dedup.thinned(c, line_dedup.LineSpec())
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", thin("a").alias("x"), thin("b").alias("y")).collect()
+    assert sum(r.x is not None and r.y is not None for r in got) > 100
+    assert all(distance(r.x, r.y) <= distance(r.a, r.b) for r in got if r.x is not None and r.y is not None)
+    assert got[-2].x is None and got[-1].x is None
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_passes_over_keys_leave_the_result(spark, passes):
+    docs = line_docs()
+    got = {tuple(r) for r in line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.LineSpec(passes=passes)).collect()}
+    assert got == expected_lines(docs)[0]
+
+
 def test_letter_counts_bound_edits(spark):
     rng = random.Random(43)
     rows = []
