@@ -168,7 +168,8 @@ def _rewrite(spark: SparkSession, folder: str, change: Change, held: dict, now:
     old = read_table(spark, folder, change.table, rows.schema, hit, now)
     kept = old.join(keys, old[key].eqNullSafe(keys[key]), "left_anti")
     new = kept.unionByName(rows).withColumn("bucket_", bucket_of(F.col(key), held["buckets"]))
-    new.repartition(len(hit), "bucket_").write.partitionBy("bucket_").parquet(f"{folder.rstrip('/')}/{to}")
+    # large buckets are written by several tasks, small ones share a task
+    new.hint("rebalance", "bucket_").write.partitionBy("bucket_").parquet(f"{folder.rstrip('/')}/{to}")
     written = {name.removeprefix("bucket_=") for name, _ in store.list(to) if name.startswith("bucket_=")}
     files = {b: f for b, f in held["files"].items() if int(b) not in set(hit)} | {b: f"{to}/bucket_={b}" for b in written}
     return held | {"files": files}

@@ -49,14 +49,21 @@ def _merged(new: DataFrame, folder: str, batch: tuple[str, int] | None, n_bucket
     before = buckets.read_keys(spark, folder, "files", new.schema, new.select("rel_path"), now)
     # the tags of a file that comes again, under whatever id, make way for its new ones
     again = before.select("file_id").unionByName(new.select("file_id")).distinct()
-    above = catalog.derive_folders(new)
+    above = catalog.derive_folders(new).persist()
     known = buckets.read_keys(spark, folder, "folders", above.schema, above, now)
+    # each is read for its buckets, its keys and its rows
+    fresh = above.join(known, "rel_path", "left_anti").persist()
+    tags = catalog.unique_file_tags(system_tags(new)).persist()
     changes = [
         buckets.Change("files", "rel_path", new),
-        buckets.Change("folders", "rel_path", above.join(known, "rel_path", "left_anti")),
-        buckets.Change("file_tags", "file_id", catalog.unique_file_tags(system_tags(new)), gone=again),
+        buckets.Change("folders", "rel_path", fresh),
+        buckets.Change("file_tags", "file_id", tags, gone=again),
     ]
-    return buckets.commit(spark, folder, changes, batch, n_buckets, at=now)
+    try:
+        return buckets.commit(spark, folder, changes, batch, n_buckets, at=now)
+    finally:
+        for done in (tags, fresh, above):
+            done.unpersist()
 
 
 def index_stream(spark: SparkSession, source: str, schema, folder: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] = catalogued, n_buckets: int = 64) -> StreamingQuery:

@@ -144,3 +144,32 @@ def test_rebucketing_keeps_rows_and_later_commits(spark, table):
     assert len(buckets.manifest(spark, folder)["tables"]["t"]["files"]) == 5
     buckets.commit(spark, folder, [buckets.Change("t", "path", spark.createDataFrame([("p9", -9)], SCHEMA))])
     assert rows_of(spark, folder) == sorted((rows | {"p9": -9}).items(), key=str)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    folder, old = str(tmp_path / "t"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = spark.range(0, 40_000, numPartitions=8).select(F.sha2(F.col("id").cast("string"), 256).alias("path"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        buckets.commit(spark, folder, [buckets.Change("t", "path", rows)], buckets=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(tree(folder)) >= 6
+    held = buckets.manifest(spark, folder)["tables"]["t"]["files"]
+    assert sorted(held) == ["0", "1"] and rows_of(spark, folder) == sorted(map(tuple, rows.collect()), key=str)
+    for b in (0, 1):
+        own = buckets.read_table(spark, folder, "t", rows.schema, [b])
+        assert own.where(buckets.bucket_of(F.col("path"), 2) != b).isEmpty() and not own.isEmpty()
+
+
+def test_a_merge_derives_its_rows_once(spark, tmp_path, monkeypatch):
+    kept, commit = [], buckets.commit
+
+    def seen(spark, folder, changes, *rest, **named):
+        kept.extend(c.rows.storageLevel.useMemory for c in changes)
+        return commit(spark, folder, changes, *rest, **named)
+
+    monkeypatch.setattr(buckets, "commit", seen)
+    merge_batch(catalogued(spark.createDataFrame([(1, "a/x.png"), (2, "b/y.mp3")], "file_id long, rel_path string")), str(tmp_path / "c"))
+    assert kept == [True] * 3
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
