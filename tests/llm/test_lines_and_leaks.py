@@ -186,6 +186,48 @@ def test_letter_counts_bound_edits(spark):
     assert got[200].d == 0 and got[201].d == 255  # counts end at 255
 
 
+def test_marks_of_halves_bound_edits(spark):
+    rng = random.Random(59)
+    rows = []
+    for _ in range(300):
+        a = norm("".join(rng.choice(" etaoinxyz\u00e9\u65e5") for _ in range(rng.randint(1, 90)))) or "a"
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.choice("etaoinxyz\u00e9")] * rng.randint(0, 1)
+        rows.append((a, norm("".join(b)) or "b"))
+    rows += [(a[len(a) // 9 :] + "x" * (len(a) // 9), a) for a, _ in rows[:50]] + [("e" * 70000 + "q", "e" * 70001), ("b" * 60 + "c" * 60, "c" * 60 + "b" * 60)]
+    frame = spark.createDataFrame([(2 * k + e, t) for k, r in enumerate(rows) for e, t in enumerate(r)], "id long, norm string").withColumn("size", F.char_length("norm"))
+    m = line_dedup.materialize(line_dedup.with_marks(frame), "marks")
+    got = {r.id // 2: r.d for r in m.alias("x").join(m.alias("y"), F.expr("x.id % 2 = 0 and y.id = x.id + 1")).select("x.id", line_dedup.marks_apart("x", "y").alias("d")).collect()}
+    assert all(got[k] <= 2 * distance(*rows[k]) + 1 for k in range(350)) and sum(got[k] > 0 for k in range(350)) > 200
+    assert got[350] == 2 and got[351] == 16  # the halves of the last pair are exchanged: counts of the whole are equal
+
+
+def test_pairs_of_a_large_group_are_not_written(spark, monkeypatch):
+    """Ninety lines that share a block and all letters, most of them too far apart: pairs are tested where they meet."""
+    rng = random.Random(61)
+    base = ["".join(rng.choice("bcdfghjklm") for _ in range(10)) for _ in range(5)]
+    docs = []
+    for k in range(90):
+        words = [list(w) for w in base]
+        for w in words:
+            at = rng.randrange(1, 8)
+            w[at], w[at + 1] = w[at + 1], w[at]
+        docs.append((k, "bbbccc dddfff ggghhh " + " ".join(map("".join, words))))
+    written = []
+
+    def materialize(df, kind, f=line_dedup.materialize):
+        out = f(df, kind)
+        written.append(out.count() if kind in ("line-pairs", "likely-pairs") else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", materialize)
+    got = {tuple(r) for r in line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.LineSpec(few=1)).collect()}
+    assert got == expected_lines(docs)[0]
+    assert max(written) <= 5 * len(docs)
+
+
 def test_simhash_is_the_majority_of_block_hashes(spark):
     rng = random.Random(17)
     word = lambda: "".join(rng.choice("abcdefghijkl\u00e9") for _ in range(rng.randint(1, 9)))
