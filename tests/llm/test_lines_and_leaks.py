@@ -228,6 +228,25 @@ def test_pairs_of_a_large_group_are_not_written(spark, monkeypatch):
     assert max(written) <= 5 * len(docs)
 
 
+@pytest.mark.parametrize("part", [1024, 9])
+def test_texts_of_crowded_keys_are_dealt_in_passes(spark, part):
+    """A hundred lines share a key, a second hundred another; no pass deals more rows with texts than it may."""
+    rng = random.Random(67)
+    word = lambda: "".join(rng.choice("bcdfghjklm") for _ in range(14))
+    texts = [" ".join(word() for _ in range(4)) for _ in range(100)]
+    texts += [t[:3] + "xyz" + t[6:] for t in texts]
+    keys = [[k % 2 + 1, 3 + k % 5] for k in range(200)]
+    rows = [(k, k, own, t, t) for k, (own, t) in enumerate(zip(keys, texts, strict=True))]
+    rows = [(k, c, [(x, 100 if x < 3 else 40) for x in own], own, t, thin) for k, c, own, t, thin in rows]
+    frame = spark.createDataFrame(rows, "rid long, c long, own array<struct<key:long,n:long>>, keys array<long>, norm string, thin string").withColumns({"size": F.char_length("norm"), "simhash": F.lit(0).cast("long")})
+    members = line_dedup.materialize(line_dedup.with_marks(frame), "members")
+    edges = line_dedup.alike_by_size(members, 120, line_dedup.LineSpec(crowd=20, part=part))
+    got = [(r.a, r.b) for e in edges for r in e.collect()]
+    assert sorted(got) == [(100 + k, k) for k in range(100) if k % 2 == (100 + k) % 2]
+    dealt = 400 if part == 1024 else 200 * (1 + 2 * -(-100 // part)) + 200 * (1 + 2 * -(-40 // part))
+    assert len(edges) == -(-dealt // 120)
+
+
 def test_simhash_is_the_majority_of_block_hashes(spark):
     rng = random.Random(17)
     word = lambda: "".join(rng.choice("abcdefghijkl\u00e9") for _ in range(rng.randint(1, 9)))
