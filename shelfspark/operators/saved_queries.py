@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .predicate_index import PredicateIndex
 
+#: Filters of one wording that a row of ``_shared`` holds at most, about.
+IDS_AT_ONCE = 4096
+
 # Token classes of a query string in matching order, with their patterns.
 TOKENS = [
     ("escaped", r"\\@"),
@@ -44,9 +48,10 @@ def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str
     Up to ``held`` literals are read when the plan is built. Up to ``max_compiled`` become
     expressions that one pass over the files evaluates. More become a predicate index,
     which is sent to the tasks once; there each file looks up its values, and nothing is
-    shuffled. More than ``held`` are dealt by filter into parts of about that many, and
-    every part meets all files in tasks of its own. More than ``max_literals`` are
-    refused, if that is given.
+    shuffled. Of more than ``held``, filters that say the same are matched once, and what
+    they find is given to each of them; if more than ``held`` literals are left, these are
+    dealt by filter into parts of about that many, and every part meets all files in tasks
+    of its own. More than ``max_literals`` are refused, if that is given.
     """
     literals = clauses.select("query_id", "clause_id", "column", "op", "value", "negated")
     few = held if max_literals is None else min(held, max_literals)
@@ -55,7 +60,7 @@ def match_saved_searches(files: DataFrame, clauses: DataFrame, numeric: list[str
         n = literals.count()
         if max_literals is not None and n > max_literals:
             raise ValueError(f"more than {max_literals} literals; give the filters in parts")
-        return _dealt(files, literals, -(-n // held), numeric, text)
+        return _shared(files, literals, numeric, text, held)
     if len(stated) <= max_compiled:
         return _compiled(files, stated, {*numeric}, {*text})
     return _indexed(files, stated, numeric, text)
@@ -81,6 +86,32 @@ def _indexed(files: DataFrame, clauses: list, numeric: list[str], text: list[str
     return cells.mapInArrow(run, f"query_id long, file_id {cells.schema['file_id_'].dataType.simpleString()}")
 
 
+def _shared(files: DataFrame, literals: DataFrame, numeric: list[str], text: list[str], held: int) -> DataFrame:
+    """Filters of the same literals are matched as one, the least of them; its files then meet the ids of all of them.
+
+    The ids go to every share of the files, so that neither a filter that many have stored nor
+    one that finds many files is one task's work.
+    """
+
+    def found(one: DataFrame) -> DataFrame:
+        n = one.count()
+        return _indexed(files, one.collect(), numeric, text) if n <= held else _dealt(files, one, -(-n // held), numeric, text)
+
+    wording = F.to_json(F.struct(F.sort_array(F.collect_set(F.struct(*(c for c in literals.columns if c != "query_id")))).alias("all")))
+    said = written(literals.groupBy("query_id").agg(F.sha2(wording, 256).alias("said_")), "filter-wordings")
+    first = written(said.groupBy("said_").agg(F.min("query_id").alias("first_"), F.count("*").alias("n_")), "filter-firsts")
+    own = lambda many: literals.join(first.where(F.col("n_") > 1 if many else F.col("n_") == 1).select(F.col("first_").alias("query_id")), "query_id", "left_semi")
+    if first.where("n_ > 1").isEmpty():
+        return found(literals)
+    shares = 2 * files.sparkSession.sparkContext.defaultParallelism
+    piece = F.pmod(F.xxhash64("query_id"), F.ceil(F.col("n_") / IDS_AT_ONCE).cast("long"))
+    ids = said.join(first.where("n_ > 1"), "said_").groupBy("first_", piece.alias("piece_")).agg(F.collect_list(F.col("query_id").cast("long")).alias("ids_"))
+    ids = ids.select("first_", "ids_", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share_"))
+    once = found(own(True)).select(F.col("query_id").alias("first_"), "file_id", F.pmod(F.xxhash64("file_id"), F.lit(shares)).cast("int").alias("share_"))
+    every = once.join(ids, ["first_", "share_"]).select(F.explode("ids_").alias("query_id"), "file_id")
+    return every if first.where("n_ = 1").isEmpty() else every.unionByName(found(own(False)))
+
+
 def _dealt(files: DataFrame, literals: DataFrame, parts: int, numeric: list[str], text: list[str]) -> DataFrame:
     """A task gets one part of the filters, then a share of the files: it holds an index over the part, and the files pass by."""
     shares = max(1, -(-2 * files.sparkSession.sparkContext.defaultParallelism // parts))

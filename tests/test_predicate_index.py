@@ -91,6 +91,22 @@ def test_more_filters_than_are_held_are_dealt(spark, held):
     assert found(spark, files, literals, held=held) == sorted(by_hand(files, literals))
 
 
+@pytest.mark.parametrize("pieces", [2, 4096])
+def test_filters_of_one_wording_are_matched_once(spark, monkeypatch, pieces):
+    files, base, rest = files_of(60, 9), made(30, 10), [(1000 + q, *r) for q, *r in made(5, 11)]
+    literals = [*((q + 30 * k, *r) for q, *r in base for k in range(8)), *rest]
+    seen = []
+
+    def counted(stated, *a, index=saved_queries.PredicateIndex):
+        seen.append(len(stated))
+        return index(stated, *a)
+
+    monkeypatch.setattr(saved_queries, "PredicateIndex", counted)
+    monkeypatch.setattr(saved_queries, "IDS_AT_ONCE", pieces)
+    assert found(spark, files, literals, held=len(base)) == sorted(by_hand(files, literals))
+    assert sum(seen) <= len(base) + len(rest) < len(literals) and len(seen) == 2
+
+
 def test_no_number_of_literals_is_refused(spark):
     """The limit was two million."""
     n = 500_000
